@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +18,10 @@ from .text import id_remainder, pieces
 SAMPLE_PER_LABEL = 10_000
 #: Entries of the lexicon at most, and what a word or word start needs to be one.
 MOST_TERMS = 512
-LEAST_SHARE, LEAST_DOCUMENTS, LEAST_PRECISION = 0.004, 4, 0.97
-STEM_LENGTHS, STEM_LEAST_WORDS, STEM_MOST_ONE_WORD = (4, 5, 6), 6, 0.5
+LEAST_SHARE, LEAST_DOCUMENTS, LEAST_PRECISION = 0.01, 4, 0.97
+#: Different words that must precede an entry in toxic documents (counted in CONTEXTS classes): copies of one text show few.
+LEAST_CONTEXTS, CONTEXTS = 12, 60
+STEM_LENGTHS, STEM_LEAST_WORDS, STEM_MOST_ONE_WORD, STEM_SAME = (4, 5, 6), 4, 0.5, 0.9
 #: Term lengths from which one and two edits are allowed.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Words looked at on either side of a term.
@@ -43,14 +47,20 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
-        # A word within k edits of a term holds one of the term's k+1 parts unchanged.
-        self.parts = {k: tuple({p for t in self.words if edits(t) == k for p in _split(t, k + 1)}) for k in (1, 2)}
+        # A word within k edits of a term holds one of the term's k+1 parts unchanged, moved by k places at most.
+        self.parts: set[tuple[int, str]] = set()
+        for term in self.words:
+            for at, part in _split(term, edits(term) + 1) if edits(term) else ():
+                self.parts |= {(at + move, part) for move in range(-edits(term), edits(term) + 1) if at + move >= 0}
+        self.looks = sorted({(at, at + len(part)) for at, part in self.parts})
+        self.longest = max(map(len, self.words), default=0) + 2
 
     def within(self, word: str) -> bool:
         """Whether a term is within its number of edits of ``word``: the trie walked with the word's
         Levenshtein automaton, whose state is the row of edit distances to the word's prefixes.
         """
-        if not any(p in word for parts in self.parts.values() for p in parts):
+        parts = self.parts
+        if len(word) > self.longest or not any((a, word[a:b]) in parts for a, b in self.looks):
             return False
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
@@ -73,9 +83,9 @@ def edits(term: str) -> int:
     return 0 if len(term) < ONE_EDIT else 1 if len(term) < TWO_EDITS else 2
 
 
-def _split(term: str, n: int) -> list[str]:
+def _split(term: str, n: int) -> list[tuple[int, str]]:
     cuts = [len(term) * k // n for k in range(n + 1)]
-    return [term[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [(a, term[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 class Reader(dict):
@@ -174,16 +184,19 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            word, label = [], []
+            word, label, before = [], [], []
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-                own = {w.strip(EDGES) for w in text.lower().split()}
+                words = [w.strip(EDGES) for w in text.lower().split()]
+                own = dict(zip(words, ["", *words], strict=False))
                 word += own
                 label += [toxic] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(label, pa.int64())], names=["word", "toxic"])
+                before += [1 << zlib.crc32(w.encode("utf-8", "replace")) % CONTEXTS if toxic else 0 for w in own.values()]
+            columns = [pa.array(word, pa.string()), pa.array(label, pa.int64()), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "context"])
 
     seen = durable(
-        texts.mapInArrow(words_of, "word string, toxic long").where("length(word) > 2")
-        .groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+        texts.mapInArrow(words_of, "word string, toxic long, context long").where("length(word) > 2")
+        .groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.bit_or("context").alias("context"))
     )
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
@@ -206,16 +219,20 @@ def _lexicon(seen: DataFrame, bad: int, good: int) -> list[str]:
     """Words, and starts shared by many words, that toxic documents hold and others hardly do."""
     least = max(LEAST_DOCUMENTS, LEAST_SHARE * bad)
     precise = F.col("bad") / bad / (F.col("bad") / bad + (F.col("good") + 0.1) / max(1, good)) >= LEAST_PRECISION
-    kept = seen.where(precise & (F.col("bad") >= least)).orderBy(F.desc("bad"), "word").limit(MOST_TERMS).collect()
-    starts = seen.select(F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEM_LENGTHS))).alias("start"), "bad", "good").where("start is not null")
+    varied = F.bit_count("context") >= min(LEAST_CONTEXTS, least)
+    kept = seen.where(precise & varied & (F.col("bad") >= least)).orderBy(F.desc("bad"), "word").limit(MOST_TERMS).collect()
+    starts = seen.select(F.explode(F.array(*(F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in STEM_LENGTHS))).alias("start"), "bad", "good", "context").where("start is not null")
     stems = (
         starts.groupBy("start")
-        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.max("bad").alias("most"), F.count_if(F.col("bad") > 0).alias("words"))
-        .where(precise & (F.col("bad") >= 2 * least) & (F.col("words") >= STEM_LEAST_WORDS) & (F.col("most") <= STEM_MOST_ONE_WORD * F.col("bad")))
+        .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.bit_or("context").alias("context"), F.max("bad").alias("most"), F.count_if(F.col("bad") > 0).alias("words"))
+        .where(precise & varied & (F.col("bad") >= 2 * least) & (F.col("words") >= STEM_LEAST_WORDS) & (F.col("most") <= STEM_MOST_ONE_WORD * F.col("bad")))
         .orderBy(F.desc("bad"), "start").limit(MOST_TERMS).collect()
     )
+    weight = {r["start"]: r["bad"] for r in stems}
+    # A longer start that keeps nearly all of a shorter one's documents says more; else the shorter stands for it.
+    same = {s[:-1] for s in weight if weight[s] >= STEM_SAME * weight.get(s[:-1], math.inf)}
     chosen: list[str] = []
-    for start in sorted((r["start"] for r in stems), key=len):
+    for start in sorted(weight.keys() - same, key=lambda s: (len(s), s)):
         if not start.startswith(tuple(chosen)):
             chosen.append(start)
     words = [r["word"] for r in kept if not r["word"].startswith(tuple(chosen))]
@@ -232,7 +249,7 @@ def _ordinary(seen: DataFrame, terms: list[str]) -> frozenset[str]:
             words = [w for w in batch["word"].to_pylist() if trie.within(w)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
-    return frozenset(r["word"] for r in seen.where("good > 0").select("word").mapInArrow(near, "word string").collect())
+    return frozenset(r["word"] for r in seen.where("good > 0").select("word").repartition("word").mapInArrow(near, "word string").collect())
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
