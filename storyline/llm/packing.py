@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +15,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.durable import durable
 from .text import pieces, text_bytes
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 800_000
+#: Signs that end many chunks.
+STOPS = (b".", b",")
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -36,14 +39,21 @@ class ChunkEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
         split = [x.split() if b"\xcc" in x or b"\xcd" in x or b"<|" in x else x.lower().split() for x in texts]
+        if len(self._memo) > MEMO_ENTRIES:
+            self._memo.clear()
+        get = self._memo.get
+        found = [list(map(get, chunks)) for chunks in split]
+        self._learn({c for chunks, ids in zip(split, found, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None})
+        return [b"".join(map(get, chunks) if None in ids else ids) for chunks, ids in zip(split, found, strict=True)]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Memorises chunks. One that ends in a letter and a stop has the ids of the part before the stop, then the stop's."""
         memo = self._memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        new = list({c for chunks in split for c in chunks if c not in memo})
-        if new:
-            coded = self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            memo.update((c, np.asarray(e.ids, "<u4").tobytes()) for c, e in zip(new, coded, strict=True))
-        return [b"".join([memo[c] for c in chunks]) for chunks in split]
+        stopped = {c for c in chunks if c[-1:] in STOPS and c[-2:-1].isalpha()}
+        new = [c for c in (chunks - stopped) | {c[:-1] for c in stopped} | set(STOPS) if c not in memo]
+        coded = self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
+        memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, coded, strict=True))
+        memo.update((c, memo[c[:-1]] + memo[c[-1:]]) for c in stopped)
 
 
 _encoders: dict[int, ChunkEncoder] = {}
