@@ -1,4 +1,579 @@
-"""Queries and their SQL."""
+"""Queries over the driver's tables, one or more per operator, and the same in DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import markup, rules, scores, titles, urls
+from .operators import dedup, ingest, search, similarity, stories
+from .plans import brief, digest
+
+NOW = 1_900_000_000
+GAP = 7 * 86_400
+#: Topic rules over syllables that the tables' invented prose holds.
+TOPICS = {"alpha": ["tion", "ment"], "beta": {"keywords": ["keit", "ing"]}, "gamma": ["ción"]}
+RULES = {"alpha": {"required": ["/t[hi]on/"], "filter": ["quz"]}, "beta": {"normal": ["ing", "ung"], "filter": ["keit"]}, "delta": ["que la", "the"]}
+WORDS = {"alpha": ["the", "of the"], "beta": ["la", "de la"], "gamma": ["und"]}
 
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Domain tables from the driver's tables; the same definitions in SQL below.
+
+
+def raw_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(
+        F.col("page_id").alias("seq"), "url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        urls.host(F.col("url")).alias("source_id"), ((F.col("page_id") * 37) % 900).cast("int").alias("points"),
+        F.lit(None).cast("long").alias("published_at"), F.lit(None).cast("string").alias("extra"),
+    )
+
+
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    """Many items per url: events fall on pages by number."""
+    pages = raw_items(spark, d).drop("seq", "source_id", "points", "published_at").withColumn("page", F.col("url")).join(
+        table(spark, d, "pages").select(F.col("url").alias("page"), "page_id").groupBy("page").agg(F.min("page_id").alias("page_id")), "page"
+    ).select("page_id", "url", "title", "extra").dropDuplicates(["page_id"])
+    n = table(spark, d, "pages").agg(F.count("*").alias("n"))
+    events = table(spark, d, "events").join(n).select(
+        F.col("event_id").alias("seq"), (F.col("event_id") % F.col("n")).alias("page_id"), F.col("event_type").alias("source_id"),
+        F.col("value").cast("int").alias("points"), F.lit(None).cast("long").alias("published_at"),
+    )
+    return events.join(pages, "page_id").drop("page_id")
+
+
+def sources(spark: SparkSession, d: str, items: DataFrame) -> DataFrame:
+    return items.select(F.col("source_id").alias("id")).distinct().withColumn("weight", (F.length("id") % 5 + 1) / F.lit(10.0))
+
+
+def story_rows(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.create_map(*(x for k, t in (("1-URGENT", "release"), ("2-HIGH", "research"), ("3-MEDIUM", "tutorial"), ("4-NOT SPECIFIED", "opinion"), ("5-LOW", "zine")) for x in (F.lit(k), F.lit(t))))
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.concat(F.lit("Order ["), F.col("o_orderkey").cast("string"), F.lit("] & (co)")).alias("title"), F.col("o_totalprice").alias("score"),
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("last_updated"), F.coalesce(kinds[F.col("o_orderpriority")], F.lit("news")).alias("story_type"),
+        F.when(F.col("o_orderstatus") == "P", "inactive").otherwise("active").alias("status"),
+    )
+
+
+def member_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("story_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("article_id"), F.col("l_suppkey").cast("string").alias("source_id"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("https://arxiv.org/abs/2401."), F.lpad((F.col("l_partkey") % 50).cast("string"), 5, "0")))
+        .otherwise(F.concat(F.lit("https://a.example/"), F.col("l_partkey").cast("string"))).alias("url"),
+        F.col("l_extendedprice").alias("score_base"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("collected_at"), ((F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).cast("long").alias("seq"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"), F.col("l_shipdate").cast("date").alias("day"),
+    )
+
+
+def member_topics(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("article_id"), F.concat(F.lit("t"), (F.col("l_partkey") % 7).cast("string")).alias("topic")
+    ).distinct()
+
+
+def story_tags(spark: SparkSession, d: str) -> DataFrame:
+    return stories.story_topics(member_rows(spark, d), member_topics(spark, d))
+
+
+def headlines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 120).alias("title"), "source")
+
+
+def latest(spark: SparkSession, d: str) -> int:
+    return story_rows(spark, d).agg(F.max("last_updated")).first()[0]
+
+
+# SQL of the domain tables.
+HOST = "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
+KEPT = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT list_contains(['{keys}'], lower(split_part(x, '=', 1))){more}))"
+PATH = "regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1)"
+CANONICAL = (
+    f"'https://' || regexp_replace(lower({HOST}), '^www\\.', '') || CASE WHEN {PATH} IN ('', '/') THEN '/' ELSE regexp_replace({PATH}, '/+$', '') END"
+    f" || CASE WHEN len({{kept}}) > 0 THEN '?' || array_to_string({{kept}}, '&') ELSE '' END"
+).replace("{kept}", KEPT.format(keys="','".join(urls.TRACKING), more=""))
+LEGACY = (
+    f"'https://' || {HOST} || CASE WHEN {PATH} = '/' THEN '/' ELSE regexp_replace({PATH}, '/+$', '') END"
+    f" || CASE WHEN len({{kept}}) > 0 THEN '?' || array_to_string({{kept}}, '&') ELSE '' END"
+).replace("{kept}", KEPT.format(keys="','".join(urls.LEGACY_TRACKING), more=" AND NOT starts_with(lower(x), 'utm_')"))
+
+
+def _any(text: str, words) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w.lower()}')" for w in words) + ")"
+
+
+TYPE = "CASE " + " ".join(f"WHEN {_any('lower(title)', w)} THEN '{n}'" for n, w in titles.TYPE_WORDS) + " ELSE 'news' END"
+RELEASE = _any("lower(title)", titles.RELEASE_WORDS)
+TOPIC_LIST = "list_filter([" + ", ".join(f"CASE WHEN {_any('lower(title)', v['keywords'] if isinstance(v, dict) else v)} THEN '{k}' END" for k, v in TOPICS.items()) + "], lambda x: x IS NOT NULL)"
+CLEAN = "trim(regexp_replace(title, '\\s{2,}', ' ', 'g'))"
+SCORE = "(length(source_id) % 5 + 1) / 10.0::DOUBLE + least(points / 500::DOUBLE, 3::DOUBLE) + 0.0::DOUBLE * 0.2::DOUBLE + CASE WHEN {release} THEN 0.2::DOUBLE ELSE 0::DOUBLE END"
+ITEMS = f"items AS (SELECT page_id AS seq, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, lower({HOST}) AS source_id, CAST((page_id * 37) % 900 AS INTEGER) AS points FROM pages)"
+HITS = f"""pg AS (SELECT min(page_id) AS page_id, url FROM pages GROUP BY url), hits AS (
+  SELECT event_id AS seq, p.url, regexp_extract(q.html, '<title>([^<]*)</title>', 1) AS title, event_type AS source_id, CAST(trunc(value) AS INTEGER) AS points
+  FROM events JOIN pg ON pg.page_id = event_id % (SELECT count(*) FROM pages) JOIN pages p USING (page_id) JOIN pages q USING (page_id))"""
+
+
+def accepted_sql(src: str) -> str:
+    return f"acc AS (SELECT * EXCLUDE (title), {CLEAN} AS title, {CANONICAL} AS cu FROM {src} WHERE {CLEAN} <> '')"
+
+
+STORIES = """st AS (SELECT o_orderkey AS id, 'Order [' || o_orderkey || '] & (co)' AS title, o_totalprice AS score, CAST(epoch(o_orderdate) AS BIGINT) AS last_updated,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'release' WHEN '2-HIGH' THEN 'research' WHEN '3-MEDIUM' THEN 'tutorial' WHEN '4-NOT SPECIFIED' THEN 'opinion' WHEN '5-LOW' THEN 'zine' ELSE 'news' END AS story_type,
+  CASE WHEN o_orderstatus = 'P' THEN 'inactive' ELSE 'active' END AS status FROM orders), nw AS (SELECT max(last_updated) AS now FROM st)"""
+MEMBERS = """mb AS (SELECT l_orderkey AS story_id, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS article_id, CAST(l_suppkey AS VARCHAR) AS source_id,
+  CASE WHEN l_linenumber % 3 = 0 THEN lpad(CAST(l_partkey % 50 AS VARCHAR), 5, '0') END AS paper, l_extendedprice AS score_base, CAST(epoch(l_shipdate) AS BIGINT) AS collected_at,
+  (CAST(l_linenumber AS BIGINT) * 10000000 + l_partkey) * 100000 + l_suppkey AS seq, 'part ' || l_partkey AS title, 't' || l_partkey % 7 AS topic FROM lineitem)"""
+EFFECTIVE = """ef AS (SELECT story_id, greatest(count(DISTINCT source_id), 1) AS sources FROM
+  (SELECT *, row_number() OVER (PARTITION BY story_id, paper ORDER BY {order}) AS f FROM mb) WHERE paper IS NULL OR f = 1 GROUP BY story_id)"""
+TAGS = """tg AS (SELECT story_id, topic FROM (SELECT story_id, topic, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, topic) AS n FROM mb GROUP BY story_id, topic) WHERE n <= 5)"""
+TOP = "tp AS (SELECT * FROM st, nw WHERE status = 'active' AND last_updated >= now - {h} * 3600 ORDER BY score DESC, id LIMIT {n})"
+HEADS = "hd AS (SELECT doc_id AS id, substr(regexp_extract(text, '^([^\\n]*)', 1), 1, 120) AS title, source FROM documents)"
+LOW = "lower(title)"
+
+
+@query(f"SELECT page_id, {CANONICAL} AS url_canonical FROM pages")
+def url_canonical(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url_canonical"))
+
+
+@query(f"SELECT page_id, {LEGACY} AS url_legacy FROM pages")
+def url_normalize_legacy(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.legacy_url(F.col("url")).alias("url_legacy"))
+
+
+@query(f"SELECT page_id FROM pages WHERE regexp_matches(url, '^(?i:https?)://[^/?#]') AND NOT regexp_matches(url, '[\\x00-\\x20\"'']')")
+def url_valid_filter(spark, d):
+    return table(spark, d, "pages").where(urls.url_accepted(F.col("url"))).select("page_id")
+
+
+@query(f"WITH {MEMBERS} SELECT article_id, CASE WHEN paper IS NOT NULL THEN '2401.' || paper END AS paper FROM mb")
+def paper_id(spark, d):
+    return member_rows(spark, d).select("article_id", urls.paper_id(F.col("url")).alias("paper"))
+
+
+@query(f"""WITH {HEADS}, c AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(title, '(?i)ignore\\s+previous', '', 'g'), '(?i)system\\s*:', '', 'g'), '(?i)\\b(user|assistant|human|ai)\\s*:', '', 'g') AS t FROM hd)
+SELECT id, trim(regexp_replace(replace(t, '![', ''), '\\s{{2,}}', ' ', 'g')) AS title FROM c WHERE NOT regexp_matches(t, '[A-Za-z0-9+/=]{{30}}')""")
+def title_sanitize(spark, d):
+    rows = headlines(spark, d).where(~F.col("title").rlike("[A-Za-z0-9+/=]{30}"))
+    return rows.select("id", titles.sanitize_title(F.col("title")).alias("title"))
+
+
+NORM = "trim(regexp_replace(lower(regexp_replace(regexp_replace(trim({t}), '(?i)^(ask hn|show hn|tell hn)\\s*:\\s*', ''), '(\\s*[\\[(][^\\])]*[\\])]\\s*)+$', '')), '\\s+', ' ', 'g'))"
+
+
+@query(f"WITH {HEADS} SELECT id, {NORM.format(t='title')} AS norm FROM hd")
+def title_normalize(spark, d):
+    return headlines(spark, d).select("id", titles.normalize_title(F.col("title")).alias("norm"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '\\d+(?:\\.\\d+)*'))), ' ') AS numbers FROM documents")
+def number_tokens(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(titles.number_tokens(F.lower("text")), " ").alias("numbers"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/=]{30,}'), lambda r: regexp_matches(r, '[A-Z]') AND regexp_matches(r, '[a-z]') AND regexp_matches(r, '[0-9]'))) > 0 AS blob FROM documents")
+def base64_flag(spark, d):
+    return table(spark, d, "documents").select("doc_id", titles.has_base64_blob(F.col("text")).alias("blob"))
+
+
+@query("SELECT doc_id, substr(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), 1, 500) AS text FROM documents")
+def sanitize_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", titles.sanitize_text(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {TYPE} AS story_type, {RELEASE} AS is_release FROM (SELECT doc_id, text AS title FROM documents)")
+def detect_type(spark, d):
+    return table(spark, d, "documents").select("doc_id", titles.story_type(F.col("text")).alias("story_type"), titles.is_release(F.col("text")).alias("is_release"))
+
+
+@query(f"WITH {HEADS} SELECT id, array_to_string({TOPIC_LIST}, ',') AS topics FROM hd")
+def topics_substring(spark, d):
+    return headlines(spark, d).select("id", F.array_join(rules.topics_by_words(F.col("title"), TOPICS), ",").alias("topics"))
+
+
+@query(f"""WITH {HEADS} SELECT id, array_to_string(list_filter([
+  CASE WHEN NOT contains({LOW}, 'quz') AND regexp_matches({LOW}, 't[hi]on') THEN 'alpha' END,
+  CASE WHEN NOT contains({LOW}, 'keit') AND (contains({LOW}, 'ing') OR contains({LOW}, 'ung')) THEN 'beta' END,
+  CASE WHEN contains({LOW}, 'que la') OR contains({LOW}, 'the') THEN 'delta' END], lambda x: x IS NOT NULL), ',') AS topics FROM hd""")
+def topic_rules(spark, d):
+    return headlines(spark, d).select("id", F.array_join(rules.topics_by_rules(F.col("title"), RULES), ",").alias("topics"))
+
+
+WORD = "regexp_matches(' ' || {t} || ' ', '[^\\p{{L}}\\p{{N}}_]{w}[^\\p{{L}}\\p{{N}}_]')"
+MASKED = "replace(replace(lower(title), 'of the', '______'), 'de la', '_____')"
+
+
+@query(f"""WITH {HEADS} SELECT id, array_to_string(list_filter([
+  CASE WHEN {WORD.format(t=MASKED, w='the')} OR contains({LOW}, 'of the') THEN 'alpha' END, CASE WHEN {WORD.format(t=MASKED, w='la')} OR contains({LOW}, 'de la') THEN 'beta' END,
+  CASE WHEN {WORD.format(t=MASKED, w='und')} THEN 'gamma' END], lambda x: x IS NOT NULL), ',') AS topics FROM hd""")
+def keyword_match(spark, d):
+    return headlines(spark, d).select("id", F.array_join(rules.keyword_topics(F.col("title"), WORDS), ",").alias("topics"))
+
+
+_HITS = " + ".join(f"CASE WHEN {('contains(' + LOW + ', ' + chr(39) + w + chr(39) + ')') if ' ' in w else WORD.format(t=LOW, w=w)} THEN 1 ELSE 0 END" for v in WORDS.values() for w in v)
+
+
+@query(f"WITH {HEADS}, n AS (SELECT *, len(list_filter(regexp_split_to_array({LOW}, '\\s+'), lambda w: w <> '')) AS words FROM hd) SELECT id, CASE WHEN words > 0 THEN ({_HITS}) / words::DOUBLE ELSE 0 END AS density FROM n")
+def keyword_density(spark, d):
+    return headlines(spark, d).select("id", rules.keyword_density(F.col("title"), WORDS).alias("density"))
+
+
+UPSERT = """first AS (SELECT cu, arg_min(url, seq) AS url_original, arg_min(title, seq) AS title, arg_min(source_id, seq) AS origin_source_id FROM acc GROUP BY cu),
+best AS (SELECT cu, points, source_id, title FROM (SELECT *, row_number() OVER (PARTITION BY cu ORDER BY points DESC, seq) AS n FROM acc) WHERE n = 1)"""
+_ARTICLE = f"SELECT f.cu AS url_canonical, f.url_original, f.title, f.origin_source_id, b.points, (SELECT {TYPE} FROM (SELECT f.title AS title)) AS story_type, b.score_base FROM first f JOIN (SELECT cu, points, {SCORE.format(release=RELEASE)} AS score_base FROM best) b USING (cu)"
+_COLUMNS = ("url_canonical", "url_original", "title", "origin_source_id", "points", "story_type", "score_base")
+
+
+def _accepted(spark, d, items):
+    return ingest.accepted_items(items, sources(spark, d, items))
+
+
+@query(f"WITH {HITS}, {accepted_sql('hits')}, {UPSERT} {_ARTICLE}")
+def article_upsert(spark, d):
+    return ingest.upsert_articles(None, _accepted(spark, d, hits(spark, d)), NOW).select(*_COLUMNS)
+
+
+@query(f"""WITH {HITS}, {accepted_sql('hits')}, o AS (SELECT cu, arg_min(title, seq) AS title, max(points) AS p FROM acc WHERE seq % 2 = 0 GROUP BY cu),
+n AS (SELECT cu, arg_min(title, seq) AS title, max(points) AS p FROM acc WHERE seq % 2 = 1 GROUP BY cu)
+SELECT cu AS url_canonical, coalesce(o.title, n.title) AS title, greatest(coalesce(o.p, n.p), coalesce(n.p, o.p)) AS points FROM o FULL JOIN n USING (cu)""")
+def article_upsert_incremental(spark, d):
+    accepted = _accepted(spark, d, hits(spark, d))
+    stored = ingest.upsert_articles(None, accepted.where("seq % 2 = 0"), NOW - 60)
+    return ingest.upsert_articles(stored, accepted.where("seq % 2 = 1"), NOW).select("url_canonical", "title", "points")
+
+
+@query("""SELECT n_nationkey AS id, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' 2' ELSE '' END AS name FROM nation""")
+def source_upsert(spark, d):
+    stored = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    new = stored.where("id % 3 = 0")
+    twice = new.withColumn("name", F.concat("name", F.lit(" 1"))).withColumn("seq", F.lit(1)).unionByName(new.withColumn("name", F.concat("name", F.lit(" 2"))).withColumn("seq", F.lit(2)))
+    return ingest.upsert_sources(stored, twice)
+
+
+@query(f"WITH {HITS}, {accepted_sql('hits')} SELECT cu AS url_canonical, source_id, arg_min(points, seq) AS points FROM acc GROUP BY ALL")
+def mentions_first(spark, d):
+    accepted = _accepted(spark, d, hits(spark, d))
+    ids = accepted.select(ingest.article_id(F.col("url_canonical")).alias("article_id"), "url_canonical").distinct()
+    return ingest.mentions(None, accepted, NOW).join(ids, "article_id").select("url_canonical", "source_id", "points")
+
+
+@query(f"WITH {HITS}, {accepted_sql('hits')} SELECT DISTINCT cu AS url_canonical, unnest({TOPIC_LIST}) AS topic FROM acc")
+def article_topics(spark, d):
+    accepted = _accepted(spark, d, hits(spark, d))
+    ids = accepted.select(ingest.article_id(F.col("url_canonical")).alias("article_id"), "url_canonical").distinct()
+    return ingest.article_topics(None, accepted, TOPICS).join(ids, "article_id").select("url_canonical", "topic")
+
+
+@query(f"WITH {HITS}, {accepted_sql('hits')} SELECT count(DISTINCT cu) AS articles_new, count(*) - count(DISTINCT cu) AS articles_updated FROM acc")
+def ingest_counts(spark, d):
+    return ingest.ingest_counts(None, _accepted(spark, d, hits(spark, d)))
+
+
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def unclustered_anti(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+
+
+@query("SELECT event_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events WHERE event_id % 7 = 0)")
+def known_source_semi(spark, d):
+    events = table(spark, d, "events")
+    return events.join(events.where("event_id % 7 = 0").select("event_type").distinct(), "event_type", "left_semi").select("event_id")
+
+
+@query(f"WITH {ITEMS} SELECT seq FROM items i WHERE NOT EXISTS (SELECT 1 FROM items s WHERE s.url = i.url AND s.seq % 4 = 0)")
+def seen_ttl_anti(spark, d):
+    items = raw_items(spark, d)
+    lines = items.where("seq % 4 = 0").select(F.concat(F.sha2("url", 256), F.lit(" 2030-01-01T00:00:00+00:00")).alias("value")).unionByName(
+        items.where("seq % 4 = 1").select(F.concat(F.sha2("url", 256), F.lit(" 2001-01-01T00:00:00")).alias("value"))
+    ).unionByName(spark.createDataFrame([("broken",)], "value string"))
+    return dedup.unseen(items, dedup.parse_seen(lines, "2030-01-02")).select("seq")
+
+
+@query(f"WITH {ITEMS} SELECT seq, coalesce(CASE WHEN length(source_id) % 2 = 0 THEN 0.5::DOUBLE END, 0.1::DOUBLE) AS weight FROM items")
+def weight_left_default(spark, d):
+    items = raw_items(spark, d)
+    weights = items.where("length(source_id) % 2 = 0").select("source_id").distinct().withColumn("weight", F.lit(0.5))
+    return items.join(weights, "source_id", "left").select("seq", F.coalesce("weight", F.lit(0.1)).alias("weight"))
+
+
+@query(f"WITH {ITEMS}, {accepted_sql('items')} SELECT seq, {SCORE.format(release=RELEASE)} AS score FROM acc")
+def article_score(spark, d):
+    accepted = _accepted(spark, d, raw_items(spark, d))
+    return accepted.select("seq", scores.article_score(F.col("weight"), F.col("points"), F.lit(0.0), titles.is_release(F.col("title"))).alias("score"))
+
+
+@query(f"""WITH {MEMBERS}, {EFFECTIVE.format(order='seq')}, nw AS (SELECT max(collected_at) - 100 * 86400 AS now FROM mb)
+SELECT story_id, round(max(score_base) + ln(any_value(sources)) * 0.3::DOUBLE + CASE WHEN max(collected_at) >= any_value(now) - {GAP} THEN 0.2 ELSE 0 END, 6) AS score FROM mb JOIN ef USING (story_id), nw GROUP BY story_id""")
+def story_score(spark, d):
+    members = member_rows(spark, d)
+    now = members.agg(F.max("collected_at")).first()[0] - 100 * 86_400
+    return stories.story_scores(members, now).select("story_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {MEMBERS}, {EFFECTIVE.format(order='seq')} SELECT * FROM ef")
+def effective_sources(spark, d):
+    return stories.effective_sources(member_rows(spark, d), [F.col("seq")])
+
+
+@query(f"""WITH {ITEMS} SELECT seq, round(CASE WHEN length(source_id) % 2 = 0 THEN 0.5 ELSE 0.1 END + least(points / 500::DOUBLE, 0.3) + (points % 3) / 10::DOUBLE * 0.2 + CASE WHEN seq % 5 = 0 THEN 0.2 ELSE 0 END - (seq % 100) * 0.005, 9) AS score FROM items""")
+def signal_score(spark, d):
+    items = raw_items(spark, d).withColumn("weight", F.when(F.length("source_id") % 2 == 0, F.lit(0.5)))
+    score = scores.signal_score(F.col("weight"), F.col("points"), F.col("points") % 3 / F.lit(10.0), F.col("seq") % 5 == 0, (F.col("seq") % 100).cast("double"))
+    return items.select("seq", F.round(score, 9).alias("score"))
+
+
+@query("SELECT event_id, round(greatest(0, (epoch(TIMESTAMP '2024-06-01') - epoch(ts)) / 3600), 6) AS hours FROM events")
+def hours_old(spark, d):
+    text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return table(spark, d, "events").select("event_id", F.round(scores.hours_old(F.lit("Mon, 01 Jan 2024"), text, F.lit("2024-06-01")), 6).alias("hours"))
+
+
+@query(f"WITH {MEMBERS}, {TAGS} SELECT * FROM tg")
+def story_topics_top5(spark, d):
+    return story_tags(spark, d)
+
+
+@query(f"WITH {STORIES}, {TOP.format(h=24 * 365, n=25)} SELECT id, score, story_type FROM tp")
+def top_stories(spark, d):
+    return brief.top_stories(story_rows(spark, d), latest(spark, d), hours=24 * 365).select("id", "score", "story_type")
+
+
+@query(f"WITH {STORIES}, {MEMBERS}, {TAGS} SELECT id, score FROM st, nw WHERE status = 'active' AND last_updated >= now - 24 * 365 * 3600 AND id IN (SELECT story_id FROM tg WHERE topic = 't3') ORDER BY score DESC, id LIMIT 25")
+def top_stories_by_topic(spark, d):
+    tags = story_tags(spark, d)
+    return brief.top_stories(story_rows(spark, d), latest(spark, d), hours=24 * 365, topics=tags, topic="t3").select("id", "score")
+
+
+@query(f"WITH {ITEMS} SELECT seq, points / 7::DOUBLE AS score FROM items ORDER BY points DESC, seq LIMIT 10")
+def hard_cap(spark, d):
+    return digest.hard_cap(raw_items(spark, d).select("seq", (F.col("points") / F.lit(7.0)).alias("score")))
+
+
+@query(f"""WITH {STORIES}, {TOP.format(h=24 * 365, n=25)}, {MEMBERS}, {TAGS}, {EFFECTIVE.format(order='score_base DESC, seq')}
+SELECT CASE story_type WHEN 'release' THEN 1 WHEN 'research' THEN 2 WHEN 'tutorial' THEN 3 WHEN 'opinion' THEN 4 WHEN 'news' THEN 5 ELSE 6 END AS section_rank, story_type,
+  CAST(row_number() OVER (PARTITION BY story_type ORDER BY score DESC, id) AS INTEGER) AS position, id, printf('%.2f', score) AS badge, coalesce(sources, 0) AS sources,
+  (SELECT string_agg(topic, ',' ORDER BY topic) FROM tg WHERE story_id = id) AS topics, (SELECT string_agg(title, ',' ORDER BY score_base DESC, seq) FROM mb WHERE story_id = id) AS articles
+FROM tp LEFT JOIN ef ON story_id = id""")
+def brief_rows(spark, d):
+    chosen = brief.top_stories(story_rows(spark, d), latest(spark, d), hours=24 * 365)
+    rows = brief.brief_rows(chosen, member_rows(spark, d), story_tags(spark, d))
+    return rows.select("section_rank", "story_type", "position", "id", "badge", "sources", F.array_join("topics", ",").alias("topics"), F.array_join(F.transform("articles", lambda a: a["title"]), ",").alias("articles"))
+
+
+@query(f"WITH {STORIES} SELECT DISTINCT story_type, CASE story_type WHEN 'release' THEN 1 WHEN 'research' THEN 2 WHEN 'tutorial' THEN 3 WHEN 'opinion' THEN 4 WHEN 'news' THEN 5 ELSE 6 END AS section_rank FROM st")
+def brief_section_order(spark, d):
+    return story_rows(spark, d).select("story_type", brief.section_rank(F.col("story_type")).alias("section_rank")).distinct()
+
+
+@query("""WITH i AS (SELECT doc_id AS seq, lang AS topic, n_chars / 1000::DOUBLE AS score, CAST(doc_id % 60 AS DOUBLE) AS hours FROM documents),
+p AS (SELECT *, row_number() OVER (ORDER BY score DESC, seq) AS place FROM i), g AS (SELECT topic, count(*) AS n, avg(hours) AS h, min(place) AS f FROM p GROUP BY topic),
+s AS (SELECT topic, n, 1 / row_number() OVER (ORDER BY n DESC, f)::DOUBLE * 0.6 + n / sum(n) OVER ()::DOUBLE * 0.3 + greatest(0, 1 - h / 48) * 0.1 AS topic_score FROM g)
+SELECT topic, n, round(topic_score, 9) AS topic_score, CAST(row_number() OVER (ORDER BY topic_score DESC, topic) AS INTEGER) AS section FROM s""")
+def digest_rows(spark, d):
+    items = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), F.array("lang").alias("topics"), (F.col("n_chars") / F.lit(1000.0)).alias("score"), (F.col("doc_id") % 60).cast("double").alias("hours_old"))
+    return digest.sections(items).withColumn("topic_score", F.round("topic_score", 9))
+
+
+@query(f"WITH {MEMBERS} SELECT story_id, string_agg(article_id, ',' ORDER BY score_base DESC, seq) AS articles FROM mb GROUP BY story_id")
+def story_articles_ranked(spark, d):
+    rows = member_rows(spark, d).groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score_base")).alias("k"), "seq", "article_id"))).alias("a"))
+    return rows.select("story_id", F.array_join(F.transform("a", lambda a: a["article_id"].cast("string")), ",").alias("articles"))
+
+
+@query(f"WITH {ITEMS}, {HITS} SELECT source_id, count(*) AS n FROM (SELECT source_id FROM items UNION ALL SELECT source_id FROM hits) GROUP BY source_id")
+def union_sources(spark, d):
+    return raw_items(spark, d).unionByName(hits(spark, d)).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {STORIES} SELECT id, CASE WHEN status = 'active' AND last_updated < now - {GAP} THEN 'inactive' ELSE status END AS status FROM st, nw")
+def deactivate_stale(spark, d):
+    return stories.deactivate_stale(story_rows(spark, d), latest(spark, d)).select("id", "status")
+
+
+RUNS = "(SELECT event_id AS id, CAST(epoch(ts) AS BIGINT) AS finished_at FROM events)"
+
+
+def _runs(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("finished_at"))
+
+
+@query(f"WITH {STORIES} SELECT (SELECT count(*) FROM pages) AS articles, count(*) FILTER (WHERE status = 'active') AS active_stories, (SELECT arg_max(finished_at, id) FROM {RUNS}) AS last_finished FROM st")
+def status(spark, d):
+    return brief.status(table(spark, d, "pages"), story_rows(spark, d), _runs(spark, d))
+
+
+@query(f"SELECT CASE WHEN 1717200000 - arg_max(finished_at, id) < 86400 THEN 'fresh' ELSE 'stale' END AS freshness FROM {RUNS}")
+def freshness(spark, d):
+    return brief.freshness(_runs(spark, d), 1_717_200_000)
+
+
+@query(f"WITH {ITEMS} SELECT seq, points FROM items WHERE points >= 100")
+def hn_points_filter(spark, d):
+    from .sources.feeds import hacker_news_items
+
+    body = F.to_json(F.struct(F.array(F.struct(F.col("seq").cast("string").alias("objectID"), "title", "url", "points", F.lit("2024-01-01T00:00:00Z").alias("created_at"))).alias("hits")))
+    rows = raw_items(spark, d).select(F.col("seq").cast("string").alias("source_id"), body.alias("body"))
+    return hacker_news_items(rows).select(F.col("source_id").cast("long").alias("seq"), "points")
+
+
+_MD = "title"
+for _old, _new in markup.MARKDOWN:
+    _MD = f"replace({_MD}, '{_old}', '{_new}')"
+_LINK = "url"
+for _old, _new in markup.LINK:
+    _LINK = f"replace({_LINK}, {'chr(' + str(ord(_old)) + ')'}, '{_new}')"
+
+
+@query(f"WITH {STORIES} SELECT id, {_MD} AS title FROM st")
+def escape_md(spark, d):
+    return story_rows(spark, d).select("id", markup.escape_markdown(F.col("title")).alias("title"))
+
+
+@query(f"SELECT doc_id, {_LINK} AS url FROM (SELECT doc_id, text AS url FROM documents)")
+def escape_url(spark, d):
+    return table(spark, d, "documents").select("doc_id", markup.escape_link(F.col("text")).alias("url"))
+
+
+@query("SELECT o_orderkey AS id, printf('%.2f', o_totalprice / 8) AS badge FROM orders")
+def score_badge(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), markup.badge(F.col("o_totalprice") / 8).alias("badge"))
+
+
+@query("SELECT page_id, sha256(url) AS key FROM pages")
+def sha_url(spark, d):
+    return table(spark, d, "pages").select("page_id", F.sha2("url", 256).alias("key"))
+
+
+@query("SELECT page_id, regexp_replace('x sk-' || sha256(url) || ' y', '((?:sk|tvly)-[A-Za-z0-9_-]{10})[A-Za-z0-9_-]*', '\\1**REDACTED**', 'g') AS line FROM pages")
+def redact(spark, d):
+    line = F.concat(F.lit("x sk-"), F.sha2("url", 256), F.lit(" y"))
+    return table(spark, d, "pages").select("page_id", markup.redact_keys(line).alias("line"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+def slugify(spark, d):
+    return table(spark, d, "part").select("p_partkey", markup.slug(F.col("p_name")).alias("slug"))
+
+
+@query("SELECT event_id, json_valid(props) AS valid FROM events")
+def json_extra(spark, d):
+    return table(spark, d, "events").select("event_id", markup.valid_json(F.col("props")).alias("valid"))
+
+
+@query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS published_at FROM events")
+def parse_published(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    mail = F.when(F.col("event_id") % 2 == 0, F.date_format(ts, "'Mon, 'dd MMM yyyy HH:mm:ss '+0000'")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return table(spark, d, "events").select("event_id", scores.parse_published(mail).alias("published_at"))
+
+
+TERMS = f"{HEADS}, ps AS (SELECT id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY id) AS len FROM (SELECT id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) AS term FROM hd) GROUP BY id, term)"
+
+
+@query(f"WITH {TERMS} SELECT id FROM ps WHERE term IN ('the', 'of') GROUP BY id HAVING count(*) = 2")
+def search_and(spark, d):
+    return search.matches_all(search.postings(headlines(spark, d)), ["the", "Of"])
+
+
+@query(f"""WITH {TERMS}, sz AS (SELECT count(*) AS docs, avg(len) AS mean FROM (SELECT id, any_value(len) AS len FROM ps GROUP BY id)), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term)
+SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean)))), 6) AS rank FROM ps JOIN df USING (term), sz WHERE term IN ('the', 'und', 'de') GROUP BY id""")
+def search_bm25(spark, d):
+    return search.bm25(search.postings(headlines(spark, d)), ["the", "und", "de"]).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"WITH {MEMBERS} SELECT topic, count(DISTINCT article_id) AS articles FROM mb GROUP BY topic")
+def topic_counts(spark, d):
+    return member_topics(spark, d).groupBy("topic").agg(F.count("*").alias("articles"))
+
+
+@query(f"WITH {STORIES}, {MEMBERS} SELECT id, score, count(article_id) AS articles, count(DISTINCT source_id) AS sources FROM st LEFT JOIN mb ON story_id = id GROUP BY ALL")
+def story_detail(spark, d):
+    counted = member_rows(spark, d).groupBy(F.col("story_id").alias("id")).agg(F.count("*").alias("articles"), F.count_distinct("source_id").alias("sources"))
+    none = F.lit(0).cast("long")
+    return story_rows(spark, d).join(counted, "id", "left").select("id", "score", F.coalesce("articles", none).alias("articles"), F.coalesce("sources", none).alias("sources"))
+
+
+@query(f"WITH {STORIES} SELECT id, round(score - (now - last_updated) / 3600::DOUBLE * 0.005, 6) AS score FROM st, nw")
+def effective_decay(spark, d):
+    hours = (F.lit(latest(spark, d)) - F.col("last_updated")) / F.lit(3600.0)
+    return story_rows(spark, d).select("id", F.round(scores.effective_score(F.col("score"), hours), 6).alias("score"))
+
+
+def _norms(spark, d):
+    rows = raw_items(spark, d).select(titles.normalize_title(F.col("title")).alias("title")).where(titles.word_count(F.col("title")) >= 4).distinct()
+    return rows.withColumn("numbers", F.array_join(titles.number_tokens(F.col("title")), " "))
+
+
+@query(f"""WITH {ITEMS}, n AS (SELECT DISTINCT title FROM (SELECT {NORM.format(t='title')} AS title FROM items) WHERE len(string_split(title, ' ')) >= 4),
+k AS (SELECT title, list_sort(list_distinct(regexp_extract_all(title, '\\d+(?:\\.\\d+)*'))) AS num FROM n)
+SELECT x.title AS a, y.title AS b FROM k x JOIN k y ON x.num = y.num AND x.title < y.title WHERE length(x.title) <= length(y.title) * (1.35 / 0.65) AND length(y.title) <= length(x.title) * (1.35 / 0.65)""")
+def title_candidates(spark, d):
+    return similarity.title_candidates(_norms(spark, d), similarity.STORY_THRESHOLD, "numbers")
+
+
+@query()
+def title_similarity(spark, d):
+    return similarity.similar_titles(_norms(spark, d), similarity.STORY_THRESHOLD, key="numbers")
+
+
+@query()
+def dedup_titles(spark, d):
+    return dedup.dedup_items(raw_items(spark, d)).select("seq", "title")
+
+
+def _clustered(spark, d):
+    accepted = _accepted(spark, d, raw_items(spark, d))
+    articles = ingest.upsert_articles(None, accepted, NOW)
+    return articles, stories.cluster(articles, ingest.article_topics(None, accepted, TOPICS))
+
+
+@query()
+def cluster_stories(spark, d):
+    return _clustered(spark, d)[1].select("story_id", "article_id", "is_new", "step")
+
+
+@query()
+def canonical_election(spark, d):
+    articles, changes = _clustered(spark, d)
+    return stories.apply_clusters(None, None, changes, articles, NOW)[0].select("id", "canonical_article_id", "title", "story_type", F.round("score", 6).alias("score"))
+
+
+@query()
+def recluster(spark, d):
+    articles, changes = _clustered(spark, d)
+    found, members = stories.apply_clusters(None, None, changes, articles, NOW)
+    kept, held = stories.detach_since(found, members, articles, NOW)
+    return kept.select("id").unionByName(held.select(F.col("story_id").alias("id")))
+
+
+@query()
+def minhash_candidates(spark, d):
+    """Candidate pairs by MinHash over title words (randomised, so no SQL)."""
+    from pyspark.ml.feature import HashingTF, MinHashLSH
+
+    words = _norms(spark, d).withColumn("words", F.split("title", " "))
+    hashed = HashingTF(inputCol="words", outputCol="features", binary=True, numFeatures=1 << 16).transform(words)
+    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=8, seed=1).fit(hashed)
+    pairs = model.approxSimilarityJoin(hashed, hashed, 0.6, "distance")
+    return pairs.select(F.col("datasetA.title").alias("a"), F.col("datasetB.title").alias("b"), F.round("distance", 6).alias("distance")).where("a < b")
+
+
+@query(f"WITH {ITEMS}, {accepted_sql('items')}, {UPSERT} SELECT url_canonical, title, points, score_base FROM ({_ARTICLE}) ORDER BY score_base DESC, url_canonical LIMIT 25")
+def top_articles(spark, d):
+    """The flagship: deduplicated, scored articles, the best 25."""
+    articles = ingest.upsert_articles(None, _accepted(spark, d, raw_items(spark, d)), NOW)
+    return articles.select("url_canonical", "title", "points", "score_base").orderBy(F.desc("score_base"), "url_canonical").limit(25)
