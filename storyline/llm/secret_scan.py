@@ -27,6 +27,10 @@ STATES = len(ALPHABET) + 1
 #: Runs that the models judge, and the log-likelihood ratio (in all, and per character) that makes one a secret.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEAST_RATIO, LEAST_RATIO_PER_CHARACTER = 12.0, 0.8
+#: Weight of a character's own frequency against its counts after another.
+BACKOFF = 8.0
+#: Signs that join words into ordinary identifiers.
+JOINS = "_-/+="
 #: Labelled random strings of each alphabet that are generated for training.
 GENERATED = 400
 
@@ -54,8 +58,11 @@ class RandomnessModel:
     def __init__(self, random_counts: np.ndarray, ordinary_counts: np.ndarray) -> None:
         logs = []
         for counts in (random_counts, ordinary_counts):
-            smooth = counts.reshape(STATES, STATES) + 0.5
-            smooth[0, 0] = 0.5
+            pairs = counts.reshape(STATES, STATES).astype(float)
+            pairs[0, 0] = 0
+            single = pairs.sum(axis=0) + 0.5
+            # Rows with little evidence lean on how frequent the next character is.
+            smooth = pairs + BACKOFF * single / single.sum()
             logs.append(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
         self.ratio = (logs[0] - logs[1]).ravel()
 
@@ -81,7 +88,8 @@ def train(docs: DataFrame) -> RandomnessModel:
     """Both models from labelled samples over all documents.
 
     Random strings: the values that base patterns find, and GENERATED seeded
-    random ones per alphabet. Ordinary identifiers: all other text. Executors
+    random ones per alphabet. Ordinary identifiers: all other text, as words and
+    joined. Executors
     send sums of transitions only (two matrices a partition).
     """
 
@@ -106,6 +114,7 @@ def train(docs: DataFrame) -> RandomnessModel:
     totals = np.zeros((2, STATES * STATES), np.int64)
     for row in rows:
         totals[row["label"], row["cell"]] = row["n"]
+    _join_words(totals[1].reshape(STATES, STATES))
     dice = random.Random(0)
     for alphabet in ("0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, ALPHABET):
         for _ in range(GENERATED):
@@ -113,6 +122,20 @@ def train(docs: DataFrame) -> RandomnessModel:
     return RandomnessModel(totals[0], totals[1])
 
 
+def _join_words(counts: np.ndarray) -> None:
+    """Adds to ordinary ``counts`` what the same words give as identifiers: joined by each of JOINS, and in camel case."""
+    starts, ends = counts[0].copy(), counts[:, 0].copy()
+    starts[0] = ends[0] = 0
+    for sign in JOINS:
+        at = int(_CODE[ord(sign)])
+        counts[at] += starts
+        counts[:, at] += ends
+    lower, upper = (_CODE[np.frombuffer(letters.encode(), np.uint8)] for letters in (string.ascii_lowercase, string.ascii_uppercase))
+    first = starts[lower] + starts[upper]
+    if first.sum():
+        counts[:, upper] += np.outer(ends, first) // int(first.sum())
+
+
 def _listed(spans: list[tuple]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end, *_ in spans)
 

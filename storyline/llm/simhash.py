@@ -31,20 +31,20 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     Words are runs without ASCII white space, A-Z lowered. A text of fewer than
     ``width`` words is one shingle; one without words (or null) has fingerprint 0.
     """
-    return with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text"), width).select("doc_id", "fp")
+    return with_fingerprint(docs.select(F.col("doc_id").cast("long"), "text"), "fp", width).select("doc_id", "fp")
 
 
-def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs``, all columns, and their text's fingerprint as ``fp``."""
+def with_fingerprint(docs: DataFrame, name: str, width: int = 3) -> DataFrame:
+    """``docs``, all columns, and their text's fingerprint as ``name``."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             data = batch["text"].cast(pa.binary()).to_pylist()
             prints = np.array([_fingerprint((x or b"").lower().split(), width) for x in data], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(prints)], names=[*columns, "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(prints)], names=[*columns, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _fingerprint(words: list[bytes], width: int) -> int:
@@ -285,12 +285,14 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     The row of the group's least doc_id stays (of repeated ones, one; null ids
     lose to others, and a group without ids keeps one row of one fingerprint).
     """
-    marked = durable(with_fingerprint(docs, width))
-    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
-    names = _components(prints)
+    mark = "fp"
+    while mark.lower() in map(str.lower, docs.columns):
+        mark = f"_{mark}"
+    marked = durable(with_fingerprint(docs, mark, width))
+    names = _components(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fp")))
     own = names.where(F.col("least").eqNullSafe(F.col("component_id")))
-    # Groups without any id are told apart by their fingerprints' component in _components; each keeps its least fp.
-    kept = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_")).agg(F.min("fp").alias("fp"), F.min("least").alias("least"))
-    chosen = kept.select(F.col("fp").alias("_fp"), F.col("least").alias("_least"))
-    same = (F.col("fp") == F.col("_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_least"))
-    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "fp"]).select(*docs.columns)
+    # Of a group without ids the least fingerprint stands for it.
+    kept = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("fp"), F.min("least").alias("least"))
+    chosen = kept.select(F.col("fp").alias("_chosen_fp"), F.col("least").alias("_chosen_id"))
+    same = (F.col(mark) == F.col("_chosen_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_chosen_id"))
+    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
