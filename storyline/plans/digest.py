@@ -35,9 +35,10 @@ def sections(items: DataFrame) -> DataFrame:
     Sections are ranked by size (ties by first appearance in score order), then
     scored by that rank, their share and their age, and ordered by score.
     """
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "seq"))
-    numbered = items.withColumn("topic", F.coalesce(F.try_element_at("topics", F.lit(1)), F.lit("uncategorized"))).withColumn("_place", place)
-    grouped = numbered.groupBy("topic").agg(F.count("*").alias("n"), F.avg("hours_old").alias("hours"), F.min("_place").alias("_first"))
+    topic = F.coalesce(F.try_element_at("topics", F.lit(1)), F.lit("uncategorized"))
+    first = F.min(F.struct(-F.col("score"), F.col("seq")))
+    grouped = items.groupBy(topic.alias("topic")).agg(F.count("*").alias("n"), F.avg("hours_old").alias("hours"), first.alias("_first"))
+    # From here on there is a row per topic.
     rank = 1 / F.row_number().over(Window.orderBy(F.desc("n"), "_first"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy())
     scored = grouped.withColumn("topic_score", scores.topic_score(rank, share, scores.hotness(F.col("hours"))))
