@@ -59,6 +59,12 @@ class ChunkEncoder:
 _encoders: dict[int, ChunkEncoder] = {}
 
 
+def _encoder(tokenizer_json: str) -> ChunkEncoder:
+    """The worker's own encoder, kept with what it has memorised from task to task."""
+    key = zlib.crc32(tokenizer_json.encode())
+    return _encoders.get(key) or _encoders.setdefault(key, ChunkEncoder(tokenizer_json))
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """One row per piece of at most ``capacity`` ids of each document's ids and ``end_id``.
 
@@ -66,11 +72,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
-    key = hash((tokenizer_path, os.path.getmtime(tokenizer_path)))
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(key) or _encoders.setdefault(key, ChunkEncoder(model.value))
+        encoder = _encoder(model.value)
         for batch in pieces(batches, "data"):
             out: list[tuple] = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["data"].to_pylist()), strict=True):
