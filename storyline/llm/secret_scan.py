@@ -76,7 +76,7 @@ class RandomnessModel:
         found = []
         for m in CANDIDATE.finditer(text):
             run = m.group()
-            if run.isdigit() or run.isalpha() or any(s < m.end() and m.start() < e for s, _, e, *_ in taken):
+            if run.isdigit() or any(s < m.end() and m.start() < e for s, _, e, *_ in taken):
                 continue
             score = self.score(run)
             if score >= LEAST_RATIO and score >= LEAST_RATIO_PER_CHARACTER * len(run):
