@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import markup, rules, scores, titles, urls
 from .operators import dedup, ingest, search, similarity, stories
+from .operators.durable import durable
 from .plans import brief, digest
 
 NOW = 1_900_000_000
@@ -554,10 +555,16 @@ def canonical_election(spark, d):
 
 @query()
 def recluster(spark, d):
-    articles, changes = _clustered(spark, d)
-    found, members = stories.apply_clusters(None, None, changes, articles, NOW)
-    kept, held = stories.detach_since(found, members, articles, NOW)
-    return kept.select("id").unionByName(held.select(F.col("story_id").alias("id")))
+    """Membership after the later of two batches is let go and clustered anew."""
+    accepted = _accepted(spark, d, raw_items(spark, d))
+    stored = ingest.upsert_articles(None, accepted.where("seq % 2 = 0"), NOW - 60)
+    articles = durable(ingest.upsert_articles(stored, accepted.where("seq % 2 = 1"), NOW))
+    topics = ingest.article_topics(None, accepted, TOPICS)
+    changes = durable(stories.cluster(articles, topics))
+    kept, held = stories.detach_since(*stories.apply_clusters(None, None, changes, articles, NOW), articles, NOW)
+    kept, held = durable(kept), durable(held)
+    anew = durable(stories.cluster(articles, topics, kept, held))
+    return stories.apply_clusters(kept, held, anew, articles, NOW)[1].select("story_id", "article_id")
 
 
 @query()
