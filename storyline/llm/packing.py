@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.durable import durable
 from .text import pieces, text_bytes
 
 MEMO_ENTRIES = 800_000
-#: Signs that end many chunks.
-STOPS = (b".", b",")
+#: Words whose ids are merged in one call.
+WORDS_AT_ONCE = 1000
+#: Mask of a length in a place.
+LENGTH = (1 << 32) - 1
+#: Letters that the pattern takes as one word in UTF-8, and ASCII signs that it takes as one after them (an apostrophe may begin a suffix).
+LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: The byte-level signs of those bytes of LATIN's small letters that are no printing character of Latin-1.
+BYTE_SIGNS = {"\x9f": "\u0141", "\xa0": "\u0142", "\xad": "\u0143"}
+#: Pieces of one length that are ranked together.
+SLICE_ROWS = 500
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -27,42 +39,110 @@ class ChunkEncoder:
     The tokenizer's pattern never crosses white space, so a text's ids are those
     of its chunks in order. ASCII letters are lowered first to share more chunks;
     texts where that could matter (combining marks, special-token strings) are not.
+    A chunk's ids lie in one flat array; the memo says where.
     """
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int = 1) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        split = [x.split() if b"\xcc" in x or b"\xcd" in x or b"<|" in x else x.lower().split() for x in texts]
-        if len(self._memo) > MEMO_ENTRIES:
-            self._memo.clear()
-        get = self._memo.get
-        found = [list(map(get, chunks)) for chunks in split]
-        self._learn({c for chunks, ids in zip(split, found, strict=True) if None in ids for c, i in zip(chunks, ids, strict=True) if i is None})
-        return [b"".join(map(get, chunks) if None in ids else ids) for chunks, ids in zip(split, found, strict=True)]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Memorises chunks. One that ends in a letter and a stop has the ids of the part before the stop, then the stop's."""
-        memo = self._memo
-        stopped = {c for c in chunks if c[-1:] in STOPS and c[-2:-1].isalpha()}
-        new = [c for c in (chunks - stopped) | {c[:-1] for c in stopped} | set(STOPS) if c not in memo]
-        coded = self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-        memo.update((c, array("I", e.ids).tobytes()) for c, e in zip(new, coded, strict=True))
-        memo.update((c, memo[c[:-1]] + memo[c[-1:]]) for c in stopped)
+        self._merger, self._ends = _bare_merger(tokenizer_json)
+        self._end_id = end_id
+        self._forget()
 
+    def _forget(self) -> None:
+        self._memo: dict[bytes, int] = {}
+        self._flat, self._used = np.zeros(1 << 20, "<u4"), 0
+        self._end = int(self._append(np.array([self._end_id], "<u4"), np.array([1]))[0])
 
-_encoders: dict[int, ChunkEncoder] = {}
-
-
-def _encoder(tokenizer_json: str) -> ChunkEncoder:
+    def encode(self, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8 as binary), each with the end id, and where each text's ids end."""
+        if len(self._memo) > MEMO_ENTRIES:
+            self._forget()
+        raw = data.view(pa.string())
+        exact = pa.array([b"\xcc" in x or b"\xcd" in x or b"<|" in x for x in data.to_pylist()], pa.bool_())
+        chunks = pc.ascii_split_whitespace(pc.if_else(exact, raw, pc.ascii_lower(raw)))
+        offsets = chunks.offsets.to_numpy()
+        coded = chunks.flatten().view(pa.binary()).dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        places = np.insert(places, offsets[1:] - offsets[0], self._end)
+        total = np.cumsum(places & LENGTH)
+        ids = self._gather(places)
+        return ids, total[offsets[1:] - offsets[0] + np.arange(len(data))] if len(data) else total
+
+    def _places(self, chunks: list[bytes]) -> np.ndarray:
+        """Where each chunk's ids lie: start << 32 | length."""
+        places = np.fromiter(map(self._memo.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(missing := np.flatnonzero(places < 0)):
+            self._learn([chunks[k] for k in missing.tolist()])
+            places[missing] = np.fromiter((self._memo[chunks[k]] for k in missing.tolist()), np.int64, len(missing))
+        return places
+
+    def _gather(self, places: np.ndarray) -> np.ndarray:
+        lengths = places & LENGTH
+        before = np.cumsum(lengths) - lengths
+        return self._flat[np.repeat((places >> 32) - before, lengths) + np.arange(int(lengths.sum()))]
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Keeps ids; the places of the runs of these lengths."""
+        if self._used + len(ids) > len(self._flat):
+            self._flat = np.concatenate([self._flat[: self._used], np.zeros(max(len(ids), self._used), "<u4")])
+        self._flat[self._used : self._used + len(ids)] = ids
+        starts = self._used + np.cumsum(lengths) - lengths
+        self._used += len(ids)
+        return starts << 32 | lengths
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Memorises chunks. One of letters and signs after them has the ids of the letters, then those of the signs."""
+        memo, whole, plain = self._memo, [], []
+        for c in chunks:
+            word = c.rstrip(SIGNS)
+            if self._ends is not None and word and (word.isalpha() or LATIN.fullmatch(word)):
+                plain.append((c, word.lower() if word.isascii() else word.decode().lower().encode(), c[len(word) :]))
+            else:
+                whole.append(c)
+        whole += {signs for _, _, signs in plain if signs not in memo}.difference(whole)
+        coded = [e.ids for e in self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(coded), "<u4")
+        memo.update(zip(whole, self._append(flat, np.fromiter(map(len, coded), np.int64, len(coded))).tolist(), strict=True))
+        words = [w for w in dict.fromkeys(w for _, w, _ in plain) if w not in memo]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            self._learn_words(words[at : at + WORDS_AT_ONCE])
+        signed = [(c, word, signs) for c, word, signs in plain if c != word]
+        parts = np.fromiter((memo[x] for _, word, signs in signed for x in (word, signs)), np.int64, 2 * len(signed))
+        memo.update(zip([c for c, _, _ in signed], self._append(self._gather(parts), (parts & LENGTH).reshape(-1, 2).sum(axis=1)).tolist(), strict=True))
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Memorises words of lower-case letters, merged in one go; each word's last id is one that ends words."""
+        joined = b" ".join(words).decode("latin-1")
+        for byte, sign in BYTE_SIGNS.items():
+            joined = joined.replace(byte, sign)
+        ids = np.array(self._merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        self._memo.update(zip(words, self._append(ids, np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)).tolist(), strict=True))
+
+
+def _bare_merger(tokenizer_json: str):
+    """The tokenizer's merges alone, without its normaliser and pattern, and which ids end words (None: it marks no ends)."""
+    from tokenizers import Tokenizer
+
+    rules = json.loads(tokenizer_json)
+    suffix = rules["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None, None
+    rules |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}
+    ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+    ends[[k for piece, k in rules["model"]["vocab"].items() if piece.endswith(suffix)]] = True
+    return Tokenizer.from_str(json.dumps(rules)), ends
+
+
+_encoders: dict[tuple[int, int], ChunkEncoder] = {}
+
+
+def _encoder(tokenizer_json: str, end_id: int) -> ChunkEncoder:
     """The worker's own encoder, kept with what it has memorised from task to task."""
-    key = zlib.crc32(tokenizer_json.encode())
-    return _encoders.get(key) or _encoders.setdefault(key, ChunkEncoder(tokenizer_json))
+    key = (zlib.crc32(tokenizer_json.encode()), end_id)
+    return _encoders.get(key) or _encoders.setdefault(key, ChunkEncoder(tokenizer_json, end_id))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -72,17 +152,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value)
+        encoder = _encoder(model.value, end_id)
         for batch in pieces(batches, "data"):
             out: list[tuple] = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["data"].to_pylist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
+            ids, ends = encoder.encode(batch["data"])
+            ids, ends = memoryview(ids), ends.tolist()
+            for doc, first, end in zip(batch["doc_id"].to_pylist(), [0, *ends], ends, strict=False):
+                for piece, at in enumerate(range(first, end, capacity)):
+                    part = ids[at : min(end, at + capacity)]
+                    out.append((doc, piece, at - first, len(part), zlib.crc32(part)))
             columns = list(zip(*out, strict=True))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
@@ -187,28 +267,28 @@ class _Places:
         return self.sequence[at] + nth // self.copies[at], self.offset[at] + nth % self.copies[at] * length
 
 
-def pack(rows: DataFrame, capacity: int = 4096, slice_rows: int = 500_000) -> DataFrame:
+def pack(rows: DataFrame, capacity: int = 4096, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Adds sequence_id and offset to ``rows``, which hold ``length`` (1 to capacity).
 
     Only the histogram of lengths (at most ``capacity`` numbers) reaches the
     driver. Pieces of one length are ranked in slices of about ``slice_rows``
-    rows, so a length that most pieces share is dealt over many tasks. ``rows``
-    must give the same rows whenever it is read. Repeated rows are placed each
-    on its own; an empty table stays empty.
+    rows, dealt by row and not by value, so a length that most pieces share, and
+    equal rows too, go to many tasks. Repeated rows are placed each on its own;
+    an empty table stays empty.
     """
-    histogram = rows.groupBy("length").count().collect()
+    columns = list(rows.columns)
+    numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, np.int64)
-    for row in histogram:
+    for row in numbered.groupBy("length").count().collect():
         counts[row["length"]] = row["count"]
     places = rows.sparkSession.sparkContext.broadcast(_Places(packing_plan(counts, capacity)))
-    slices = int(counts.max() // slice_rows) + 1
-    columns = [c for c in rows.columns]
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(*columns), F.lit(slices)))
+    slices = F.element_at(F.lit([int(n) for n in counts // slice_rows + 1]), F.col("length").cast("int") + 1)
+    sliced = numbered.withColumn("_slice", F.pmod(F.xxhash64("_row"), slices))
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     bases = sliced.groupBy("length", "_slice").count().select(
         "length", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
     )
-    within = Window.partitionBy("length", "_slice").orderBy(*columns)
+    within = Window.partitionBy("length", "_slice").orderBy("_row")
     ranked = (
         sliced.withColumn("_n", F.row_number().over(within) - 1)
         .join(bases, ["length", "_slice"])
@@ -231,4 +311,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     Null texts are empty, null ids stay null, extra columns are not looked at,
     repeated rows are packed each; an empty table gives an empty one.
     """
-    return pack(durable(token_pieces(docs, tokenizer_path, capacity, end_id)), capacity)
+    return pack(token_pieces(docs, tokenizer_path, capacity, end_id), capacity)

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import chat, lm, packing, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
 
-#: Where the public tokenizers' files lie; read on the driver only.
-TOKENIZERS = os.environ.get("STORYLINE_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Where a public tokenizer's file lies; read on the driver only. A folder of one's own goes before the installed files."""
+    if folder := os.environ.get("STORYLINE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F, types as T
 from storyline.llm import chat, lm, packing, queries, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string"  # fp clashes with an inner name
-needs_tokenizers = pytest.mark.skipif(not os.path.isdir(queries.TOKENIZERS), reason="no tokenizer files")
+needs_tokenizers = pytest.mark.skipif(not (os.environ.get("STORYLINE_TOKENIZERS") or importlib.util.find_spec("public_tokenizers")), reason="no tokenizer files")
 
 
 def prose(dice, n):
@@ -69,6 +69,37 @@ def test_packing(docs, empty, rows):
         assert at <= 4096
     assert len(places) <= math.ceil(sum(r["length"] for r in found) / 4096) + 1
     assert packing.pack_documents(empty, path).count() == 0
+    sliced = packing.pack(packing.token_pieces(docs, path), slice_rows=3).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in sliced}) == len(found) and len({r["sequence_id"] for r in sliced}) == len(places)
+
+
+@needs_tokenizers
+def test_chunk_encoder_equals_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as file:
+        encoder = packing.ChunkEncoder(file.read())
+    dice = random.Random(6)
+    parts = [*"abzABZéÉßàíÿ÷×ñ019.,'\"!?-_ \t\n\x1c\u00a0\u0301…日", "'s", "'ll", "the", "<|endoftext|>", "word", "...", "İ", "K"]
+    texts = ["".join(dice.choices(parts, k=dice.randint(0, 25))) for _ in range(4000)]
+    for _ in range(2):
+        ids, ends = encoder.encode(pa.array([t.encode() for t in texts], pa.binary()))
+        found = [x.tolist() for x in np.split(ids, ends)[:-1]]
+        assert found == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def least_sequences(counts, capacity):
+    """Martello and Toth's lower bound: two pieces longer than half share no sequence, and the gaps beside them hold only so much."""
+    size, best = np.arange(capacity + 1), 0
+    for k in range(capacity // 2 + 1):
+        alone, large = counts[size > capacity - k].sum(), counts * ((size > capacity // 2) & (size <= capacity - k))
+        small = counts * ((size <= capacity // 2) & (size >= k))
+        rest = (small * size).sum() - (large.sum() * capacity - (large * size).sum())
+        best = max(best, int(alone + large.sum() + max(0, -(-rest // capacity))))
+    return best
 
 
 def test_packing_plan_places_everything():
@@ -83,9 +114,12 @@ def test_packing_plan_places_everything():
             for x, n in parts:
                 placed[x] += times * n
         assert (placed == counts).all()
-        total = int((counts * np.arange(capacity + 1)).sum())
-        if capacity > 8:  # with few lengths the bound by tokens can't be reached
-            assert sum(t for t, _ in plan) <= math.ceil(total / capacity) + 2
+        assert sum(t for t, _ in plan) <= 1.01 * least_sequences(counts, capacity) + 1
+    # Pieces that go together exactly: singles, pairs and triples fill whole sequences.
+    exact = np.zeros(101, np.int64)
+    for parts in ((100,), (61, 39), (50, 27, 23), (97, 2, 1)):
+        exact[list(parts)] += 7
+    assert sum(t for t, _ in packing.packing_plan(exact, 100)) == 28
     skewed = np.zeros(4097, np.int64)
     skewed[3], skewed[4000] = 10**9, 5
     assert sum(t * n for t, p in packing.packing_plan(skewed, 4096) for x, n in p if x == 3) == 10**9
