@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .durable import durable
+from .durable import durable, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = None
     while True:
-        pairs = durable(_small_star(_large_star(pairs)))
+        last, pairs = pairs, durable(_small_star(_large_star(pairs)))
+        release(last)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
