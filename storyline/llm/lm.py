@@ -1,274 +1,263 @@
-"""Language-model scores from a weighted backoff automaton."""
+"""Language-model scores from a weighted backoff automaton whose arcs are all n-grams of the corpus."""
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.durable import durable
 from .text import id_remainder, pieces, text_bytes
 
-#: Share of all tokens from which a word has an arc of its own, and an n-gram of two or three
-#: words one. No more than 1/share of each can exist, at any size of the corpus.
-WORD_SHARE, NGRAM_SHARE = 1e-6, 1e-5
-LEAST_COUNT = 2
-DISCOUNT = 0.5
-#: The end of a text; no word is empty.
-END = b""
-FLUSH_ENTRIES = 400_000
-TOKENS_AT_ONCE = 3_000_000
 MODULUS, HELD_OUT = 7, 2
+#: Pseudo-counts that a history of one and of two words gives to the shorter history's distribution.
+WEIGHTS = (500.0, 20.0)
+#: Bytes of text in a block, n-gram tokens aimed at in a part, and the least number of parts.
+BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 24 << 20, 4_000_000, 64
+#: Bits of an n-gram's hash that choose its part, and bits that tell it from others there.
+PART_BITS, KEY_BITS = 23, 40
+SEED = 42
+_FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_TRIPLE = np.uint64(0x165667B19E3779F9)
 
+BLOCK_SCHEMA = "n_tokens long, n_train long, ids array<long>, train binary, lengths binary, codes binary, hashes binary"
 
-def words(data: bytes) -> list[bytes]:
-    """Runs without ASCII white space, A-Z lowered."""
-    return data.lower().split()
 
+def _put(values: np.ndarray) -> bytes:
+    """Whole numbers as byte planes, compressed; planes of nothing but zeros are left out."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    used = max((k + 1 for k in range(8) if planes[k].any()), default=1)
+    return len(values).to_bytes(7, "little") + bytes([used]) + pa.compress(np.ascontiguousarray(planes[:used]).tobytes(), codec="zstd", asbytes=True)
 
-def _training(docs: DataFrame) -> DataFrame:
-    return docs.where(id_remainder("doc_id", MODULUS) != HELD_OUT).select(text_bytes().alias("data"))
 
+def _got(data: bytes) -> np.ndarray:
+    """What _put was given, as uint64."""
+    n, used = int.from_bytes(data[:7], "little"), data[7]
+    planes = np.frombuffer(pa.decompress(data[8:], n * used, codec="zstd", asbytes=True), np.uint8).reshape(used, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = planes.T
+    return out.view("<u8").reshape(-1)
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` over all training texts, ends included; counted in the worker before the shuffle."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return out
-
-        for batch in pieces(batches, "data"):
-            for data in batch["data"].to_pylist():
-                counts.update(words(data))
-            counts[END] += batch.num_rows
-            if len(counts) > FLUSH_ENTRIES:
-                yield flush()
-        yield flush()
+def _gaps(rising: np.ndarray) -> np.ndarray:
+    return np.diff(rising, prepend=np.uint64(0))
 
-    return _training(docs).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(31))) * _FACTORS[0] + b
+    x = (x ^ (x >> np.uint64(29))) * _FACTORS[1]
+    return x ^ (x >> np.uint64(32))
 
-class Vocabulary:
-    """Frequent words by falling count; their places are their ids."""
 
-    def __init__(self, listed: list[bytes], counts: np.ndarray, tokens: int, distinct: int) -> None:
-        self.listed, self.counts, self.tokens, self.distinct = listed, counts, tokens, distinct
-        self.total = tokens + distinct + 1
+def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (hashes & np.uint64((1 << PART_BITS) - 1)) % np.uint64(parts)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: k for k, w in enumerate(self.listed)}
 
+class Block:
+    """Consecutive texts as word codes, with the hashes of their words and n-grams.
 
-def ngram_counts(docs: DataFrame, vocabulary: Vocabulary, limit: int, pairs: np.ndarray | None = None) -> DataFrame:
-    """``(code, n)`` of pairs (or, given the kept ``pairs``, triples that consist of them) of the first ``limit`` words.
+    Positions are the tokens of all texts in order, each text's end among them.
+    Histories don't reach over the start of a text.
+    """
 
-    A pair's code is first * limit + second; a triple's is the first pair's place in ``pairs`` * limit + third.
+    def __init__(self, lengths: np.ndarray, train: np.ndarray, codes: np.ndarray, hashes: np.ndarray, parts: int) -> None:
+        self.lengths, self.codes, self.hashes = lengths, codes, hashes
+        ends = np.cumsum(lengths)
+        self.starts = ends - lengths
+        place = np.arange(len(codes)) - np.repeat(self.starts, lengths)
+        self.train = np.repeat(train, lengths)
+        self.second, self.third = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+        own = hashes[codes]
+        pairs = np.zeros(len(codes), np.uint64)
+        pairs[self.second] = _mix(own[self.second - 1], own[self.second])
+        triples = _mix(pairs[self.third - 1] ^ _TRIPLE, own[self.third])
+        grams = np.concatenate([pairs[self.second], triples])
+        #: Each n-gram's part and key, in one number that sorts by part.
+        self.grams = _parts_of(grams, parts) << np.uint64(KEY_BITS) | grams >> np.uint64(64 - KEY_BITS)
+        word_parts = _parts_of(hashes, parts)
+        self.word_order = np.lexsort((hashes, word_parts))
+        self.word_parts = word_parts[self.word_order]
+        self.parts = parts
+
+    def questions(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """Per part: its words and n-grams as rising hashes, each once, and how often training texts hold them here."""
+        trained = np.concatenate([self.train[self.second], self.train[self.third]])
+        marked = self.grams << np.uint64(1) | trained.astype(np.uint64)
+        marked.sort()
+        grams = marked >> np.uint64(1)
+        first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
+        times = np.add.reduceat(marked & np.uint64(1), first) if len(first) else np.zeros(0, np.uint64)
+        grams = grams[first]
+        words = self.hashes[self.word_order]
+        word_times = np.bincount(self.codes[self.train], minlength=len(words))[self.word_order].astype(np.uint64)
+        bounds = np.arange(self.parts + 1, dtype=np.uint64)
+        cut, word_cut = np.searchsorted(grams, bounds << np.uint64(KEY_BITS)).tolist(), np.searchsorted(self.word_parts, bounds).tolist()
+        keys = grams & np.uint64((1 << KEY_BITS) - 1)
+        for part in range(self.parts):
+            a, b, c, d = cut[part], cut[part + 1], word_cut[part], word_cut[part + 1]
+            if b > a or d > c:
+                yield part, _put(_gaps(words[c:d])), _put(_gaps(keys[a:b])), _put(np.concatenate([word_times[c:d], times[a:b]]))
+
+    def answered(self, word_counts: np.ndarray, gram_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of each position's word, pair and triple, from the answers to questions() in order; none counts 0."""
+        by_word = np.empty(len(self.hashes))
+        by_word[self.word_order] = word_counts
+        order = np.argsort(self.grams)
+        first = np.flatnonzero(np.diff(self.grams[order], prepend=~self.grams[order[:1]]))
+        each = np.empty(len(order))
+        each[order] = np.repeat(gram_counts, np.diff(np.r_[first, len(order)]))
+        pairs, triples = np.zeros(len(self.codes)), np.zeros(len(self.codes))
+        pairs[self.second], triples[self.third] = each[: len(self.second)], each[len(self.second) :]
+        return by_word[self.codes], pairs, triples
+
+
+def traverse(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, total: float, weights: tuple[float, float] = WEIGHTS) -> np.ndarray:
+    """log10 of each token's probability along the automaton's path over texts that begin at ``starts``.
+
+    States are the histories of up to two words that training texts hold; the
+    state carried over a token is the longest of them that ends there. A state
+    h has an arc for every n-gram hw of the corpus, of weight (c(hw) + m P(w |
+    shorter h)) / (c(h) + m), and a failure arc to the shorter history of weight
+    m / (c(h) + m), m being WEIGHTS' number: each state's probabilities sum to
+    one. The root has all words by (c + 1) / total, of which unseen ones are
+    one. All positions take their step at once, shorter histories first, as
+    counts alone say which state is carried and which arcs it lacks.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.listed[:limit], pairs))
+    probability = (words + 1) / total
+    for counts, of, weight in ((pairs, words, weights[0]), (triples, pairs, weights[1])):
+        history = np.r_[0.0, of[:-1]]
+        history[starts] = 0  # the root is carried into a text
+        # Without the arc what remains is the failure arc's weight times the shorter history's probability.
+        probability = (counts + weight * probability) / (history + weight)
+    return np.log10(probability)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Texts in blocks of about BLOCK_BYTES: words as codes and what they are hashed to. Columns: BLOCK_SCHEMA."""
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        from xxhash import xxh3_64_intdigest
+
+        batch = pa.concat_batches(held)
+        chunks = pc.ascii_split_whitespace(pc.ascii_lower(batch["data"].view(pa.string())))
+        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        coded = chunks.flatten().view(pa.binary()).dictionary_encode()
+        listed, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        word = codes != (listed.index(b"") if b"" in listed else -1)
+        lengths = np.diff(np.r_[0, np.cumsum(word)][offsets])
+        # No word is empty, so the empty string's hash can be the end's; its code is that after the words'.
+        hashes = np.array([*(xxh3_64_intdigest(w, SEED) for w in listed), xxh3_64_intdigest(b"\0end", SEED)], np.uint64)
+        used, codes = np.unique(np.insert(codes[word], np.cumsum(lengths), len(listed)), return_inverse=True)
+        train = batch["train"].to_numpy(zero_copy_only=False)
+        columns = [
+            pa.array([len(codes)]), pa.array([int((lengths + 1)[train].sum())]), pa.array([batch["doc_id"]], pa.list_(pa.int64())),
+            *(pa.array([x], pa.binary()) for x in (train.tobytes(), _put(lengths + 1), _put(codes), hashes[used].tobytes())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["n_tokens", "n_train", "ids", "train", "lengths", "codes", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, kept = shared.value
-        place = {w: k for k, w in enumerate(listed)}.get
-        ids: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            own = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            first, second = own[:-1], own[1:]
-            code = np.where((first >= 0) & (second >= 0), first * limit + second, -1)
-            if kept is not None:
-                at = np.minimum(np.searchsorted(kept, code), max(0, len(kept) - 1))
-                at = np.where((code >= 0) & (kept[at] == code), at, -1) if len(kept) else np.full(len(code), -1)
-                code = np.where((at[:-1] >= 0) & (at[1:] >= 0), at[:-1] * limit + own[2:], -1)
-            codes, n = np.unique(code[code >= 0], return_counts=True)
-            ids.clear()
-            return pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
-
-        end = place(END, -1)
+        held, size = [], 0
         for batch in pieces(batches, "data"):
-            for data in batch["data"].to_pylist():
-                ids.append(np.array([*[place(w, -1) for w in words(data)], end, -1], np.int64))
-                held += len(ids[-1])
-            if held > TOKENS_AT_ONCE:
-                yield flush()
-                held = 0
-        yield flush()
-
-    return _training(docs).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States are histories of no, one or two words; each has arcs for the n-grams kept and a failure arc.
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch["data"])).as_py() or 0
+            if size >= BLOCK_BYTES:
+                yield block(held)
+                held, size = [], 0
+        if held:
+            yield block(held)
+
+    train = (id_remainder("doc_id", MODULUS) != HELD_OUT).alias("train")
+    rows = docs.select(F.col("doc_id").cast("long"), train, text_bytes().alias("data")).mapInArrow(run, BLOCK_SCHEMA)
+    return durable(rows.withColumn("block", F.monotonically_increasing_id()), row_group_bytes=16 << 20)
+
+
+def _block(row: dict, parts: int) -> Block:
+    train = np.frombuffer(row["train"], bool)
+    return Block(_got(row["lengths"]).astype(np.int64), train, _got(row["codes"]).astype(np.int64), np.frombuffer(row["hashes"], np.uint64), parts)
+
+
+def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """For each list of keys the sums of their times over all lists, and how many keys have any."""
+    every, own = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(every)
+    first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
+    sums = np.add.reduceat(own[order], first) if len(first) else own
+    out = np.empty(len(every), np.uint64)
+    out[order] = np.repeat(sums, np.diff(np.r_[first, len(every)]))
+    return np.split(out, np.cumsum([len(k) for k in keys])[:-1]), int((sums > 0).sum())
+
+
+def _answers(blocks: DataFrame, parts: int) -> DataFrame:
+    """``(block, part, counts, known)``: corpus counts of what each block asks of each part; known words once a part."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.slice(row, 1).to_pylist()[0]
+                asked = list(_block(own, parts).questions())
+                columns = [pa.array([own["block"]] * len(asked), pa.int64())]
+                columns += [pa.array(c, t) for c, t in zip(zip(*asked, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "words", "grams", "times"])
+
+    def answer(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        asked, words, grams, times = zip(*rows, strict=True)
+        words, grams, times = ([_got(x) for x in column] for column in (words, grams, times))
+        words, grams = [np.cumsum(w) for w in words], [np.cumsum(g) for g in grams]
+        by_word, known = _summed(words, [t[: len(w)] for t, w in zip(times, words, strict=True)])
+        by_gram, _ = _summed(grams, [t[len(w) :] for t, w in zip(times, words, strict=True)])
+        counts = [_put(np.concatenate(pair)) for pair in zip(by_word, by_gram, strict=True)]
+        n = len(rows)
+        columns = [pa.array(asked, pa.int64()), pa.array([part] * n, pa.int32()), pa.array([len(w) for w in words], pa.int64()), pa.array(counts, pa.binary()), pa.array([known] + [0] * (n - 1), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "part", "n_words", "counts", "known"])
 
-    P(w | h) of a kept n-gram is (count - DISCOUNT) / count(h). The failure arc
-    of h leads to h without its first word; its weight shares out what the arcs
-    of h leave, so that each state's probabilities sum to one. The root has all
-    words by (count + 1) / (tokens + distinct + 1), of which unseen ones are one.
-    """
-
-    def __init__(self, vocabulary: Vocabulary, limit: int, pairs: np.ndarray, pair_n: np.ndarray, triples: np.ndarray, triple_n: np.ndarray) -> None:
-        self.listed, self.total, self.limit = vocabulary.listed, vocabulary.total, limit
-        self.root = np.log10((vocabulary.counts + 1) / vocabulary.total).tolist()
-        self.size = len(self.listed)
-        # State 0 is the root, 1 + w the history w, 1 + limit + k the history of pair k.
-        self.pairs, self.triples = pairs, triples
-        first, second = pairs // max(1, limit), pairs % max(1, limit)
-        count = vocabulary.counts[:limit].astype(float)
-        p_pair = (pair_n - DISCOUNT) / np.maximum(count[first], 1) if len(pairs) else np.zeros(0)
-        p_root = (vocabulary.counts + 1) / vocabulary.total
-        left = 1 - np.bincount(first, p_pair, limit)
-        below = 1 - np.bincount(first, p_root[second], limit)
-        one = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
-        context, third = triples // max(1, limit), triples % max(1, limit)
-        p_triple = (triple_n - DISCOUNT) / np.maximum(pair_n[context], 1) if len(triples) else np.zeros(0)
-        place = np.searchsorted(pairs, second[context] * limit + third) if len(triples) else np.zeros(0, np.int64)
-        left = 1 - np.bincount(context, p_triple, len(pairs))
-        below = 1 - np.bincount(context, p_pair[place], len(pairs))
-        two = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
-        self.fail_weight = np.concatenate([[0.0], one, two])
-        self.fail_state = np.concatenate([np.zeros(1 + limit, np.int64), 1 + second])
-        self._p = (p_pair, p_triple, first, second, context, third, place)
-
-    def compiled(self) -> tuple[dict, dict, list, list]:
-        """Word ids, arcs by state * size + word as (next state, log10), failure states and weights."""
-        p_pair, p_triple, first, second, context, third, place = self._p
-        arcs = dict(zip(((1 + first) * self.size + second).tolist(), zip((1 + self.limit + np.arange(len(first))).tolist(), np.log10(p_pair).tolist(), strict=True), strict=True))
-        arcs.update(zip(((1 + self.limit + context) * self.size + third).tolist(), zip((1 + self.limit + place).tolist(), np.log10(p_triple).tolist(), strict=True), strict=True))
-        return {w: k for k, w in enumerate(self.listed)}, arcs, self.fail_state.tolist(), self.fail_weight.tolist()
-
-
-_walks: dict[int, tuple] = {}
-
-
-def _walker(automaton: Automaton):
-    """The traversal, compiled once in each worker for the automaton it holds."""
-    if (held := _walks.get(0)) is None or held[0] is not automaton:
-        _walks[0] = held = (automaton, _traversal(automaton))
-    return held[1]
-
-
-def _traversal(automaton: Automaton):
-    """Of one text: log10 without rare words, base log10 without them, number of tokens, rare words' counts."""
-    place, arcs, fail, weight = automaton.compiled()
-    root, size, limit = automaton.root, automaton.size, automaton.limit
-    get, arc = place.get, arcs.get
-
-    def walk(data: bytes) -> tuple[float, float, int, dict[bytes, int]]:
-        tokens = words(data)
-        tokens.append(END)
-        state, score, base, rare = 0, 0.0, 0.0, {}
-        for token in tokens:
-            word = get(token)
-            if word is None:
-                while state:
-                    score += weight[state]
-                    state = fail[state]
-                rare[token] = rare.get(token, 0) + 1
-                continue
-            base += root[word]
-            while state:
-                if (found := arc(state * size + word)) is not None:
-                    state = found[0]
-                    score += found[1]
-                    break
-                score += weight[state]
-                state = fail[state]
-            else:
-                score += root[word]
-                state = 1 + word if word < limit else 0
-        return score, base, len(tokens), rare
-
-    return walk
-
-
-def train(docs: DataFrame) -> tuple[Automaton, DataFrame, Vocabulary]:
-    """The automaton, all words' counts (kept in the shared folder) and the vocabulary.
-
-    Words and n-grams are counted over all training texts. What reaches the
-    driver is bounded by 1 / WORD_SHARE words and 1 / NGRAM_SHARE n-grams of a
-    kind; what is shuffled grows with the corpus.
-    """
-    counts = durable(word_counts(docs))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("n") >= max(LEAST_COUNT, math.ceil(WORD_SHARE * tokens))).toArrow()
-    falling = sorted(zip((-frequent["n"].to_numpy()).tolist(), frequent["word"].to_pylist(), strict=True))
-    vocabulary = Vocabulary([w for _, w in falling], np.array([-n for n, _ in falling], np.int64), tokens, distinct)
-    least = max(LEAST_COUNT, math.ceil(NGRAM_SHARE * tokens))
-    limit = int((vocabulary.counts >= least).sum())
-
-    def kept(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        table = rows.where(F.col("n") >= least).toArrow()
-        code, n = table["code"].to_numpy(), table["n"].to_numpy()
-        by = np.argsort(code)
-        return code[by], n[by]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for own, *row in zip(*(batch[c].to_pylist() for c in ("part", "block", "words", "grams", "times")), strict=True):
+                if own != part and rows:
+                    yield answer(part, rows)
+                    rows = []
+                part = own
+                rows.append(row)
+        if rows:
+            yield answer(part, rows)
 
-    pairs, pair_n = kept(ngram_counts(docs, vocabulary, limit))
-    triples, triple_n = kept(ngram_counts(docs, vocabulary, limit, pairs))
-    return Automaton(vocabulary, limit, pairs, pair_n, triples, triple_n), counts, vocabulary
+    asked = blocks.mapInArrow(ask, "block long, part int, words binary, grams binary, times binary")
+    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(run, "block long, part int, n_words long, counts binary, known long")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every whole text.
 
-    Frequent words are scored where the text is; rare ones meet their exact
-    counts in a join by word. Null texts are the end alone; null ids count as
-    the id "" for the split; repeated rows and extra columns are passed by; an
-    empty table gives an empty one.
+    All words, pairs and triples of all training texts count; none is dropped.
+    Blocks of texts ask parts, which n-grams are dealt to by hash, for the
+    corpus counts of the n-grams they hold, each once, so that a frequent one
+    burdens no part. Words are told apart by 64 bits of their hash, n-grams by
+    40 bits within a part (an unseen one is taken for another's once in some
+    100,000 times). What is shuffled grows with the corpus; two numbers reach
+    the driver. Null texts are the end alone; null ids count as the id "" for
+    the split; repeated rows and extra columns are passed by; an empty table
+    gives an empty one.
     """
-    automaton, counts, vocabulary = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = _walker(shared.value)
-        for batch in pieces(batches, "data"):
-            own, rest = [], [[], [], []]
-            for row, data in zip(batch["row"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                score, base, n, rare = walk(data)
-                own.append((score, base, n, n - sum(rare.values())))
-                rest[0] += [row] * len(rare)
-                rest[1] += rare
-                rest[2] += rare.values()
-            m, k = batch.num_rows, len(rest[0])
-            score, base, n, known = zip(*own, strict=True)
-            nulls = pa.nulls(k, pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([batch["row"], pa.array(rest[0], pa.int64())]),
-                    pa.concat_arrays([batch["doc_id"], pa.nulls(k, pa.int64())]),
-                    pa.concat_arrays([pa.array(score), nulls]),
-                    pa.concat_arrays([pa.array(base), nulls]),
-                    pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(k, pa.int64())]),
-                    pa.concat_arrays([pa.array(known, pa.int64()), pa.array(rest[2], pa.int64())]),
-                    pa.concat_arrays([pa.nulls(m, pa.binary()), pa.array(rest[1], pa.binary())]),
-                ],
-                names=["row", "doc_id", "score", "base_score", "n_tokens", "n_known", "word"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text_bytes().alias("data"))
-    walked = durable(rows.mapInArrow(run, "row long, doc_id long, score double, base_score double, n_tokens long, n_known long, word binary"))
-    rare = (
-        walked.where("word is not null").select("row", "word", F.col("n_known").alias("times"))
-        .join(counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(vocabulary.total)))).alias("rare_score"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-        )
-    )
-    rest, none = F.coalesce("rare_score", F.lit(0.0)), F.lit(0)
-    return walked.where("word is null").join(rare, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", none)).alias("n_known"),
-        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + rest).alias("base_score"),
-        (F.col("score") + rest).alias("score"),
-    )
+    blocks = _blocks(docs)
+    every, tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    parts = min(max(LEAST_PARTS, every // PART_TOKENS), 1 << PART_BITS)
+    answers = durable(_answers(blocks, parts))
+    total = float(tokens + (answers.agg(F.sum("known")).first()[0] or 0) + 1)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        block = _block(left.to_pylist()[0], parts)
+        counts = [_got(x) for x in right.sort_by("part")["counts"].to_pylist()]
+        n_words = right.sort_by("part")["n_words"].to_pylist()
+        words, pairs, triples = block.answered(np.concatenate([c[:n] for c, n in zip(counts, n_words, strict=True)]), np.concatenate([c[n:] for c, n in zip(counts, n_words, strict=True)]))
+        path = traverse(words, pairs, triples, block.starts, total)
+        ids = left["ids"].combine_chunks().flatten()
+        sums = [np.add.reduceat(x, block.starts) for x in ((words > 0).astype(np.int64), np.log10((words + 1) / total), path)]
+        columns = [ids, pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(ids), tokens)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(answers.select("block", "part", "n_words", "counts").groupBy("block")).applyInArrow(finish, schema)

@@ -279,40 +279,76 @@ def test_toxicity(spark, empty):
     assert toxicity.train(empty, known).terms == ()
 
 
-def test_language_model(spark, docs, empty, rows):
-    tokens = [(k, [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (t or "").encode())), b""]) for k, t in rows]
-    counts = Counter()
-    for k, own in tokens:
-        if zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2:
-            counts.update(own)
-    n, v = sum(counts.values()), len(counts)
-    expected = sorted((len(own), sum(counts[w] > 0 for w in own), round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own), 6)) for _, own in tokens)
-    found = lm.score(docs).collect()
-    assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in found) == expected
-    assert {r["train_tokens"] for r in found} == {n}
+def tokens_of(text):
+    return [*re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode())), b""]
+
+
+class PlainModel:
+    """The backoff automaton walked token by token: arcs of states, failure arcs, and the state that is carried."""
+
+    def __init__(self, texts):
+        self.counts = Counter()
+        for own in texts:
+            for n in (1, 2, 3):
+                self.counts.update(tuple(own[k : k + n]) for k in range(len(own) - n + 1))
+        self.tokens = sum(c for g, c in self.counts.items() if len(g) == 1)
+        self.total = self.tokens + sum(len(g) == 1 for g in self.counts) + 1
+
+    def arc(self, state, word):
+        """Weight of a state's arc; of the root every word has one."""
+        below = (self.counts[(word,)] + 1) / self.total
+        for n in range(1, len(state) + 1):
+            history = state[-n:]
+            m = lm.WEIGHTS[n - 1]
+            below = (self.counts[(*history, word)] + m * below) / (self.counts[history] + m)
+        return below
+
+    def score(self, own):
+        state, sum_ = (), 0.0
+        for word in own:
+            while state and not self.counts[(*state, word)]:
+                m = lm.WEIGHTS[len(state) - 1]
+                sum_ += math.log10(m / (self.counts[state] + m))
+                state = state[1:]
+            sum_ += math.log10(self.arc(state, word))
+            state = (*state, word)[-2:]
+            while state and not self.counts[state]:
+                state = state[1:]
+        return sum_
+
+
+def test_language_model(spark, docs, empty, rows, monkeypatch):
+    tokens = [(k, tokens_of(t)) for k, t in rows]
+    trained = [own for k, own in tokens if zlib.crc32(("" if k is None else str(k)).encode()) % 7 != 2]
+    model = PlainModel(trained)
+    counts, n = model.counts, model.tokens
+    expected = sorted(
+        (len(own), sum(counts[(w,)] > 0 for w in own), round(sum(math.log10((counts[(w,)] + 1) / model.total) for w in own), 6), round(model.score(own), 6))
+        for _, own in tokens
+    )
+    for size in (lm.BLOCK_BYTES, 2000):
+        monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+        found = lm.score(docs).collect()
+        assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in found) == expected
+        assert {r["train_tokens"] for r in found} == {n}
+        assert Counter(r["doc_id"] for r in found) == Counter(k for k, _ in rows)
     assert lm.score(empty).count() == 0
-    # Every state's probabilities, with failure arcs followed, sum to one.
-    automaton, table, vocabulary = lm.train(docs)
-    place, arcs, fail, weight = automaton.compiled()
-    rest = 1 - sum(10**x for x in automaton.root)
-    for state in range(0, len(fail), max(1, len(fail) // 40)):
-        total, back, s = 0.0, 0.0, state
-        seen = set()
-        while True:
-            for w in range(automaton.size):
-                if w in seen:
-                    continue
-                if s and (hit := arcs.get(s * automaton.size + w)):
-                    total += 10 ** (back + hit[1])
-                    seen.add(w)
-                elif not s:
-                    total += 10 ** (back + automaton.root[w])
-            if not s:
-                total += 10**back * rest
-                break
-            back += weight[s]
-            s = fail[s]
-        assert total == pytest.approx(1, abs=1e-6)
+    trained_id = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 7 != 2)
+    alone = spark.createDataFrame([(trained_id, None, 0)], "doc_id long, text string, train int")
+    assert [(r["n_tokens"], r["score"]) for r in lm.score(alone).collect()] == [(1, pytest.approx(math.log10(2 / 3)))]
+    # Each state's probabilities, unseen words as one, sum to one.
+    words = [g[0] for g in counts if len(g) == 1]
+    dice = random.Random(1)
+    for state in [(), *dice.sample([g for g in counts if len(g) < 3 and g[-1]], 12)]:
+        assert sum(model.arc(state, w) for w in [*words, b"never seen"]) == pytest.approx(1)
+
+
+def test_byte_planes():
+    dice = np.random.default_rng(1)
+    for top in (1, 300, 1 << 40, (1 << 64) - 1):
+        for n in (0, 1, 1000):
+            values = dice.integers(0, top, n, np.uint64, endpoint=True)
+            assert (lm._got(lm._put(values)) == values).all()
 
 
 def test_near_duplicate_vectors(spark):
