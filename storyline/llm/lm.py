@@ -16,7 +16,7 @@ MODULUS, HELD_OUT = 7, 2
 #: Pseudo-counts that a history of one and of two words gives to the shorter history's distribution.
 WEIGHTS = (500.0, 20.0)
 #: Bytes of text in a block, n-gram tokens aimed at in a part, and the least number of parts.
-BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 24 << 20, 4_000_000, 64
+BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 10 << 20, 2_000_000, 64
 #: Bits of an n-gram's hash that choose its part, and bits that tell it from others there.
 PART_BITS, KEY_BITS = 23, 40
 SEED = 42
@@ -47,9 +47,14 @@ def _gaps(rising: np.ndarray) -> np.ndarray:
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ (a >> np.uint64(31))) * _FACTORS[0] + b
-    x = (x ^ (x >> np.uint64(29))) * _FACTORS[1]
-    return x ^ (x >> np.uint64(32))
+    x = a >> np.uint64(31)
+    x ^= a
+    x *= _FACTORS[0]
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= _FACTORS[1]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -65,18 +70,24 @@ class Block:
 
     def __init__(self, lengths: np.ndarray, train: np.ndarray, codes: np.ndarray, hashes: np.ndarray, parts: int) -> None:
         self.lengths, self.codes, self.hashes = lengths, codes, hashes
-        ends = np.cumsum(lengths)
-        self.starts = ends - lengths
-        place = np.arange(len(codes)) - np.repeat(self.starts, lengths)
+        self.starts = np.cumsum(lengths) - lengths
         self.train = np.repeat(train, lengths)
-        self.second, self.third = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+        self.second = np.ones(len(codes), bool)
+        self.second[self.starts] = False
+        self.third = self.second & np.r_[False, self.second[:-1]]
         own = hashes[codes]
         pairs = np.zeros(len(codes), np.uint64)
-        pairs[self.second] = _mix(own[self.second - 1], own[self.second])
-        triples = _mix(pairs[self.third - 1] ^ _TRIPLE, own[self.third])
-        grams = np.concatenate([pairs[self.second], triples])
+        pairs[1:] = _mix(own[:-1], own[1:])
+        grams = np.concatenate([pairs[self.second], np.zeros(int(self.third.sum()), np.uint64)])
+        pairs ^= _TRIPLE
+        grams[int(self.second.sum()) :] = _mix(pairs[:-1], own[1:])[self.third[1:]]
+        del own, pairs
         #: Each n-gram's part and key, in one number that sorts by part.
-        self.grams = _parts_of(grams, parts) << np.uint64(KEY_BITS) | grams >> np.uint64(64 - KEY_BITS)
+        self.grams = _parts_of(grams, parts)
+        self.grams <<= np.uint64(KEY_BITS)
+        grams >>= np.uint64(64 - KEY_BITS)
+        self.grams |= grams
+        del grams
         word_parts = _parts_of(hashes, parts)
         self.word_order = np.lexsort((hashes, word_parts))
         self.word_parts = word_parts[self.word_order]
@@ -85,7 +96,8 @@ class Block:
     def questions(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         """Per part: its words and n-grams as rising hashes, each once, and how often training texts hold them here."""
         trained = np.concatenate([self.train[self.second], self.train[self.third]])
-        marked = self.grams << np.uint64(1) | trained.astype(np.uint64)
+        marked = self.grams << np.uint64(1)
+        marked |= trained
         marked.sort()
         grams = marked >> np.uint64(1)
         first = np.flatnonzero(np.diff(grams, prepend=~grams[:1]))
@@ -106,11 +118,14 @@ class Block:
         by_word = np.empty(len(self.hashes))
         by_word[self.word_order] = word_counts
         order = np.argsort(self.grams)
-        first = np.flatnonzero(np.diff(self.grams[order], prepend=~self.grams[order[:1]]))
+        rising = self.grams[order]
+        first = np.flatnonzero(np.diff(rising, prepend=~rising[:1]))
+        del rising
         each = np.empty(len(order))
         each[order] = np.repeat(gram_counts, np.diff(np.r_[first, len(order)]))
-        pairs, triples = np.zeros(len(self.codes)), np.zeros(len(self.codes))
-        pairs[self.second], triples[self.third] = each[: len(self.second)], each[len(self.second) :]
+        del order
+        pairs, triples, cut = np.zeros(len(self.codes)), np.zeros(len(self.codes)), int(self.second.sum())
+        pairs[self.second], triples[self.third] = each[:cut], each[cut:]
         return by_word[self.codes], pairs, triples
 
 
@@ -145,6 +160,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         chunks = pc.ascii_split_whitespace(pc.ascii_lower(batch["data"].view(pa.string())))
         offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
         coded = chunks.flatten().view(pa.binary()).dictionary_encode()
+        del chunks
         listed, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         word = codes != (listed.index(b"") if b"" in listed else -1)
         lengths = np.diff(np.r_[0, np.cumsum(word)][offsets])
@@ -166,6 +182,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             if size >= BLOCK_BYTES:
                 yield block(held)
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield block(held)
 
@@ -183,7 +200,8 @@ def _summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[list[np.nd
     """For each list of keys the sums of their times over all lists, and how many keys have any."""
     every, own = np.concatenate(keys), np.concatenate(times)
     order = np.argsort(every)
-    first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]))
+    every = every[order]
+    first = np.flatnonzero(np.diff(every, prepend=~every[:1]))
     sums = np.add.reduceat(own[order], first) if len(first) else own
     out = np.empty(len(every), np.uint64)
     out[order] = np.repeat(sums, np.diff(np.r_[first, len(every)]))
