@@ -16,13 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.durable import durable
+from .gathered import LENGTH, Runs, ends_of
 from .text import pieces, text_bytes
 
 MEMO_ENTRIES = 800_000
 #: Words whose ids are merged in one call.
 WORDS_AT_ONCE = 1000
-#: Mask of a length in a place.
-LENGTH = (1 << 32) - 1
 #: Letters that the pattern takes as one word in UTF-8, and ASCII signs that it takes as one after them (an apostrophe may begin a suffix).
 LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -39,7 +38,7 @@ class ChunkEncoder:
     The tokenizer's pattern never crosses white space, so a text's ids are those
     of its chunks in order. ASCII letters are lowered first to share more chunks;
     texts where that could matter (combining marks, special-token strings) are not.
-    A chunk's ids lie in one flat array; the memo says where.
+    A chunk's ids are kept as a run; the memo says where.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int = 1) -> None:
@@ -53,8 +52,8 @@ class ChunkEncoder:
 
     def _forget(self) -> None:
         self._memo: dict[bytes, int] = {}
-        self._flat, self._used = np.zeros(1 << 20, "<u4"), 0
-        self._end = int(self._append(np.array([self._end_id], "<u4"), np.array([1]))[0])
+        self._runs = Runs()
+        self._end = int(self._runs.append(np.array([self._end_id]), np.array([1]))[0])
 
     def encode(self, data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8 as binary), each with the end id, and where each text's ids end."""
@@ -67,9 +66,7 @@ class ChunkEncoder:
         coded = chunks.flatten().view(pa.binary()).dictionary_encode()
         places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         places = np.insert(places, offsets[1:] - offsets[0], self._end)
-        total = np.cumsum(places & LENGTH)
-        ids = self._gather(places)
-        return ids, total[offsets[1:] - offsets[0] + np.arange(len(data))] if len(data) else total
+        return self._runs.gather(places), ends_of(places, np.diff(offsets) + 1)
 
     def _places(self, chunks: list[bytes]) -> np.ndarray:
         """Where each chunk's ids lie: start << 32 | length."""
@@ -79,20 +76,6 @@ class ChunkEncoder:
             places[missing] = np.fromiter((self._memo[chunks[k]] for k in missing.tolist()), np.int64, len(missing))
         return places
 
-    def _gather(self, places: np.ndarray) -> np.ndarray:
-        lengths = places & LENGTH
-        before = np.cumsum(lengths) - lengths
-        return self._flat[np.repeat((places >> 32) - before, lengths) + np.arange(int(lengths.sum()))]
-
-    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Keeps ids; the places of the runs of these lengths."""
-        if self._used + len(ids) > len(self._flat):
-            self._flat = np.concatenate([self._flat[: self._used], np.zeros(max(len(ids), self._used), "<u4")])
-        self._flat[self._used : self._used + len(ids)] = ids
-        starts = self._used + np.cumsum(lengths) - lengths
-        self._used += len(ids)
-        return starts << 32 | lengths
-
     def _learn(self, chunks: list[bytes]) -> None:
         """Memorises chunks. One of letters and signs after them has the ids of the letters, then those of the signs."""
         memo, whole, plain = self._memo, [], []
@@ -105,13 +88,13 @@ class ChunkEncoder:
         whole += {signs for _, _, signs in plain if signs not in memo}.difference(whole)
         coded = [e.ids for e in self._tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in whole], add_special_tokens=False)]
         flat = np.fromiter(chain.from_iterable(coded), "<u4")
-        memo.update(zip(whole, self._append(flat, np.fromiter(map(len, coded), np.int64, len(coded))).tolist(), strict=True))
+        memo.update(zip(whole, self._runs.append(flat, np.fromiter(map(len, coded), np.int64, len(coded))).tolist(), strict=True))
         words = [w for w in dict.fromkeys(w for _, w, _ in plain) if w not in memo]
         for at in range(0, len(words), WORDS_AT_ONCE):
             self._learn_words(words[at : at + WORDS_AT_ONCE])
         signed = [(c, word, signs) for c, word, signs in plain if c != word]
         parts = np.fromiter((memo[x] for _, word, signs in signed for x in (word, signs)), np.int64, 2 * len(signed))
-        memo.update(zip([c for c, _, _ in signed], self._append(self._gather(parts), (parts & LENGTH).reshape(-1, 2).sum(axis=1)).tolist(), strict=True))
+        memo.update(zip([c for c, _, _ in signed], self._runs.append(self._runs.gather(parts), (parts & LENGTH).reshape(-1, 2).sum(axis=1)).tolist(), strict=True))
 
     def _learn_words(self, words: list[bytes]) -> None:
         """Memorises words of lower-case letters, merged in one go; each word's last id is one that ends words."""
@@ -119,7 +102,7 @@ class ChunkEncoder:
         for byte, sign in BYTE_SIGNS.items():
             joined = joined.replace(byte, sign)
         ids = np.array(self._merger.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
-        self._memo.update(zip(words, self._append(ids, np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)).tolist(), strict=True))
+        self._memo.update(zip(words, self._runs.append(ids, np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)).tolist(), strict=True))
 
 
 def _bare_merger(tokenizer_json: str):

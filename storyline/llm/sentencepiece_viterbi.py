@@ -1,25 +1,37 @@
-"""SentencePiece encoding and decoding: an Aho-Corasick automaton over pieces drives a single-pass Viterbi."""
+"""SentencePiece encoding and decoding: an Aho-Corasick automaton over pieces drives a single pass over each text.
+
+For a unigram model the pass is a Viterbi: output links relax the best score at
+each position. For a BPE model it relaxes the same way, but what decides at a
+position is not a sum: exactly one of the pieces that end there can follow the
+segmentation of what is before it, the one whose merges leave the boundary
+standing. Both give the ids of the sentencepiece library.
+"""
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .gathered import Runs, ends_of
 from .text import pieces
 
 # Fixed values of the model file's format: field numbers, piece types, the space mark, the unknown piece's penalty.
-FIELD_PIECE, FIELD_NORMALIZER = 1, 3
+FIELD_PIECE, FIELD_TRAINER, FIELD_NORMALIZER = 1, 2, 3
+UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES, MEMO_PAIRS = 800_000, 500_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -51,8 +63,9 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """Pieces and scores of a model file, its automaton, and the texts it has met.
 
-    The best segmentation of a text has the highest sum of piece scores; on
-    ties, at each position, the longest last piece wins. A character without a
+    By the kind of model, the best segmentation of a text has the highest sum
+    of piece scores (on ties, at each position, the longest last piece), or is
+    what merging the best scored neighbours leaves. A character without a
     piece costs the least score minus UNKNOWN_PENALTY and becomes its UTF-8
     bytes' pieces where the model has them. Only ASCII space is normalised (to
     the space mark, one put in front if the model says so).
@@ -62,29 +75,42 @@ class PieceModel:
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         scores: list[float] = []
-        self.prefix = True
+        self.prefix, self.kind = True, UNIGRAM
         for field, value in _fields(data):
             if field == FIELD_PIECE:
                 own = dict(_fields(value))
                 self.pieces.append(own[1].decode())
                 scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
                 self.kinds.append(own.get(3, NORMAL))
+            elif field == FIELD_TRAINER:
+                self.kind = dict(_fields(value)).get(3, UNIGRAM)
             elif field == FIELD_NORMALIZER:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         self.unknown = self.kinds.index(UNKNOWN)
+        if self.kind not in (UNIGRAM, BPE) or self.kind == BPE and {USER_DEFINED, UNUSED} & set(self.kinds):
+            raise ValueError("only unigram models, and BPE models without user-defined and unused pieces, are known")
         usable = [k for k, kind in enumerate(self.kinds) if kind in (NORMAL, USER_DEFINED)]
         self.unknown_score = min((scores[k] for k in usable), default=0.0) - UNKNOWN_PENALTY
         self.byte_ids = {int(p[3:5], 16): k for k, p in enumerate(self.pieces) if self.kinds[k] == BYTE}
+        self._scores = {self.pieces[k]: scores[k] for k in usable}
+        self._follows: dict[tuple[str, str], bool] = {}
         self._build([(self.pieces[k], k, scores[k]) for k in usable])
         # Where no piece holds a space mark after another character, texts can be cut before each run of marks.
         self.cuts = not any(a != SPACE and b == SPACE for k in usable for a, b in zip(self.pieces[k], self.pieces[k][1:], strict=False))
-        self._memo: dict[str, bytes] = {}
-        self._decoded = [SPACE.encode() if p == "" else p.encode() for p in self.pieces]
+        self._forget()
+        # Of each id the bytes that it stands for.
+        means = [p.replace(SPACE, " ").encode() for p in self.pieces]
         for byte, k in self.byte_ids.items():
-            self._decoded[k] = bytes([byte])
+            means[k] = bytes([byte])
         for k, kind in enumerate(self.kinds):
             if kind in (CONTROL, UNUSED):
-                self._decoded[k] = b""
+                means[k] = b""
+        self._bytes = Runs("u1")
+        self._means = self._bytes.append(np.frombuffer(b"".join(means), np.uint8), np.array([len(m) for m in means]))
+
+    def _forget(self) -> None:
+        self._memo: dict[str, int] = {}
+        self._runs = Runs()
 
     def _build(self, entries: list[tuple[str, int, float]]) -> None:
         """Goto arcs, failure links, and per state its own piece and the next state with one (output link)."""
@@ -118,6 +144,51 @@ class PieceModel:
 
     def best(self, text: str) -> list[int]:
         """Ids of the best segmentation of already normalised ``text``."""
+        return self._merged(text) if self.kind == BPE else self._viterbi(text)
+
+    def _merged(self, text: str) -> list[int]:
+        """The segmentation that merging leaves: at each position the one piece that can follow what is before it."""
+        goto, fail, outputs, follows, pieces_of = self._goto, self._fail, self._outputs, self._follows, self.pieces
+        last: list[str] = [""] * (len(text) + 1)
+        ids = [self.unknown] * (len(text) + 1)
+        state = 0
+        for end, c in enumerate(text, 1):
+            while state and c not in goto[state]:
+                state = fail[state]
+            state = goto[state].get(c, 0)
+            last[end] = c
+            for length, piece, _ in outputs[state]:
+                pair = last[end - length], pieces_of[piece]
+                if (stands := follows.get(pair)) is None:
+                    if len(follows) > MEMO_PAIRS:
+                        follows.clear()
+                    follows[pair] = stands = self._stands(*pair)
+                if stands:
+                    last[end], ids[end] = pair[1], piece
+                    break
+        found, end = [], len(text)
+        while end:
+            found += [ids[end]] if ids[end] != self.unknown or not self.byte_ids else [self.byte_ids[b] for b in reversed(last[end].encode("utf-8", "replace"))]
+            end -= len(last[end])
+        found.reverse()
+        return found
+
+    def _stands(self, before: str, piece: str) -> bool:
+        """Whether merging the two pieces' characters together gives just these two."""
+        parts, score, none = list(before + piece), self._scores.get, -math.inf
+        gains = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (top := max(gains)) > none:
+            at = gains.index(top)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del gains[at]
+            if at:
+                gains[at - 1] = score(parts[at - 1] + parts[at], none)
+            if at < len(gains):
+                gains[at] = score(parts[at] + parts[at + 1], none)
+        return parts == ([before, piece] if before else [piece])
+
+    def _viterbi(self, text: str) -> list[int]:
+        """The segmentation of the highest sum of scores."""
         goto, fail, outputs = self._goto, self._fail, self._outputs
         best = [0.0] * (len(text) + 1)
         last: list[tuple[int, int]] = [(0, 0)] * (len(text) + 1)
@@ -149,34 +220,63 @@ class PieceModel:
     def normalised(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
+    def parts(self, text: str) -> list[str]:
+        """The normalised text cut before each run of space marks, without the first mark of each part."""
+        text = self.normalised(text)
+        cut = text.split(SPACE)[1:]
+        if "" not in cut[:-1]:
+            return cut
+        # An empty part is one mark more before the next.
+        out, held = [], ""
+        for chunk in cut[:-1]:
+            held, done = (held + SPACE, None) if not chunk else ("", held + chunk)
+            if done is not None:
+                out.append(done)
+        return [*out, held + cut[-1]]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and where each text's end."""
+        if not (self.cuts and self.prefix):
+            found = [self.best(self.normalised(t)) for t in texts]
+            return np.fromiter(chain.from_iterable(found), "<u4"), np.cumsum([len(f) for f in found])
+        if len(self._memo) > MEMO_ENTRIES:
+            self._forget()
+        cut = pc.split_pattern(pa.array([t if SPACE not in t else t.replace(SPACE, " ") for t in texts], pa.string()), " ")
+        counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        # Texts with runs of spaces, or with one in front, are cut by parts(); so are empty ones, which have none.
+        odd = [k for k, t in enumerate(texts) if not t or t[0] == " " or "  " in t or SPACE in t]
+        if odd:
+            own = {k: self.parts(texts[k]) for k in odd}
+            listed = pa.array([own[k] if k in own else None for k in range(len(texts))], pa.list_(pa.string()))
+            cut = pc.coalesce(listed, cut)
+            counts = pc.list_value_length(cut).to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        return self._runs.gather(places), ends_of(places, counts)
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        memo = self._memo
+        if new := [p for p in parts if p not in memo]:
+            found = [self.best(SPACE + p) for p in new]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            memo.update(zip(new, self._runs.append(np.fromiter(chain.from_iterable(found), "<u4"), lengths).tolist(), strict=True))
+        return np.fromiter(map(memo.__getitem__, parts), np.int64, len(parts))
+
     def encode(self, text: str) -> bytes:
         """Little-endian uint32 ids of a whole text."""
-        text = self.normalised(text)
-        if not self.cuts:
-            return np.array(self.best(text), "<u4").tobytes()
-        memo, out = self._memo, []
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        # One empty chunk is one mark more before the next: cutting before every mark, then joining runs of them.
-        held = ""
-        for n, chunk in enumerate(text.split(SPACE)):
-            part = (held + SPACE if n else "") + chunk
-            if not chunk and n:
-                held = part
-                continue
-            held = ""
-            if (ids := memo.get(part)) is None:
-                memo[part] = ids = np.array(self.best(part), "<u4").tobytes()
-            out.append(ids)
-        if held:
-            out.append(np.array(self.best(held), "<u4").tobytes())
-        return b"".join(out)
+        return self.encode_all([text])[0].astype("<u4").tobytes()
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The texts of ids in UTF-8: bytes joined, space marks as spaces, the one put in front taken off."""
+        places = self._means[ids]
+        data = self._bytes.gather(places).tobytes()
+        stops = ends_of(places, np.diff(ends, prepend=0)).tolist()
+        return [data[a + (self.prefix and data[a : a + 1] == b" " and a < b) : b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids: bytes joined, space marks back to spaces, the one put in front taken off."""
-        pieces_of = self._decoded
-        text = b"".join([pieces_of[k] for k in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """The text of little-endian uint32 ids."""
+        own = np.frombuffer(ids, "<u4")
+        return self.decode_all(own, np.array([len(own)]))[0].decode("utf-8", "replace")
 
 
 _models: dict[int, PieceModel] = {}
@@ -199,7 +299,9 @@ def encode(docs: DataFrame, model_path: str, column: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([model.encode(t) for t in batch["text"].to_pylist()], pa.binary())], names=["doc_id", "ids"])
+            ids, ends = model.encode_all(batch["text"].to_pylist())
+            data = [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(data, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(column, F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -228,12 +330,12 @@ def audit(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value)
         for batch in pieces(batches, "text"):
-            out = []
-            for text in batch["text"].to_pylist():
-                ids = model.encode(text)
-                out.append((len(ids) // 4, zlib.crc32(ids), len(text), model.decode(ids) == text.replace(SPACE, " ")))
-            n, crc, chars, same = zip(*out, strict=True)
-            columns = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(chars, pa.int64()), pa.array(same)]
+            texts = batch["text"].to_pylist()
+            ids, ends = model.encode_all(texts)
+            view = memoryview(ids)
+            crc = [zlib.crc32(view[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            same = [a == b.replace(SPACE, " ").encode("utf-8", "replace") for a, b in zip(model.decode_all(ids, ends), texts, strict=True)]
+            columns = [pa.array(np.diff(ends, prepend=0)), pa.array(crc, pa.int64()), pa.array(map(len, texts), pa.int64()), pa.array(same)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", "n_ids", "ids_crc32", "n_chars", "restored"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
