@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +26,14 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = string.ascii_letters + string.digits + "+/_-="
 STATES = len(ALPHABET) + 1
 #: Runs that the models judge, and the log-likelihood ratio (in all, and per character) that makes one a secret.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_RUN = 16
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
 LEAST_RATIO, LEAST_RATIO_PER_CHARACTER = 12.0, 0.8
 #: Weight of a character's own frequency against its counts after another.
 BACKOFF = 8.0
 #: Signs that join words into ordinary identifiers.
 JOINS = "_-/+="
-#: Labelled random strings of each alphabet that are generated for training.
+#: Labelled random strings of each alphabet, and ordinary numbers, that are generated for training.
 GENERATED = 400
 
 _CODE = np.zeros(256, np.int64)
@@ -72,25 +74,42 @@ class RandomnessModel:
         return float(self.ratio[codes[:-1] * STATES + codes[1:]].sum())
 
     def spans(self, text: str, taken: list[tuple]) -> list[tuple[int, int, int]]:
-        """(start, kind, end) of runs judged random that touch no span of ``taken``."""
-        found = []
+        """(start, kind, end) of what is judged random of runs, each without what spans of ``taken`` cover of it."""
+        found, covered = [], _covered(taken)
+        ends = [e for _, e in covered]
         for m in CANDIDATE.finditer(text):
-            run = m.group()
-            if run.isdigit() or any(s < m.end() and m.start() < e for s, _, e, *_ in taken):
-                continue
-            score = self.score(run)
-            if score >= LEAST_RATIO and score >= LEAST_RATIO_PER_CHARACTER * len(run):
-                found.append((m.start(), 3, m.end()))
+            at, last = m.span()
+            for k in range(bisect_right(ends, at), len(covered) + 1):
+                start, end = covered[k] if k < len(covered) else (last, last)
+                if min(start, last) - at >= LEAST_RUN and self.random(text[at : min(start, last)]):
+                    found.append((at, 3, min(start, last)))
+                at = end
+                if at >= last:
+                    break
         return found
 
+    def random(self, run: str) -> bool:
+        score = self.score(run)
+        return score >= LEAST_RATIO and score >= LEAST_RATIO_PER_CHARACTER * len(run)
+
+
+def _covered(spans: list[tuple]) -> list[tuple[int, int]]:
+    """What ``spans`` cover, as rising intervals that don't meet."""
+    out: list[tuple[int, int]] = []
+    for start, _, end, *_ in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
 
 def train(docs: DataFrame) -> RandomnessModel:
     """Both models from labelled samples over all documents.
 
     Random strings: the values that base patterns find, and GENERATED seeded
     random ones per alphabet. Ordinary identifiers: all other text, as words and
-    joined. Executors
-    send sums of transitions only (two matrices a partition).
+    joined, and GENERATED seeded numbers. Executors send sums of transitions only (two matrices a partition).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +138,8 @@ def train(docs: DataFrame) -> RandomnessModel:
     for alphabet in ("0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, ALPHABET):
         for _ in range(GENERATED):
             totals[0] += _transitions("".join(dice.choices(alphabet, k=32)).encode("ascii"))
+    for _ in range(GENERATED):
+        totals[1] += _transitions("".join(dice.choices(string.digits, k=dice.randint(4, 24))).encode("ascii"))
     return RandomnessModel(totals[0], totals[1])
 
 

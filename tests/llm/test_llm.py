@@ -202,7 +202,7 @@ def test_secrets(spark, docs, empty):
         (1, 'é token = "abcdefgh1" then Password: short and API_KEY=12345678'), (2, "AKIA" + "B7" * 8 + " " + "0a" * 16), (3, "token: secret: abcdefghij"),
         (4, f"send {random_run} now"), (5, "somethingordinarybutlongandplain a_long_identifier_name 4836077759563273"), (6, None), (7, ""), (1, "passwd=" + "q" * 8),
     ]
-    plain = "the quick brown fox jumps over a lazy dog while many long identifier names are plain and ordinary but something is kept "
+    plain = "the quick brown fox jumps over a lazy dog while many long identifier names are plain and ordinary but something is kept 48360777 59563273 1402 "
     model = secret_scan.train(spark.createDataFrame([(k, plain * 20) for k in range(5)] + [(9, None)], "doc_id long, text string"))
     found = secret_scan.find_secrets(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
     by = {}
