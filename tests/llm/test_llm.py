@@ -250,6 +250,9 @@ def test_levenshtein_trie_equals_edit_distance():
             word[at : at + dice.randint(0, 1)] = dice.choice(["", "x", "i", "s"])
         word = "".join(word)
         assert trie.within(word) == any(0 < distance(word, t) <= toxicity.edits(t) for t in terms), word
+    stems = toxicity.Trie(["stupid*", "mad*", "idiotic"])
+    for word, near in (("stupod", True), ("stupodness", True), ("tupidity", True), ("stupid", False), ("stup", False), ("madx", False), ("idiotik", True), ("idxotikx", False)):
+        assert stems.within(word) == near, word
 
 
 def test_toxicity(spark, empty):
@@ -272,9 +275,24 @@ def test_toxicity(spark, empty):
     held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert all((score[k] >= toxicity.THRESHOLD) == (k % 4 == 0) for k in held)
     assert score[1000] > score[1002] and score[1001] == score[1002] and all(0 <= s <= 1 for s in score.values())
-    reader = toxicity.Reader(["stupid"], frozenset())
+    reader = toxicity.Reader(["stupid"], frozenset(), {})
     quoted, direct = reader.features('she said "you stupid" today'), reader.features("oh you stupid thing")
     assert quoted[0] == 0 and quoted[1] > 0 and direct[0] > 0 and direct[1] == 0
+    for text, inside in (('a "b stupid c" d', 1), ('"a" stupid "b"', 0), ('a "stupid" b', 1), ('say «stupid thing»', 1), ('"stupid but never closed', 0), ('closed stupid" only', 0)):
+        assert (reader.features(text)[1] > 0) == inside, text
+    # The query's result by a plain reading of each text with the model that it learned.
+    plain = toxicity.Reader(list(model.terms), model.ordinary, model.context)
+    for k, text in [*data, *extra]:
+        assert score[k] == pytest.approx(float(model.probability(np.array([plain.features(text or "")]))[0]))
+    # Windows that report are told from windows that abuse by what the labels say.
+    told = [(k, " ".join([*prose(dice, 5).split(), *(["moderators", "removed", "stupid", "comment"] if k % 2 else ["shut", "up", "stupid", "fool"]), *prose(dice, 5).split()]), 1 - k % 2) for k in range(300)]
+    frame = spark.createDataFrame(told, "doc_id long, text string, toxic int")
+    weights = toxicity._context(frame, ["stupid"], frozenset())
+    assert weights["removed"] < toxicity.QUOTING and weights["shut"] > 1
+    assert toxicity.Reader(["stupid"], frozenset(), weights).features("moderators removed stupid comment")[1] > 0
+    # Of rows that share an id one is learned from.
+    many = docs.unionByName(spark.createDataFrame([(0, "stupid " * 3)] * 50, "doc_id long, text string"))
+    assert toxicity.train(many, toxicity.training_labels(known)).terms
     assert toxicity.score(empty.select("doc_id", "text"), model).count() == 0
     assert toxicity.train(empty, known).terms == ()
 
