@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import markup, rules, scores, titles, urls
 from .operators import dedup, ingest, search, similarity, stories
 from .operators.durable import durable
-from .plans import brief, digest
+from .plans import brief, digest, query as reads
+from .sources import feeds
 
 NOW = 1_900_000_000
 GAP = 7 * 86_400
@@ -92,7 +93,7 @@ def story_tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 120).alias("title"), "source")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), "source")
 
 
 def latest(spark: SparkSession, d: str) -> int:
@@ -142,7 +143,7 @@ EFFECTIVE = """ef AS (SELECT story_id, greatest(count(DISTINCT source_id), 1) AS
   (SELECT *, row_number() OVER (PARTITION BY story_id, paper ORDER BY {order}) AS f FROM mb) WHERE paper IS NULL OR f = 1 GROUP BY story_id)"""
 TAGS = """tg AS (SELECT story_id, topic FROM (SELECT story_id, topic, row_number() OVER (PARTITION BY story_id ORDER BY count(*) DESC, topic) AS n FROM mb GROUP BY story_id, topic) WHERE n <= 5)"""
 TOP = "tp AS (SELECT * FROM st, nw WHERE status = 'active' AND last_updated >= now - {h} * 3600 ORDER BY score DESC, id LIMIT {n})"
-HEADS = "hd AS (SELECT doc_id AS id, substr(regexp_extract(text, '^([^\\n]*)', 1), 1, 120) AS title, source FROM documents)"
+HEADS = "hd AS (SELECT doc_id AS id, text AS title, source FROM documents)"
 LOW = "lower(title)"
 
 
@@ -167,10 +168,10 @@ def paper_id(spark, d):
 
 
 @query(f"""WITH {HEADS}, c AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(title, '(?i)ignore\\s+previous', '', 'g'), '(?i)system\\s*:', '', 'g'), '(?i)\\b(user|assistant|human|ai)\\s*:', '', 'g') AS t FROM hd)
-SELECT id, trim(regexp_replace(replace(t, '![', ''), '\\s{{2,}}', ' ', 'g')) AS title FROM c WHERE NOT regexp_matches(t, '[A-Za-z0-9+/=]{{30}}')""")
+SELECT id, trim(regexp_replace(CASE WHEN len(list_filter(regexp_extract_all(u, '[A-Za-z0-9+/=]{{30,}}'), lambda r: regexp_matches(r, '[A-Z]') AND regexp_matches(r, '[a-z]') AND regexp_matches(r, '[0-9]'))) > 0
+  THEN regexp_replace(u, '[A-Za-z0-9+/]{{30,}}={{0,2}}', '', 'g') ELSE u END, '\\s{{2,}}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM (SELECT id, replace(t, '![', '') AS u FROM c)""")
 def title_sanitize(spark, d):
-    rows = headlines(spark, d).where(~F.col("title").rlike("[A-Za-z0-9+/=]{30}"))
-    return rows.select("id", titles.sanitize_title(F.col("title")).alias("title"))
+    return headlines(spark, d).select("id", titles.sanitize_title(F.col("title")).alias("title"))
 
 
 NORM = "trim(regexp_replace(lower(regexp_replace(regexp_replace(trim({t}), '(?i)^(ask hn|show hn|tell hn)\\s*:\\s*', ''), '(\\s*[\\[(][^\\])]*[\\])]\\s*)+$', '')), '\\s+', ' ', 'g'))"
@@ -284,15 +285,16 @@ def ingest_counts(spark, d):
     return ingest.ingest_counts(None, _accepted(spark, d, hits(spark, d)))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def unclustered_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+    members = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("article_id"))
+    return stories.unclustered(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), members)
 
 
 @query("SELECT event_id FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events WHERE event_id % 7 = 0)")
 def known_source_semi(spark, d):
-    events = table(spark, d, "events")
-    return events.join(events.where("event_id % 7 = 0").select("event_type").distinct(), "event_type", "left_semi").select("event_id")
+    events = table(spark, d, "events").withColumnRenamed("event_type", "source_id")
+    return ingest.of_known_sources(events, events.where("event_id % 7 = 0").select(F.col("source_id").alias("id"))).select("event_id")
 
 
 @query(f"WITH {ITEMS} SELECT seq FROM items i WHERE NOT EXISTS (SELECT 1 FROM items s WHERE s.url = i.url AND s.seq % 4 = 0)")
@@ -306,9 +308,8 @@ def seen_ttl_anti(spark, d):
 
 @query(f"WITH {ITEMS} SELECT seq, coalesce(CASE WHEN length(source_id) % 2 = 0 THEN 0.5::DOUBLE END, 0.1::DOUBLE) AS weight FROM items")
 def weight_left_default(spark, d):
-    items = raw_items(spark, d)
-    weights = items.where("length(source_id) % 2 = 0").select("source_id").distinct().withColumn("weight", F.lit(0.5))
-    return items.join(weights, "source_id", "left").select("seq", F.coalesce("weight", F.lit(0.1)).alias("weight"))
+    items = raw_items(spark, d).withColumn("weight", F.when(F.length("source_id") % 2 == 0, F.lit(0.5)))
+    return items.select("seq", scores.weight_of(F.col("weight")).alias("weight"))
 
 
 @query(f"WITH {ITEMS}, {accepted_sql('items')} SELECT seq, {SCORE.format(release=RELEASE)} AS score FROM acc")
@@ -391,13 +392,13 @@ def digest_rows(spark, d):
 
 @query(f"WITH {MEMBERS} SELECT story_id, string_agg(article_id, ',' ORDER BY score_base DESC, seq) AS articles FROM mb GROUP BY story_id")
 def story_articles_ranked(spark, d):
-    rows = member_rows(spark, d).groupBy("story_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score_base")).alias("k"), "seq", "article_id"))).alias("a"))
-    return rows.select("story_id", F.array_join(F.transform("a", lambda a: a["article_id"].cast("string")), ",").alias("articles"))
+    rows = member_rows(spark, d).groupBy("story_id").agg(stories.in_rank_order("article_id").alias("a"))
+    return rows.select("story_id", F.array_join(F.transform("a", lambda a: a.cast("string")), ",").alias("articles"))
 
 
 @query(f"WITH {ITEMS}, {HITS} SELECT source_id, count(*) AS n FROM (SELECT source_id FROM items UNION ALL SELECT source_id FROM hits) GROUP BY source_id")
 def union_sources(spark, d):
-    return raw_items(spark, d).unionByName(hits(spark, d)).groupBy("source_id").agg(F.count("*").alias("n"))
+    return feeds.in_order([raw_items(spark, d).drop("seq"), hits(spark, d).drop("seq")]).groupBy("source_id").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {STORIES} SELECT id, CASE WHEN status = 'active' AND last_updated < now - {GAP} THEN 'inactive' ELSE status END AS status FROM st, nw")
@@ -424,11 +425,9 @@ def freshness(spark, d):
 
 @query(f"WITH {ITEMS} SELECT seq, points FROM items WHERE points >= 100")
 def hn_points_filter(spark, d):
-    from .sources.feeds import hacker_news_items
-
     body = F.to_json(F.struct(F.array(F.struct(F.col("seq").cast("string").alias("objectID"), "title", "url", "points", F.lit("2024-01-01T00:00:00Z").alias("created_at"))).alias("hits")))
     rows = raw_items(spark, d).select(F.col("seq").cast("string").alias("source_id"), body.alias("body"))
-    return hacker_news_items(rows).select(F.col("source_id").cast("long").alias("seq"), "points")
+    return feeds.hacker_news_items(rows).select(F.col("source_id").cast("long").alias("seq"), "points")
 
 
 _MD = "title"
@@ -498,14 +497,12 @@ def search_bm25(spark, d):
 
 @query(f"WITH {MEMBERS} SELECT topic, count(DISTINCT article_id) AS articles FROM mb GROUP BY topic")
 def topic_counts(spark, d):
-    return member_topics(spark, d).groupBy("topic").agg(F.count("*").alias("articles"))
+    return reads.topic_counts(member_topics(spark, d))
 
 
 @query(f"WITH {STORIES}, {MEMBERS} SELECT id, score, count(article_id) AS articles, count(DISTINCT source_id) AS sources FROM st LEFT JOIN mb ON story_id = id GROUP BY ALL")
 def story_detail(spark, d):
-    counted = member_rows(spark, d).groupBy(F.col("story_id").alias("id")).agg(F.count("*").alias("articles"), F.count_distinct("source_id").alias("sources"))
-    none = F.lit(0).cast("long")
-    return story_rows(spark, d).join(counted, "id", "left").select("id", "score", F.coalesce("articles", none).alias("articles"), F.coalesce("sources", none).alias("sources"))
+    return reads.story_list(story_rows(spark, d), member_rows(spark, d)).select("id", "score", "articles", "sources")
 
 
 @query(f"WITH {STORIES} SELECT id, round(score - (now - last_updated) / 3600::DOUBLE * 0.005, 6) AS score FROM st, nw")
@@ -538,7 +535,8 @@ def dedup_titles(spark, d):
 
 def _clustered(spark, d):
     accepted = _accepted(spark, d, raw_items(spark, d))
-    articles = ingest.upsert_articles(None, accepted, NOW)
+    # Articles come in over twenty days, so that the gap between articles matters.
+    articles = ingest.upsert_articles(None, accepted, NOW).withColumn("collected_at", NOW - F.col("seq") % 40 * 43_200)
     return articles, stories.cluster(articles, ingest.article_topics(None, accepted, TOPICS))
 
 
@@ -584,3 +582,72 @@ def top_articles(spark, d):
     """The flagship: deduplicated, scored articles, the best 25."""
     articles = ingest.upsert_articles(None, _accepted(spark, d, raw_items(spark, d)), NOW)
     return articles.select("url_canonical", "title", "points", "score_base").orderBy(F.desc("score_base"), "url_canonical").limit(25)
+
+
+def _xml(text):
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def _payloads(spark, d):
+    """Pages as answers of their hosts: RSS, Atom and hits in turn, one a page, and answers that are none."""
+    items = raw_items(spark, d)
+    url, title = _xml(F.col("url")), _xml(F.col("title"))
+    rss = F.concat(F.lit("<rss><channel><title>c</title><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">'), title, F.lit('</title><link rel="alternate" href="'), F.replace(url, F.lit('"'), F.lit("&quot;")), F.lit('"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>'))
+    hit = F.to_json(F.struct(F.array(F.struct("title", "url", "points")).alias("hits")))
+    found = F.to_json(F.struct(F.array(F.struct("title", "url")).alias("results")))
+    turn = F.col("seq") % 5
+    body = F.when(turn == 0, rss).when(turn == 1, atom).when(turn == 2, hit).when(turn == 3, found).otherwise("<rss><channel><item>broken")
+    kind = F.when(turn == 2, "hn").when(turn == 3, "tavily").otherwise("rss")
+    return items.select("source_id", kind.alias("kind"), F.col("seq").cast("int").alias("asked"), body.alias("body"), F.col("source_id").alias("name"), (F.col("seq") % 2 == 0).alias("is_release"))
+
+
+@query(f"""WITH {ITEMS} SELECT seq * 4294967296 AS seq, trim(url) AS url, CASE WHEN seq % 5 < 2 THEN trim(title) ELSE title END AS title, source_id, CASE seq % 5 WHEN 2 THEN points ELSE 0 END AS points,
+  CASE seq % 5 WHEN 0 THEN 1704067200 WHEN 1 THEN 1704153600 ELSE 0 END AS published_at FROM items WHERE seq % 5 < 2 OR seq % 5 = 2 AND points >= 100 OR seq % 5 = 3""")
+def collect_dispatch(spark, d):
+    """Answers of all kinds, read by their adapter; broken ones stop no other."""
+    return feeds.collected(_payloads(spark, d)).select("seq", "url", "title", "source_id", "points", F.coalesce("published_at", F.lit(0)).alias("published_at"))
+
+
+@query(f"""WITH {ITEMS} SELECT CASE seq % 5 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END * 72057594037927936 + seq * 4294967296 AS seq, {LEGACY} AS url,
+  CASE seq % 5 WHEN 2 THEN 'Hacker News' WHEN 3 THEN 'Tavily:' || substr(source_id, 1, 40) ELSE source_id END AS source, CASE seq % 5 WHEN 2 THEN points ELSE 0 END AS points,
+  seq % 2 = 0 AND seq % 5 < 2 AS is_release FROM items WHERE ({LEGACY}) <> '' AND (seq % 5 < 2 OR seq % 5 = 2 AND points >= 100 OR seq % 5 = 3)""")
+def collect_legacy(spark, d):
+    """The older pipeline's union of feeds, front page and searches."""
+    return feeds.legacy_collected(_payloads(spark, d)).select("seq", "url", "source", "points", "is_release")
+
+
+@query(f"""WITH {ITEMS}, k AS (SELECT sha256(url) AS key, seq FROM items) SELECT key, CAST(max(CASE WHEN seq % 3 = 0 THEN 1900000000 ELSE 1890000000 END) AS BIGINT) AS seen_at FROM k WHERE seq % 3 < 2 GROUP BY key""")
+def seen_sink(spark, d):
+    """What is seen after a batch: the stored keys and those of the accepted items."""
+    items = raw_items(spark, d)
+    stored = items.where("seq % 3 = 1").select(F.sha2("url", 256).alias("key"), F.timestamp_seconds(F.lit(NOW - 10_000_000)).alias("seen_at"))
+    after = dedup.seen_after(stored, items.where("seq % 3 = 0"), F.timestamp_seconds(F.lit(NOW)))
+    return after.select("key", F.unix_seconds("seen_at").alias("seen_at"))
+
+
+@query(f"WITH {ITEMS}, t AS (SELECT page_id FROM pages) SELECT c_custkey, c_custkey % 24 < 24 AND c_custkey % 70 < 60 AS valid FROM customer")
+def schedule_times(spark, d):
+    text = F.format_string("%02d:%02d", F.col("c_custkey") % 24, F.col("c_custkey") % 70)
+    return table(spark, d, "customer").select("c_custkey", scores.valid_time(text).alias("valid"))
+
+
+@query(f"WITH {STORIES} SELECT '{{\"command\":\"stories\",\"data\":{{\"id\":' || id || ',\"status\":\"' || status || '\"}}}}' AS json FROM st")
+def json_envelope(spark, d):
+    return reads.envelope(story_rows(spark, d).select("id", "status"), "stories")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS articles FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL")
+def source_list(spark, d):
+    known = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return reads.source_list(known, table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source_id"), "l_orderkey").distinct())
+
+
+@query()
+def analyze_legacy(spark, d):
+    """The older pipeline from collected items to the day's capped, scored items."""
+    items = feeds.legacy_collected(_payloads(spark, d)).withColumn("collected_at", F.lit("2024-01-05T00:00:00+00:00"))
+    config = {"keywords": {"alpha": ["the", "ing"], "beta": ["de"]}, "scoring": {"max_items": 25}}
+    return digest.analyze(items, None, config, "2024-01-06", "2024-01-06").items.select("seq", "url", "source", F.round("score", 6).alias("score"))

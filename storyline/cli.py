@@ -1,40 +1,74 @@
-"""Command line: ``run`` a batch over stored items, print the ``brief``, or the ``status``."""
+"""Command line: ``init`` a folder, ``run`` a batch (fetched or stored items), print the ``brief``, the ``status`` or JSON answers."""
 
 from __future__ import annotations
 
 import argparse
 import time
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .operators.durable import durable
 from .operators.stories import ClusterConfig
-from .plans import brief
+from .plans import brief, query
 from .plans.run import run_batch
+from .sources import feeds
 from .sources.config import load_config
 from .sources.store import Store
 
 
+EXAMPLE = "sources:\n- {id: front-page, name: Front Page, type: hn, weight: 0.3}\ntopics: {}\n"
+
+
+def _members(store: Store):
+    return store.read("story_articles").join(
+        store.read("articles").selectExpr("id AS article_id", "origin_source_id AS source_id", "score_base", "seq"), "article_id"
+    )
+
+
+#: Commands whose answers are JSON lines.
+ANSWERS = {
+    "topics": lambda store, _: query.topic_counts(store.read("article_topics")),
+    "stories": lambda store, _: query.story_list(store.read("stories"), _members(store), "active"),
+    "story": lambda store, key: query.story_detail(store.read("stories"), _members(store), store.read("story_topics"), key),
+    "article": lambda store, key: query.article_detail(store.read("articles"), store.read("story_articles"), store.read("article_topics"), key),
+    "sources": lambda store, _: query.source_list(store.read("sources"), store.read("mentions")),
+}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="storyline")
-    parser.add_argument("command", choices=("run", "brief", "status"))
+    parser.add_argument("command", choices=("init", "run", "brief", "status", *ANSWERS))
     parser.add_argument("--store", required=True, help="folder of the snapshots")
-    parser.add_argument("--config", help="configuration file (run)")
-    parser.add_argument("--items", help="Parquet of raw items (run)")
+    parser.add_argument("--config", help="configuration file (init, run)")
+    parser.add_argument("--items", help="Parquet of raw items (run; without it the sources are fetched)")
+    parser.add_argument("--id", help="what story and article show")
     args = parser.parse_args(argv)
+    if args.command == "init":
+        path = Path(args.config or "storyline.yaml")
+        if path.exists():
+            parser.error(f"{path} is there already")
+        path.write_text(EXAMPLE, encoding="utf-8")
+        return 0
     spark = SparkSession.builder.appName("storyline").getOrCreate()
     store = Store(spark, args.store)
     if args.command == "run":
-        if not args.config or not args.items:
-            parser.error("run needs --config and --items")
+        if not args.config:
+            parser.error("run needs --config")
         config = load_config(args.config)
         rows = [(s.id, s.name, s.url, s.weight, s.category) for s in config.sources]
         sources = spark.createDataFrame(rows, "id string, name string, url string, weight double, category string")
-        print(run_batch(store, spark.read.parquet(args.items), sources, config.topics, config.clustering or ClusterConfig(), briefs=f"{args.store}/briefs"))
+        items = spark.read.parquet(args.items) if args.items else feeds.collected(durable(feeds.fetch(spark, feeds.requests_of(config.sources, None, config.search_key))))
+        print(run_batch(store, items, sources, config.topics, config.clustering or ClusterConfig(), briefs=f"{args.store}/briefs"))
         return 0
     stories = store.read("stories")
     if stories is None:
         print("no data yet")
         return 1
+    if args.command in ANSWERS:
+        for row in query.envelope(ANSWERS[args.command](store, args.id), args.command).toLocalIterator():
+            print(row["json"])
+        return 0
     if args.command == "brief":
         now = int(time.time())
         articles = store.read("articles")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Weight of a source that is not listed.
+DEFAULT_WEIGHT = 0.1
+
 
 def _d(value: float) -> Column:
     return F.lit(float(value))
@@ -20,7 +23,7 @@ def story_score(best: Column, sources: Column, recent: Column) -> Column:
 def signal_score(weight: Column, points: Column, density: Column, release: Column, hours: Column) -> Column:
     """The older article score: points count for 0.3 at most and age counts against."""
     return (
-        F.coalesce(weight, _d(0.1)) + F.least(F.coalesce(points, F.lit(0)) / _d(500), _d(0.3)) + F.coalesce(density, _d(0)) * _d(0.2)
+        weight_of(weight) + F.least(F.coalesce(points, F.lit(0)) / _d(500), _d(0.3)) + F.coalesce(density, _d(0)) * _d(0.2)
         + F.when(release, _d(0.2)).otherwise(_d(0)) - F.coalesce(hours, _d(0)) * _d(0.005)
     )
 
@@ -53,3 +56,13 @@ def parse_published(text: Column) -> Column:
     plain = F.regexp_replace(text, r"^[A-Za-z]{3},?\s+", "")
     mail = [F.try_to_timestamp(plain, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("Z", "z")]
     return F.coalesce(iso_time(text), *mail).cast("long")
+
+
+def weight_of(weight: Column) -> Column:
+    """A source's weight, or that of a source which is not listed."""
+    return F.coalesce(weight, F.lit(DEFAULT_WEIGHT))
+
+
+def valid_time(text: Column) -> Column:
+    """Whether a schedule's time of day is an hour of 0 to 23 and a minute of 0 to 59, as HH:MM."""
+    return F.coalesce(text.rlike(r"^\s*0*([0-9]|1[0-9]|2[0-3])\s*:\s*0*([0-9]|[1-5][0-9])\s*$"), F.lit(False))

@@ -46,6 +46,11 @@ def normalize_title(title: Column) -> Column:
     return _strip(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+def without_outlet(title: Column) -> Column:
+    """Without one closing " - Outlet", " | Outlet" or " — Outlet" of at most four words."""
+    return F.regexp_replace(title, r"(?U)\s+[-|–—]\s+[^\s|–—]+(\s+[^\s|–—-]+){0,3}\s*$", "")
+
+
 def number_tokens(normal: Column) -> Column:
     """Sorted distinct numbers and versions; titles whose tokens differ are never one story."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(normal, F.lit(r"(?U)(\d+(?:\.\d+)*)"), F.lit(1))))

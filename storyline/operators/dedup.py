@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.store import replace_folder
 from .components import connected_components
 from .durable import durable
 from .similarity import DUPLICATE_THRESHOLD, similar, similar_titles
@@ -23,6 +24,18 @@ def unseen(items: DataFrame, seen: DataFrame) -> DataFrame:
     return items.withColumn("key", F.sha2("url", 256)).join(seen.select("key"), "key", "left_anti").drop("key")
 
 
+def seen_after(seen: DataFrame, accepted: DataFrame, now) -> DataFrame:
+    """``(key, seen_at)``: what was seen and the accepted items' urls, these as of ``now``."""
+    new = accepted.select(F.sha2("url", 256).alias("key"), F.lit(now).cast("timestamp").alias("seen_at"))
+    return seen.select("key", "seen_at").unionByName(new).groupBy("key").agg(F.max("seen_at").alias("seen_at"))
+
+
+def write_seen(seen: DataFrame, path: str) -> None:
+    """Lines as parse_seen reads them, in a folder that takes the old one's place when it is whole."""
+    stamp = F.date_format("seen_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    replace_folder(seen.sparkSession, path, lambda beside: seen.select(F.concat_ws(" ", "key", stamp)).write.text(beside))
+
+
 def accept_in_order(rows: list[tuple[int, str, str]]) -> list[int]:
     """seq of the accepted of one component's (seq, url, lower-case title): neither url nor a similar title accepted before."""
     urls: set[str] = set()

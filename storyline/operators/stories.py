@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores, titles, urls
 from .components import connected_components
 from .durable import durable
-from .similarity import STORY_THRESHOLD, similar, similar_titles
+from .similarity import STORY_THRESHOLD, ratio, similar, similar_titles
 
 DAY = 86_400
 TOP_TOPICS = 5
@@ -23,6 +23,10 @@ class ClusterConfig:
     max_time_gap_days: int = 7
     min_title_words: int = 4
     canonical_delta: float = 0.1
+    #: Tokens that two titles must share, whether the most similar story is taken instead of the latest, and whether an outlet's name at the end of titles is left out.
+    token_overlap: int = 0
+    best_match: bool = False
+    strip_outlets: bool = False
 
     @property
     def gap(self) -> int:
@@ -54,7 +58,7 @@ def fold(rows: list[dict], config: ClusterConfig) -> Iterator[dict]:
     new = sorted((r for r in rows if not r["story_id"]), key=lambda r: (r["collected_at"], r["seq"]))
     for r in new:
         topics, paper = set(r["topics"]), r["paper"]
-        found = None
+        found, best = None, -1.0
         for own in sorted(stories.values(), key=lambda s: (s["last"], s["n"]), reverse=True):
             if abs(r["collected_at"] - own["last"]) > config.gap or list(r["numbers"]) != list(own.setdefault("numbers", r["numbers"] if own["norm"] == r["norm"] else _numbers(own["norm"]))):
                 continue
@@ -62,10 +66,13 @@ def fold(rows: list[dict], config: ClusterConfig) -> Iterator[dict]:
                 continue
             pair = (r["norm"], own["norm"])
             if pair not in known:
-                known[pair] = similar(*pair, config.threshold, False, True)
-            if known[pair]:
+                shared = not config.token_overlap or len(set(pair[0].split()) & set(pair[1].split())) >= config.token_overlap
+                known[pair] = shared and similar(*pair, config.threshold, False, True)
+            if known[pair] and not config.best_match:
                 found = own
                 break
+            if known[pair] and (value := ratio(*pair)) > best:
+                found, best = own, value
         if found is None:
             found = {"id": r["article_id"], "title": r["title"], "norm": r["norm"], "numbers": r["numbers"], "type": r["story_type"], "last": r["collected_at"],
                      "first": r["collected_at"], "canonical": r["article_id"], "topics": set(), "papers": set(), "n": len(stories), "step": 0, "new": True}
@@ -92,9 +99,9 @@ def _numbers(norm: str) -> list[str]:
     return sorted(set(re.findall(r"\d+(?:\.\d+)*", norm)))
 
 
-def _nodes(articles: DataFrame, topics: DataFrame) -> DataFrame:
+def _nodes(articles: DataFrame, topics: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
     own = topics.groupBy("article_id").agg(F.array_sort(F.collect_set("topic")).alias("topics"))
-    norm = titles.normalize_title(F.col("title"))
+    norm = _norm(config or ClusterConfig())
     return (
         articles.withColumn("norm", norm)
         .join(own.withColumnRenamed("article_id", "id"), "id", "left")
@@ -106,6 +113,22 @@ def _nodes(articles: DataFrame, topics: DataFrame) -> DataFrame:
     )
 
 
+def _norm(config: ClusterConfig) -> Column:
+    title = F.col("title")
+    return titles.normalize_title(titles.without_outlet(title) if config.strip_outlets else title)
+
+
+def in_rank_order(column: str) -> Column:
+    """Aggregate: a story's ``column`` of its articles by score, best first, then by arrival (score_base, seq)."""
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("score_base")).alias("k"), "seq", column)))
+    return F.transform(ranked, lambda a: a[column])
+
+
+def unclustered(articles: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """Articles that no story holds (members: article_id)."""
+    return articles.join(members.select(F.col("article_id").alias(key)), key, "left_anti")
+
+
 def cluster(articles: DataFrame, topics: DataFrame, stories: DataFrame | None = None, members: DataFrame | None = None, config: ClusterConfig | None = None) -> DataFrame:
     """FOLD_SCHEMA rows: each newly clustered article with its story's state after it.
 
@@ -116,15 +139,15 @@ def cluster(articles: DataFrame, topics: DataFrame, stories: DataFrame | None =
     last_updated go to the story made later. Only active stories take part.
     """
     config = config or ClusterConfig()
-    nodes = _nodes(articles, topics)
+    nodes = _nodes(articles, topics, config)
     if stories is None or members is None:
         fresh = nodes.where(titles.word_count(F.col("norm")) >= config.min_title_words)
         seeds = None
     else:
-        fresh = nodes.join(members.select("article_id"), "article_id", "left_anti").where(titles.word_count(F.col("norm")) >= config.min_title_words)
+        fresh = unclustered(nodes, members, "article_id").where(titles.word_count(F.col("norm")) >= config.min_title_words)
         seeds = nodes.join(members, "article_id").join(
             stories.where("status = 'active'").select(
-                F.col("id").alias("story_id"), F.col("title").alias("story_title"), titles.normalize_title(F.col("title")).alias("story_norm"),
+                F.col("id").alias("story_id"), F.col("title").alias("story_title"), _norm(config).alias("story_norm"),
                 F.col("story_type").alias("story_story_type"), "last_updated", "first_seen", "canonical_article_id",
             ), "story_id",
         )

@@ -9,6 +9,7 @@ from pathlib import Path
 
 from ..operators.stories import ClusterConfig
 
+# Names that source types go by, and what a source has that says nothing.
 TYPE_ALIASES = {"hn_algolia": "hn", "hacker_news": "hn"}
 WEIGHT, CATEGORY, KIND = 0.2, "community", "rss"
 
@@ -59,9 +60,10 @@ def load_config(path: str | Path, presets: str | Path | None = None) -> Config:
             warnings.warn(f"no preset {preset!r}", stacklevel=2)
     sources = [_source(s) for s in listed]
     known = {s.id for s in sources}
-    for other in raw.get("include") or []:
+    for other in raw.get("includes") or []:
         try:
-            extra = yaml.safe_load((path.parent / other).read_text(encoding="utf-8")) or {}
+            # An absolute path stands for itself.
+            extra = yaml.safe_load((path.parent / Path(other).expanduser()).read_text(encoding="utf-8")) or {}
             for s in map(_source, extra.get("sources") or extra.get("feeds") or []):
                 if s.id not in known:
                     known.add(s.id)

@@ -1,5 +1,7 @@
 import random
+import re
 from datetime import datetime
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,9 +56,48 @@ def test_gate_never_hides_similar_titles():
             assert similarity.similar(a, b, t, False, True) == (similarity.ratio(a, b) >= t)
 
 
-def sequential(rows, config):
-    """The greedy algorithm over all articles at once."""
-    return list(stories.fold(rows, config))
+def plain_clusters(articles, topics, config):
+    """Stories by the rules as they are stated, one article after another over all stories: (story, article, canonical, last_updated, step)."""
+    prefix, brackets = re.compile(r"^(ask hn|show hn|tell hn)\s*:\s*", re.I), re.compile(r"(\s*[\[(][^\])]*[\])]\s*)+$")
+
+    def plain(title):
+        return re.sub(r"\s+", " ", brackets.sub("", prefix.sub("", title.strip())).lower()).strip()
+
+    def numbers(text):
+        return set(re.findall(r"\d+(?:\.\d+)*", text))
+
+    stories, steps = [], []
+    by_id = {a["id"]: a for a in articles}
+    tags = {}
+    for article, topic in topics:
+        tags.setdefault(article, set()).add(topic)
+    for a in sorted(articles, key=lambda a: (a["collected_at"], a["seq"])):
+        if len(plain(a["title"]).split()) < config.min_title_words:
+            continue
+        own, paper = tags.get(a["id"], set()), re.search(r"arxiv\.org/abs/(\d+\.\d+)", a["url_canonical"])
+        paper = paper and paper[1]
+        chosen = None
+        for story in sorted(reversed(stories), key=lambda s: -s["last"]):
+            members = [by_id[m] for m in story["members"]]
+            shared = set().union(*(tags.get(m["id"], set()) for m in members))
+            papers = {m[1] for x in members if (m := re.search(r"arxiv\.org/abs/(\d+\.\d+)", x["url_canonical"]))}
+            if abs(a["collected_at"] - story["last"]) > config.max_time_gap_days * 86_400 or numbers(plain(a["title"])) != numbers(plain(story["title"])):
+                continue
+            if own and shared and not own & shared or paper and papers - {paper}:
+                continue
+            if SequenceMatcher(None, plain(a["title"]), plain(story["title"])).ratio() >= config.threshold:
+                chosen = story
+                break
+        if chosen is None:
+            stories.append({"id": a["id"], "title": a["title"], "canonical": a["id"], "last": a["collected_at"], "members": [a["id"]]})
+            chosen = stories[-1]
+        else:
+            if a["score_base"] > by_id[chosen["canonical"]]["score_base"] + config.canonical_delta:
+                chosen["canonical"], chosen["title"] = a["id"], a["title"]
+            chosen["members"].append(a["id"])
+            chosen["last"] = max(chosen["last"], a["collected_at"])
+        steps.append((chosen["id"], a["id"], chosen["canonical"], chosen["last"], len(chosen["members"])))
+    return set(steps)
 
 
 def test_cluster_equals_sequential(spark):
@@ -71,8 +112,7 @@ def test_cluster_equals_sequential(spark):
         rows.append((f"id{k:02d}", f"https://{'arxiv.org/abs/2401.0000' + str(k % 3) if k % 9 == 0 else 'x.com/' + str(k)}", " ".join(title), 1000 + dice.randrange(20) * 86_400, k, dice.random(), "news"))
     articles = spark.createDataFrame(rows, "id string, url_canonical string, title string, collected_at long, seq long, score_base double, story_type string")
     topics = spark.createDataFrame([(r[0], f"t{k % 2}") for k, r in enumerate(rows) if k % 3], "article_id string, topic string")
-    nodes = stories._nodes(articles, topics).withColumn("story_id", F.lit(None).cast("string")).collect()
-    expected = {(r["story_id"], r["article_id"], r["canonical_article_id"], r["last_updated"], r["step"]) for r in sequential([n.asDict() for n in nodes], stories.ClusterConfig())}
+    expected = plain_clusters([r.asDict() for r in articles.collect()], [tuple(t) for t in topics.collect()], stories.ClusterConfig())
     found = {(r["story_id"], r["article_id"], r["canonical_article_id"], r["last_updated"], r["step"]) for r in stories.cluster(articles, topics).collect()}
     assert found == expected
     changes = stories.cluster(articles, topics)
