@@ -282,7 +282,7 @@ def _components(prints: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
-    The row of the group's least doc_id stays (of repeated ones, one; null ids
+    The row of the group's least doc_id stays (of repeated ones, the least by all columns; null ids
     lose to others, and a group without ids keeps one row of one fingerprint).
     """
     mark = "fp"
@@ -295,4 +295,6 @@ def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     kept = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("fp"), F.min("least").alias("least"))
     chosen = kept.select(F.col("fp").alias("_chosen_fp"), F.col("least").alias("_chosen_id"))
     same = (F.col(mark) == F.col("_chosen_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_chosen_id"))
-    return marked.join(chosen, same, "left_semi").dropDuplicates(["doc_id", mark]).select(*docs.columns)
+    # Of rows that share id and mark the least by all columns stays.
+    least_row = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("_row")
+    return marked.join(chosen, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).agg(least_row).select("_row.*")

@@ -102,11 +102,12 @@ class Forest:
         return leaves
 
 
-def _leaf_links(x: np.ndarray, y: np.ndarray | None, rows: np.ndarray, leaves: list[np.ndarray], leaf: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _leaf_links(x: np.ndarray, y: np.ndarray | None, rows: np.ndarray, weights: np.ndarray, leaves: list[np.ndarray], leaf: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, links counted here, least row joined here) of the rows that have a link in a leaf or a pair of its blocks.
 
-    ``x`` holds the leaf's vectors, or ``y`` the second block's; ``rows`` and
-    ``leaves`` are theirs in that order. A pair is counted in the first leaf
+    ``x`` holds the leaf's vectors, or ``y`` the second block's; ``rows``,
+    ``weights`` and ``leaves`` are theirs in that order. A link counts as often
+    as its other end has copies. A pair is counted in the first leaf
     (by number) that its vectors share, so once over all trees.
     """
     n = len(x)
@@ -129,7 +130,7 @@ def _leaf_links(x: np.ndarray, y: np.ndarray | None, rows: np.ndarray, leaves: l
     places, spot = np.unique(np.concatenate(earlier), return_inverse=True)
     member = np.zeros((len(some), max(1, len(places))), np.float32)
     member[np.repeat(np.arange(len(some)), [len(e) for e in earlier]), spot] = 1
-    counted = (near & (member @ member.T == 0)).sum(axis=1)
+    counted = (near & (member @ member.T == 0)) @ weights[some]
     own = rows[some]
     label = own.copy()
     while True:
@@ -147,21 +148,26 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = LEAST_COSINE, tree
     link with nothing, and vectors of unlike lengths not with each other.
     Repeated rows are vectors of their own and link; extra columns (labels) are
     not looked at; an empty table gives an empty one; a null vec_id stays null.
+    Of equal vectors one goes through the forest, with their number as its
+    weight, so a group of copies costs what one vector does.
     """
     rows = durable(vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding"))
     usable = rows.where(_finite("embedding")).where(F.exists("embedding", lambda x: x != 0))
+    distinct = durable(usable.groupBy("embedding").agg(F.min("row").alias("row"), F.count("*").alias("weight")))
     found = None
-    for width, count in [tuple(r) for r in usable.groupBy(F.size("embedding")).count().collect()]:
-        own = _links(usable.where(F.size("embedding") == width), count, least, trees, leaf, sample)
+    for width, count in [tuple(r) for r in distinct.groupBy(F.size("embedding")).count().collect()]:
+        own = _links(distinct.where(F.size("embedding") == width), count, least, trees, leaf, sample)
         found = own if found is None else found.unionByName(own)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = durable(found)
     counts = found.groupBy("row").agg(F.sum("links").alias("links"))
     components = connected_components(found.select(F.col("row").alias("a"), F.col("joined").alias("b")))
-    ids = rows.select("row", "vec_id")
-    named = ids.join(components.withColumnRenamed("node", "row"), "row", "left").join(counts, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    named = durable(named)
+    # What holds for one of equal vectors holds for each; they link with each other.
+    facts = distinct.join(components.withColumnRenamed("node", "row"), "row", "left").join(counts, "row", "left").select(
+        "embedding", F.coalesce("component", "row").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links")
+    )
+    named = durable(rows.select("row", "vec_id").join(usable.join(facts, "embedding").select("row", "component", "links"), "row", "left").withColumn("component", F.coalesce("component", "row")))
     least_id = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     return named.join(least_id, "component").select(
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "component_id",
@@ -179,10 +185,10 @@ def _links(usable: DataFrame, count: int, least: float, trees: int, leaf: int, s
         for batch in batches:
             x = _unit(_matrix(batch["x"])) if batch.num_rows else np.zeros((0, 1))
             leaves = pa.array(forest.value.route(x.astype(np.float32)), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["x"], leaves], names=["row", "x", "leaves"])
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["weight"], batch["x"], leaves], names=["row", "weight", "x", "leaves"])
 
     kind = usable.schema["embedding"].dataType.simpleString()
-    routed = durable(usable.select("row", F.col("embedding").alias("x")).mapInArrow(route, f"row long, x {kind}, leaves array<int>"))
+    routed = durable(usable.select("row", "weight", F.col("embedding").alias("x")).mapInArrow(route, f"row long, weight long, x {kind}, leaves array<int>"))
     # Leaves are bounded by trees * sample / 16.
     sizes = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
     blocks = sizes.where("count > 1").select("leaf", F.ceil(F.col("count") / (2 * leaf)).cast("int").alias("blocks"))
@@ -190,22 +196,22 @@ def _links(usable: DataFrame, count: int, least: float, trees: int, leaf: int, s
         routed.withColumn("leaf", F.explode("leaves")).join(F.broadcast(blocks), "leaf")
         .withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("leaf", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "row", "x", "leaves")
+        .select("leaf", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "row", "weight", "x", "leaves")
     )
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         x, own = _unit(_matrix(table["x"].combine_chunks())), table["own"].to_numpy()
         low, high, at = table["low"][0].as_py(), table["high"][0].as_py(), table["leaf"][0].as_py()
-        rows = table["row"].to_numpy()
+        rows, weights = table["row"].to_numpy(), table["weight"].to_numpy()
         leaves = [np.asarray(v) for v in table["leaves"].to_pylist()]
         if low == high:
-            found = _leaf_links(x, None, rows, leaves, at, least)
+            found = _leaf_links(x, None, rows, weights, leaves, at, least)
         else:
             order = np.argsort(own != low, kind="stable")
             n = int((own == low).sum())
-            x, rows, leaves = x[order], rows[order], [leaves[k] for k in order.tolist()]
-            found = _leaf_links(x[:n], x[n:], rows, leaves, at, least)
+            x, rows, weights, leaves = x[order], rows[order], weights[order], [leaves[k] for k in order.tolist()]
+            found = _leaf_links(x[:n], x[n:], rows, weights, leaves, at, least)
         return pa.table(dict(zip(("row", "links", "joined"), map(pa.array, found), strict=True)))
 
     return dealt.groupBy("leaf", "low", "high").applyInArrow(compare, "row long, links long, joined long")
@@ -215,9 +221,11 @@ TOP_K, SCALE, BIN_BITS = 20, 64, 10
 BINS = 1 << BIN_BITS
 #: Integer types blocks are packed in, by the largest component; wider ones stay doubles.
 NARROW = (("<i1", 127), ("<i2", 32767), ("<i4", 2147483647))
-#: Scores saturate here, so that differences of two fit 64 bits.
+#: Scores up to here are exact: differences of two fit 64 bits.
 MOST_SCORE = 1 << 61
-CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 512
+CANDIDATE_BLOCK = 4096
+#: Bytes of queries that go to all candidates at a time, as doubles.
+WAVE_BYTES = 32 << 20
 
 
 def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
@@ -252,22 +260,22 @@ def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    whole = np.array([[int(v) for v in r] for r in a], object) @ np.array([[int(v) for v in r] for r in b], object).T
-    return np.clip(whole, -MOST_SCORE, MOST_SCORE).astype(np.int64)
+    return (np.array([[int(v) for v in r] for r in a], object) @ np.array([[int(v) for v in r] for r in b], object).T).astype(np.int64)
 
 
-def exact_top_k(vectors: DataFrame, k: int = TOP_K, every: int = 20, scale: int = SCALE) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = TOP_K, every: int = 20, scale: int = SCALE, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's ``k`` highest integer inner products.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all
-    rows but the query's own; ties go to the smaller vec_id. Blocks of queries
-    meet blocks of candidates. Each round sums the scores' histograms over all
-    blocks and narrows every query's range to the bin that holds its kth score,
-    until the bin is one score wide; a last pass takes what lies above and, of
-    the ties, the first ids. Vectors that are null or hold null or non-finite
-    components, and null ids, take no part; empty vectors neither, and vectors
-    of unlike lengths don't meet. Repeated rows count each. Scores beyond
-    MOST_SCORE saturate.
+    rows but the query's own; ties go to the smaller vec_id. Blocks of
+    candidates stay where they are; queries come to them in waves of about
+    ``wave_bytes``. Each round sums the scores' histograms over all blocks and
+    narrows every query's range to the bin that holds its kth score, until the
+    bin is one score wide; a last pass takes what lies above and, of the ties,
+    the first ids. Vectors that are null or hold null or non-finite components,
+    and null ids, take no part; empty vectors neither, and vectors of unlike
+    lengths don't meet. Repeated rows count each. A table whose scores could
+    pass MOST_SCORE is refused.
     """
     usable = durable(
         vectors.where(_finite("embedding") & F.col("vec_id").isNotNull())
@@ -275,92 +283,97 @@ def exact_top_k(vectors: DataFrame, k: int = TOP_K, every: int = 20, scale: int
     )
     candidates = _blocks(usable, CANDIDATE_BLOCK, scale)
     asked = usable.where(F.col("vec_id") % every == 0)
-    count = asked.count()
-    queries = _blocks(asked.repartition(max(1, math.ceil(count / QUERY_BLOCK)), "row"), QUERY_BLOCK, scale)
-    bound, n_blocks = candidates.agg(F.coalesce(F.max("norm"), F.lit(0.0)), F.count("*")).first()
-    n_asked = queries.count()
-    most = int(min(bound, MOST_SCORE))
+    widths = {r["width"]: r["norm"] for r in candidates.groupBy("width").agg(F.max("norm").alias("norm")).collect()}
+    found = None
+    for width, count in [tuple(r) for r in asked.groupBy(F.size("embedding")).count().orderBy(F.size("embedding")).collect()]:
+        if widths[width] > MOST_SCORE:
+            raise ValueError("scores could pass 2^61")
+        own = asked.where(F.size("embedding") == width)
+        waves = math.ceil(count * (8 * width + 64) / wave_bytes)
+        for wave in range(waves):
+            part = own.where(F.pmod(F.xxhash64("row"), F.lit(waves)) == wave).toArrow().sort_by("row")
+            if part.num_rows:
+                best = _wave(candidates.where(F.col("width") == width), part, k, scale, widths[width])
+                found = best if found is None else found.unionByName(best)
+    return usable.sparkSession.createDataFrame([], RESULT) if found is None else found
+
+
+RESULT = "query_id long, rank int, vec_id long, score long"
+
+
+def _wave(candidates: DataFrame, queries: pa.Table, k: int, scale: int, norm: float) -> DataFrame:
+    """RESULT rows of the queries (row, vec_id, embedding), a bounded number of equal length."""
+    context = candidates.sparkSession.sparkContext
+    x = np.floor(scale * _matrix(queries["embedding"].combine_chunks()))
+    kind = next((t for t, most in NARROW if np.abs(x).max() <= most), "<f8")
+    fixed = context.broadcast((x.astype(kind), queries["row"].to_numpy(), queries["vec_id"].to_numpy()))
+    most = int(norm)
     rounds = max(1, -(-(2 * most + 3).bit_length() // BIN_BITS))
-    # Every pair of a query block and a candidate block is one row of work.
-    left = queries.select(F.col("block").alias("q_block"), "width", *(F.col(c).alias(f"q_{c}") for c in ("kind", "rows", "ids", "x")))
-    right = candidates.select(F.col("block").alias("c_block"), "width", *(F.col(c).alias(f"c_{c}") for c in ("kind", "rows", "ids", "x")))
-    ids = [r[0] for r in queries.select("block").collect()]
-    other = [r[0] for r in candidates.select("block").collect()]
-    left = left.withColumn("c_block", F.explode(F.lit(other).cast("array<long>"))) if n_blocks else left.withColumn("c_block", F.lit(None).cast("long"))
-    right = right.withColumn("q_block", F.explode(F.lit(ids).cast("array<long>"))) if n_asked else right.withColumn("q_block", F.lit(None).cast("long"))
-    pairs = durable(left.join(right, ["q_block", "c_block", "width"]))
-    state = queries.select(F.col("block").alias("q_block"), "n").select("q_block", F.posexplode(F.array_repeat(F.lit(1), F.col("n"))).alias("pos", "_")).select(
-        "q_block", "pos", F.lit(-most - 1).cast("long").alias("low"), F.lit(k).cast("long").alias("need")
-    )
-
-    def stated(current: DataFrame) -> DataFrame:
-        per_block = current.groupBy("q_block").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("state"))
-        return pairs.join(per_block, "q_block")
-
+    low, need = np.full(len(x), -most - 1), np.full(len(x), k)
     for step in range(rounds):
         shift = BIN_BITS * (rounds - 1 - step)
-        histogram = stated(state).mapInArrow(_histogram(shift, bound), "q_block long, pos int, bin long, n long").groupBy("q_block", "pos", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("q_block", "pos").orderBy(F.desc("bin"))
-        summed = histogram.withColumn("through", F.sum("n").over(down))
-        chosen = (
-            summed.join(state, ["q_block", "pos"])
-            .groupBy("q_block", "pos")
-            .agg(
-                F.max(F.when(F.col("through") >= F.col("need"), F.struct("bin", (F.col("need") - F.col("through") + F.col("n")).alias("need")))).alias("hit"),
-                F.min(F.struct("bin", "n")).alias("last"),
-                F.first("low").alias("low"),
-            )
-            .select("q_block", "pos", (F.col("low") + F.coalesce("hit.bin", "last.bin") * F.lit(1 << shift)).alias("low"), F.coalesce("hit.need", "last.n").alias("need"))
-        )
-        state = durable(chosen)
-    found = stated(state).mapInArrow(_at_least(bound), "query_row long, query_id long, vec_id long, row long, score long")
+        state = context.broadcast((low, need))
+        counts = candidates.mapInArrow(_histogram(fixed, state, shift, norm), "pos int, bin int, n long").groupBy("pos", "bin").agg(F.sum("n").alias("n"))
+        through = F.sum("n").over(Window.partitionBy("pos").orderBy(F.desc("bin")))
+        asked = F.element_at(F.lit(need.tolist()), F.col("pos") + 1)
+        # The bin that holds the kth score, and how many of it are needed; with fewer scores than k the lowest bin, all of it.
+        hit = F.max(F.when(F.col("through") >= asked, F.struct("bin", (asked - F.col("through") + F.col("n")).alias("need"))))
+        chosen = counts.withColumn("through", through).groupBy("pos").agg(F.coalesce(hit, F.min(F.struct("bin", F.col("n").alias("need")))).alias("c")).select("pos", "c.bin", "c.need").toArrow()
+        at = chosen["pos"].to_numpy()
+        low, need = low.copy(), need.copy()
+        low[at] += chosen["bin"].to_numpy().astype(np.int64) << shift
+        need[at] = chosen["need"].to_numpy()
+        state.unpersist()
+    state = context.broadcast((low, need))
+    found = candidates.mapInArrow(_at_least(fixed, state, norm), "query_row long, query_id long, vec_id long, row long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return durable(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+
+#: Queries scored at a time against a block of candidates.
+QUERIES_AT_ONCE = 512
 
 
-def _scored(batches: Iterator[pa.RecordBatch], bound: float) -> Iterator[tuple]:
+def _scored(batches: Iterator[pa.RecordBatch], fixed, state, norm: float) -> Iterator[tuple]:
+    x, rows, ids = fixed.value
+    low, need = state.value
     for batch in batches:
         for row in batch.to_pylist():
-            a, b = (np.frombuffer(row[f"{side}_x"], row[f"{side}_kind"]).reshape(-1, row["width"]) for side in "qc")
-            scores = _products(a, b, bound)
-            q_rows, c_rows = (np.frombuffer(row[c], np.int64) for c in ("q_rows", "c_rows"))
-            state = row["state"]
-            pos = np.array([s["pos"] for s in state], np.int64)
-            low = np.array([s["low"] for s in state], np.int64)[:, None]
-            need = np.array([s["need"] for s in state], np.int64)
-            yield row, pos, scores[pos], q_rows[pos, None] != c_rows[None, :], low, need
+            own = np.frombuffer(row["x"], row["kind"]).reshape(-1, row["width"])
+            own_rows, own_ids = np.frombuffer(row["rows"], np.int64), np.frombuffer(row["ids"], np.int64)
+            for at in range(0, len(x), QUERIES_AT_ONCE):
+                part = slice(at, at + QUERIES_AT_ONCE)
+                there = rows[part, None] != own_rows[None, :]
+                yield at, _products(x[part], own, norm), there, low[part, None], need[part], rows[part], ids[part], own_rows, own_ids
 
 
-def _histogram(shift: int, bound: float):
+def _histogram(fixed, state, shift: int, norm: float):
     """Per query the counts of scores in bins of 2**``shift`` from its low, from the top as far as its need could reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, pos, scores, there, low, need in _scored(batches, bound):
+        for at, scores, there, low, need, *_ in _scored(batches, fixed, state, norm):
             bins = (scores - low) >> shift
             there &= (bins >= 0) & (bins < BINS)
-            query, at = np.nonzero(there)
-            counts = np.bincount(query * BINS + bins[query, at], minlength=len(pos) * BINS).reshape(-1, BINS)[:, ::-1]
+            query, place = np.nonzero(there)
+            counts = np.bincount(query * BINS + bins[query, place], minlength=len(need) * BINS).reshape(-1, BINS)[:, ::-1]
             above = np.cumsum(counts, axis=1) - counts
             query, place = np.nonzero((counts > 0) & (above < need[:, None]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(query), row["q_block"])), pa.array(pos[query].astype(np.int32)), pa.array(BINS - 1 - place), pa.array(counts[query, place])],
-                names=["q_block", "pos", "bin", "n"],
-            )
+            columns = [pa.array((at + query).astype(np.int32)), pa.array((BINS - 1 - place).astype(np.int32)), pa.array(counts[query, place])]
+            yield pa.RecordBatch.from_arrays(columns, names=["pos", "bin", "n"])
 
     return run
 
 
-def _at_least(bound: float):
+def _at_least(fixed, state, norm: float):
     """All scores above each query's kth one, and as many first ids of those equal to it as it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, pos, scores, there, low, need in _scored(batches, bound):
+        for _, scores, there, low, need, q_rows, q_ids, c_rows, c_ids in _scored(batches, fixed, state, norm):
             ties = there & (scores == low)
             ties &= np.cumsum(ties, axis=1) <= need[:, None]
-            query, at = np.nonzero(there & (scores > low) | ties)
-            q_rows, q_ids, c_rows, c_ids = (np.frombuffer(row[c], np.int64) for c in ("q_rows", "q_ids", "c_rows", "c_ids"))
+            query, place = np.nonzero(there & (scores > low) | ties)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in (q_rows[pos[query]], q_ids[pos[query]], c_ids[at], c_rows[at], scores[query, at])],
+                [pa.array(v) for v in (q_rows[query], q_ids[query], c_ids[place], c_rows[place], scores[query, place])],
                 names=["query_row", "query_id", "vec_id", "row", "score"],
             )
 

@@ -385,7 +385,8 @@ def test_near_duplicate_vectors(spark):
     assert Counter(tuple(r) for r in vectors.near_duplicate_vectors(table).collect()) == expected
     small = vectors.near_duplicate_vectors(table, leaf=32, trees=8).collect()
     links = {r["vec_id"]: r["n_links"] for r in small}
-    assert sum(links.values()) >= 0.9 * sum(e[1] for e in expected) - 50
+    apart = [i for i in range(300) if i not in range(260, 300) and i != 0]  # the group of copies would hide what is missed elsewhere
+    assert sum(min(links[i], 1) for i in apart) >= 0.9 * sum(bool(near[i].any()) for i in apart)
     assert vectors.near_duplicate_vectors(table.limit(0)).count() == 0
 
 
@@ -403,8 +404,13 @@ def test_exact_top_k(spark):
             expected.update((q, rank, c, -s) for rank, (s, c) in enumerate(best, 1))
     assert Counter(tuple(r) for r in vectors.exact_top_k(table).collect()) == expected
     assert vectors.exact_top_k(table.limit(0)).count() == 0
-    few = vectors.exact_top_k(spark.createDataFrame([(20, [1e30]), (21, [1.0]), (22, [2.0])], "vec_id long, embedding array<double>")).collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(20, 1, 22), (20, 2, 21)] or len(few) == 2
+    few = vectors.exact_top_k(spark.createDataFrame([(20, [1e6]), (21, [1.0]), (22, [2.0])], "vec_id long, embedding array<double>")).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in few] == [(20, 1, 22), (20, 2, 21)]
+    assert Counter(tuple(r) for r in vectors.exact_top_k(table, wave_bytes=400).collect()) == expected
+    odd = spark.createDataFrame([(20, []), (None, [1.0]), (40, [1.0, 2.0]), (41, [3.0, 1.0]), (60, [2.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vectors.exact_top_k(odd).collect()] == [(40, 1, 41, 64 * 64 * 5)]
+    with pytest.raises(ValueError, match="2\\^61"):
+        vectors.exact_top_k(spark.createDataFrame([(20, [1e30]), (21, [1.0])], "vec_id long, embedding array<double>"))
 
 
 @needs_tokenizers
