@@ -526,6 +526,56 @@ def test_pipeline(spark, tmp_path, rows):
     assert {r["doc_id"] for r in packed} == set(counts[2])
 
 
+@needs_tokenizers
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() against each stage worked out text by text: scores read plainly, all pairs of shingle sets, the tokenizer itself."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    dice = random.Random(12)
+    docs = [(k, prose(dice, dice.randint(0, 80))) for k in range(60)]
+    near = prose(dice, 200)
+    docs += [(100 + k, " ".join([*near.split()[:-k], *prose(dice, k).split()]) if k else near) for k in (0, 1, 3, 60)]
+    docs += [(200 + k, " stupid ".join(prose(dice, 4) for _ in range(4))) for k in range(40)]
+    docs += [(300, None), (301, ""), (302, " \n"), (None, "no id but token=abcdefgh12 inside"), (303, "key " + "aZ3kQ9xV7mP2rT8w" * 2 + " end"), (304, "x" * 60_000), (7, docs[7][1]), (305, docs[9][1])]
+    labels = [(k, int(200 <= k < 240)) for k, _ in docs if k is not None]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(k, t, "en", "s", None) for k, t in docs], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table, known = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.train(table, toxicity.training_labels(known))
+    reader = toxicity.Reader(list(model.terms), model.ordinary, model.context)
+    kept = [(k, t) for k, t in docs if model.probability(np.array([reader.features(t or "")]))[0] < toxicity.THRESHOLD]
+    assert 0 < len(docs) - len(kept) <= 41
+
+    def shingles_of(text):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles_of(t) for _, t in kept]
+    label = brute_components([k for k, _ in kept], lambda a, b: sets[a] == sets[b] or bool(sets[a] & sets[b]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    alone = {}
+    for (k, t), c in zip(kept, label, strict=True):
+        if k == c:
+            alone.setdefault((k, c), t)
+    kept = [(k, t) for (k, _), t in alone.items()]
+    frame = spark.createDataFrame([(k, t, "en", "s", None) for k, t in kept], schema)
+    secrets = secret_scan.train(frame)
+    whole = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    expected = Counter()
+    for k, t in kept:
+        ids = [*whole.encode(secret_scan._redacted(t or "", secrets, "[SECRET]"), add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            expected[k, piece, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())] += 1
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == expected
+    nothing = tmp_path / "empty"
+    table.limit(0).write.parquet(f"{nothing}/documents.parquet")
+    known.limit(0).write.parquet(f"{nothing}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(nothing)).count() == 0
+
+
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
