@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
@@ -114,13 +114,19 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket key, row of ``fps`` and whether it is a probe, so that any two fingerprints at most 3 bits
     apart meet in a bucket where at least one of them is no probe.
 
-    At most 3 errors over three segments leave either segments 1 and 2 with at
-    most one each (both fuzzy: kind 0), or one of them with two or more and the
-    other two segments with one in all (one exact, the other fuzzy: kinds 1 to 4).
+    At most 3 errors over three segments leave either one segment without any
+    and another with at most one (one exact, the other fuzzy: six kinds of 30 or
+    35 bits), or each with just one (all three fuzzy: 36 bits). Words one bit
+    apart differ in parity, so a segment's even word alone needs its probes. In
+    the last kind either of two may probe, in different segments: none counts as
+    a probe there.
     """
     golay = _golay()
     parts = [(fps.view(np.uint64) >> np.uint64(at)).astype(np.int64) & ((1 << n) - 1) for at, n in SEGMENTS]
-    coded = [golay.index(p) for p in parts]
+    coded = []
+    for part in parts:
+        own, far, more = golay.index(part)
+        coded.append((own, far & (np.bitwise_count(part) % 2 == 0), more))
     rows = np.arange(len(fps))
     keys, who, probe = [], [], []
 
@@ -129,15 +135,14 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         who.append(row)
         probe.append(np.full(len(row), is_probe))
 
-    (own1, far1, more1), (own2, far2, more2) = coded[0], coded[1]
-    add(0, own1 << 12 | own2, rows, False)
-    for k in range(5):
-        add(0, more1[far1, k] << 12 | own2[far1], rows[far1], True)
-        add(0, own1[far2] << 12 | more2[far2, k], rows[far2], True)
-        both = far1 & far2
-        for j in range(5):
-            add(0, more1[both, k] << 12 | more2[both, j], rows[both], True)
-    for kind, exact, fuzzy in ((1, 1, 2), (2, 2, 1), (3, 0, 2), (4, 2, 0)):
+    value, row = np.zeros(len(fps), np.int64), rows
+    for own, far, more in coded:
+        probing = far[row]
+        found = [(value << 12 | own[row], row)]
+        found += [(value[probing] << 12 | more[row[probing], k], row[probing]) for k in range(5)]
+        value, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    add(0, value, row, False)
+    for kind, (exact, fuzzy) in enumerate(permutations(range(len(SEGMENTS)), 2), 1):
         own, far, more = coded[fuzzy]
         add(kind, parts[exact] << 12 | own, rows, False)
         for k in range(5):
