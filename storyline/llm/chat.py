@@ -72,20 +72,28 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def _place(turn: Column, pair: Column) -> Column:
+    """A number below 101 that spreads turns and ids; fixed values 37 and 61."""
+    return F.pmod(turn.cast("long") % 101 * 37 + pair.cast("long") % 101 * 61, F.lit(101))
+
+
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Preference pairs from plain conversations (conv_id, turn, role, text).
 
-    Chosen is the conversation; rejected is the same with its last reply
-    replaced by that of the neighbouring conversation (ids that differ in the
-    last bit), which answers something else. Without a neighbour's reply the
+    Chosen is the conversation; rejected is the same with one reply replaced by
+    one of the neighbouring conversation (ids that differ in the last bit),
+    which answers something else. Which reply varies with turn and id (the one
+    of greatest :func:`_place`, of equal ones the latest; rows without a turn
+    are none), so pairs part early and late. Without a neighbour's reply the
     replaced text is empty; without a reply of its own nothing is replaced.
     """
     own = conversations.where("conv_id is not null").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    replies = own.where(F.col("role") == LEARNED).groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("reply"))
-    swapped = replies.select("pair_id", F.col("reply.turn").alias("last")).join(
+    rank = F.struct(_place(F.col("turn"), F.col("pair_id")).alias("place"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    replies = own.where((F.col("role") == LEARNED) & F.col("turn").isNotNull()).groupBy("pair_id").agg(F.max(rank).alias("reply"))
+    swapped = replies.select("pair_id", F.col("reply.turn").alias("at")).join(
         replies.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("reply.text").alias("other")), "pair_id", "left"
     )
-    replaced = (F.col("role") == LEARNED) & (F.col("turn") == F.col("last"))
+    replaced = (F.col("role") == LEARNED) & (F.col("turn") == F.col("at"))
     rejected = own.join(swapped, "pair_id", "left").select(
         "pair_id", "turn", "role", F.when(replaced, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text")
     )

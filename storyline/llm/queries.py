@@ -110,14 +110,15 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_chat_formatting": """
 WITH own AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-replies AS (SELECT pair_id, arg_max(turn, turn) AS last, arg_max(coalesce(text, ''), (turn, coalesce(text, ''))) AS reply
-            FROM own WHERE role = 'assistant' GROUP BY pair_id),
+placed_replies AS (SELECT pair_id, turn, coalesce(text, '') AS text, ((turn % 101 * 37 + pair_id % 101 * 61) % 101 + 101) % 101 AS place
+                   FROM own WHERE role = 'assistant' AND turn IS NOT NULL),
+replies AS (SELECT pair_id, arg_max(turn, (place, turn)) AS at, arg_max(text, (place, turn, text)) AS reply FROM placed_replies GROUP BY pair_id),
 sides AS (
   SELECT 0 AS side, pair_id, turn, role, text FROM own
   UNION ALL
-  SELECT 1, o.pair_id, o.turn, o.role, CASE WHEN o.role = 'assistant' AND o.turn = r.last THEN coalesce(p.reply, '') ELSE o.text END
+  SELECT 1, o.pair_id, o.turn, o.role, CASE WHEN o.role = 'assistant' AND o.turn = r.at THEN coalesce(p.reply, '') ELSE o.text END
   FROM own o LEFT JOIN replies r ON r.pair_id = o.pair_id LEFT JOIN replies p ON p.pair_id = xor(o.pair_id, 1)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS n FROM sides),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS n FROM sides),
 differing AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, min(coalesce(c.n, r.n)) FILTER (
     WHERE c.n IS NULL OR r.n IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) - 1 AS common, max(coalesce(c.n, r.n)) AS most

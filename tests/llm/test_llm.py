@@ -483,6 +483,23 @@ def test_chat(spark):
     assert pairs[4] == ("<|assistant|>\na<|end|>\n", "<|assistant|>\nb<|end|>\n") and pairs[8] == ("", "")
 
 
+def test_swapped_replies_against_sql(spark, tmp_path):
+    import duckdb
+
+    dice = random.Random(5)
+    texts = [None, "", "same", "hi <|x|>", "y" * 200_000]
+    talks = [(k, t, dice.choice([None, "user", "assistant", "assistant"]), dice.choice(texts[:4])) for k in [None, *range(-3, 12)] for t in [None, *range(dice.randint(0, 9))]]
+    talks += [talks[5], talks[5], (20, 0, "assistant", texts[4]), (21, 0, "assistant", "b")]
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(path)
+    found = queries.op5_chat_formatting(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW conversations AS FROM read_parquet('{path}/*.parquet')")
+        expected = db.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL['op5_chat_formatting']})").fetchall()
+    assert Counter(map(tuple, found.collect())) == Counter(expected)
+    assert len({row[1] for row in expected}) > 3
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k}é</p>", 0) for k in range(600)] + [(None, "u", None, 1), (None, None, "h", 1), (5, "http://x/5", "<p>5é</p>", 0)], "page_id long, url string, html string, start int")
     same = warc.audit(pages, pages.repartition(5)).collect()
