@@ -185,6 +185,7 @@ class _Forest:
 
 def _bucket_links(fp: np.ndarray, probe: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Pairs at distance 1 to ``most`` within buckets of consecutive rows; of large buckets only a spanning part."""
+    bits = fp.view(np.uint64)  # of a negative number bitwise_count takes the absolute value
     small = sizes <= LARGE_BUCKET
     at, n = starts[small], sizes[small]
     left = np.repeat(np.concatenate([np.arange(a, a + m) for a, m in zip(at, n, strict=True)]) if len(at) else np.zeros(0, int), np.repeat(n, n))
@@ -193,11 +194,11 @@ def _bucket_links(fp: np.ndarray, probe: np.ndarray, starts: np.ndarray, sizes:
     right = np.repeat(ends, width) + (np.arange(len(left)) - np.repeat(np.cumsum(width) - width, width))
     keep = (left < right) & ~(probe[left] & probe[right])
     left, right = left[keep], right[keep]
-    apart = np.bitwise_count(fp[left] ^ fp[right])
+    apart = np.bitwise_count(bits[left] ^ bits[right])
     near = (apart > 0) & (apart <= most)
     yield from zip(fp[left[near]].tolist(), fp[right[near]].tolist(), strict=True)
     for a, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-        own = fp[a : a + m]
+        own = bits[a : a + m]
         label = np.arange(m)
         for row in np.flatnonzero(~probe[a : a + m]).tolist():
             near = np.bitwise_count(own ^ own[row]) <= most
@@ -206,7 +207,7 @@ def _bucket_links(fp: np.ndarray, probe: np.ndarray, starts: np.ndarray, sizes:
             groups, first = np.unique(label[joins], return_index=True)
             for other in np.flatnonzero(joins)[first].tolist():
                 if own[other] != own[row]:
-                    yield int(own[row]), int(own[other])
+                    yield int(fp[a + row]), int(fp[a + other])
             label[np.isin(label, groups)] = label[row]
 
 

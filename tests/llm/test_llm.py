@@ -164,6 +164,20 @@ def test_golay_keys_meet_within_three_bits():
         assert any(not (buckets[k][s] and buckets[k + 1][s]) for s in shared)
 
 
+def test_bucket_links_at_every_bit():
+    dice = random.Random(2)
+    for size in (2, 3, simhash.LARGE_BUCKET + 1):
+        for bit in range(64):
+            base = dice.getrandbits(64)
+            near = {base, base ^ 1 << bit} | {base ^ ((1 << 64) - 1) ^ k for k in range(size - 2)}
+            fp = np.array(sorted(near), np.uint64).view(np.int64)
+            links = set()
+            for a, b in simhash._bucket_links(fp, np.zeros(len(fp), bool), np.array([0]), np.array([len(fp)]), 3):
+                assert 0 < ((a ^ b) & (1 << 64) - 1).bit_count() <= 3
+                links.add(frozenset((a & (1 << 64) - 1, b & (1 << 64) - 1)))
+            assert frozenset((base, base ^ 1 << bit)) in links
+
+
 def test_simhash(docs, empty, rows):
     from xxhash import xxh64_intdigest
 
