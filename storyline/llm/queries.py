@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, lm, packing, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
+from . import chat, conversations, lm, packing, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
 
 
 def tokenizer(name: str) -> str:
@@ -84,14 +84,20 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, decayed(pages))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.repair(*conversations.damaged(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_embedding_near_dedup, op3_toxicity, op4_secret_scans, op5_chat_formatting,
-        op6_simhash_near_dedup, op7_lm_scoring, op8_exact_top_k, op9_sentencepiece, op10_warc_fixity,
+        op6_simhash_near_dedup, op7_lm_scoring, op8_exact_top_k, op9_sentencepiece, op10_warc_fixity, op12_conversation_repair,
     )
 }
 
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, strlen({0}) + 1), lambda i: ord({0}[i])::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
 _LENGTH = "octet_length(encode({}))"
 SQL = {
     "op2_embedding_near_dedup": """
@@ -149,4 +155,51 @@ SELECT a.page_id, a.volume, CAST(a.start AS BIGINT) AS start, a.length, a.copies
   CASE WHEN EXISTS (SELECT 1 FROM placed b WHERE b.r = 1 AND b.page_id = a.page_id AND b.sha256 = a.sha256 AND b.copies = a.copies) THEN 'ok'
        WHEN EXISTS (SELECT 1 FROM placed b WHERE b.r = 1 AND b.page_id = a.page_id) THEN 'corrupt' ELSE 'missing' END AS status
 FROM placed a WHERE a.r = 0""",
+    "op12_conversation_repair": f"""
+WITH RECURSIVE named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name,
+  dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g FROM conversations),
+faulty AS (SELECT conv_id, g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("name")} % 20 AS kind FROM named),
+damaged AS (
+  SELECT g, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM faulty, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS pos, left(role, 1) AS initial FROM damaged),
+judged AS (
+  SELECT *, lag(initial) OVER (PARTITION BY g ORDER BY pos) || initial AS met,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+         WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed),
+next(p, n) AS (VALUES ('.', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+inserted AS (
+  SELECT p, p AS at, 0 AS cost, '' AS audit, '' AS body FROM next
+  UNION ALL SELECT p, n, 2, 'I', chr(10) || CASE n WHEN 'u' THEN 'user:' ELSE 'assistant:' END FROM next
+  UNION ALL SELECT a.p, b.n, 4, 'II', chr(10) || CASE a.n WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10) || CASE b.n WHEN 'u' THEN 'user:' ELSE 'assistant:' END
+  FROM next a JOIN next b ON b.p = a.n),
+kinds(op) AS (VALUES ('K'), ('R'), ('D')),
+moves AS (
+  SELECT j.g, j.pos, i.p, CASE op WHEN 'K' THEN j.initial WHEN 'R' THEN n.n ELSE i.at END AS q,
+    i.cost + CASE op WHEN 'K' THEN 0 WHEN 'R' THEN 2 ELSE 3 END + CAST(op <> 'D' AND fault = 'truncated' AS INTEGER) AS cost, i.audit || op AS audit,
+    i.body || CASE op WHEN 'K' THEN chr(10) || j.role || ':' || j.text WHEN 'R' THEN chr(10) || CASE n.n WHEN 'u' THEN 'user:' ELSE 'assistant:' END || j.text ELSE '' END AS body
+  FROM judged j, inserted i JOIN next n ON n.p = i.at, kinds
+  WHERE CASE op WHEN 'D' THEN true WHEN 'K' THEN fault NOT IN ('blank', 'duplicate') AND (j.initial = n.n OR j.initial = 's' AND i.at = '.')
+        ELSE fault NOT IN ('blank', 'duplicate') END),
+walk AS (
+  SELECT g, 1::BIGINT AS pos, '.' AS state, 0::HUGEINT AS cost, '' AS audit, '' AS body FROM (SELECT DISTINCT g FROM faulty)
+  UNION ALL
+  SELECT w.g, w.pos + 1, m.q, min(w.cost + m.cost), arg_min(w.audit || m.audit, (w.cost + m.cost, w.audit || m.audit)), arg_min(w.body || m.body, (w.cost + m.cost, w.audit || m.audit))
+  FROM walk w JOIN moves m ON m.g = w.g AND m.pos = w.pos AND m.p = w.state GROUP BY w.g, w.pos, m.q),
+sizes AS (SELECT g, any_value(conv_id) AS conv_id, coalesce((SELECT max(pos) FROM placed p WHERE p.g = f.g), 0) AS n FROM faulty f GROUP BY g),
+ended AS (
+  SELECT w.g, w.cost + i.cost AS cost, w.audit || i.audit AS audit, w.body || i.body AS body
+  FROM walk w JOIN sizes s ON s.g = w.g AND w.pos = s.n + 1 JOIN inserted i ON i.p = w.state AND i.at IN ('.', 'a')),
+best AS (SELECT g, min(cost) AS cost, arg_min(audit, (cost, audit)) AS audit, arg_min(body, (cost, audit)) AS body FROM ended GROUP BY g),
+counts AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE met NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY g)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(substr(body, 2)) AS repaired_sha256
+FROM sizes JOIN best USING (g) LEFT JOIN counts USING (g)""",
 }
