@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, conversations, lm, packing, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
+from . import chat, conversations, lm, packing, phrases, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
 
 
 def tokenizer(name: str) -> str:
@@ -84,6 +84,10 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(pages, decayed(pages))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.repair(*conversations.damaged(read(spark, sf_dir, "conversations"))))
 
@@ -92,7 +96,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_embedding_near_dedup, op3_toxicity, op4_secret_scans, op5_chat_formatting,
-        op6_simhash_near_dedup, op7_lm_scoring, op8_exact_top_k, op9_sentencepiece, op10_warc_fixity, op12_conversation_repair,
+        op6_simhash_near_dedup, op7_lm_scoring, op8_exact_top_k, op9_sentencepiece, op10_warc_fixity, op11_phrase_collocations, op12_conversation_repair,
     )
 }
 
@@ -155,6 +159,31 @@ SELECT a.page_id, a.volume, CAST(a.start AS BIGINT) AS start, a.length, a.copies
   CASE WHEN EXISTS (SELECT 1 FROM placed b WHERE b.r = 1 AND b.page_id = a.page_id AND b.sha256 = a.sha256 AND b.copies = a.copies) THEN 'ok'
        WHEN EXISTS (SELECT 1 FROM placed b WHERE b.r = 1 AND b.page_id = a.page_id) THEN 'corrupt' ELSE 'missing' END AS status
 FROM placed a WHERE a.r = 0""",
+    "op11_phrase_collocations": """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), (VALUES (1), (2), (3), (4)) t(m) WHERE i + m - 1 <= len(w)),
+counts AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM counts WHERE m = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND a >= 30),
+cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, l.a AS l, r.a AS r, 2000000::HUGEINT * c.a // (l.a::HUGEINT + r.a) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates) c
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+scored AS (SELECT lang, phrase, m, a, arg_min({'l': l, 'r': r, 'score': score}, (score, k)) AS cut FROM cuts GROUP BY ALL),
+inside AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, m, a, s, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates)) GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY cut.score DESC, a DESC, s.phrase) AS rank, s.phrase, a, cut.l AS l, cut.r AS r, CAST(n AS BIGINT) AS n, CAST(cut.score AS BIGINT) AS score
+  FROM scored s JOIN totals USING (lang) LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE coalesce(100::HUGEINT * longer, 0) < 80::HUGEINT * a)
+SELECT * FROM ranked WHERE rank <= 2000""",
     "op12_conversation_repair": f"""
 WITH RECURSIVE named AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name,
   dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g FROM conversations),
