@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, conversations, lm, packing, phrases, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
+from . import chat, conversations, lm, packing, passages, phrases, secret_scan, sentencepiece_viterbi, simhash, toxicity, vectors, warc
 
 
 def tokenizer(name: str) -> str:
@@ -92,11 +92,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.repair(*conversations.damaged(read(spark, sf_dir, "conversations"))))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_embedding_near_dedup, op3_toxicity, op4_secret_scans, op5_chat_formatting,
         op6_simhash_near_dedup, op7_lm_scoring, op8_exact_top_k, op9_sentencepiece, op10_warc_fixity, op11_phrase_collocations, op12_conversation_repair,
+        op13_suffix_array_dedup,
     )
 }
 
@@ -231,4 +238,19 @@ counts AS (
 SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
   coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(substr(body, 2)) AS repaired_sha256
 FROM sizes JOIN best USING (g) LEFT JOIN counts USING (g)""",
+    "op13_suffix_array_dedup": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT r, id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, id, h, unnest(range(strlen(h) // 2 - 49)) AS i FROM docs WHERE strlen(h) >= 100)),
+least AS (SELECT s, min(id) AS m FROM strings GROUP BY s),
+hits AS (SELECT r, i FROM strings JOIN least USING (s) WHERE m < id),
+begun AS (SELECT r, i, CAST(coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS INTEGER) AS b FROM hits),
+runs AS (SELECT *, sum(b) OVER (PARTITION BY r ORDER BY i) AS run FROM begun),
+spans AS (SELECT r, run, min(i) AS a, max(i) + 50 AS e FROM runs GROUP BY ALL),
+gaps AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+kept AS (
+  SELECT g.r, sum(e - a) AS removed, count(*) AS n, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS hex
+  FROM gaps g JOIN docs d ON d.r = g.r GROUP BY g.r)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(hex, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)""",
 }
