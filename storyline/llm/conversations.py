@@ -135,9 +135,10 @@ def _by_duckdb(rows: DataFrame, sql: str, schema: str) -> DataFrame:
         with duckdb.connect(config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""}) as db:
             db.register("edges", edges)
             for table in _whole(batches):
-                db.register("rows", table)
+                db.register("given", table)
+                db.execute("CREATE OR REPLACE TEMP TABLE rows AS FROM given")  # read from Arrow, each recursion would convert it anew
+                db.unregister("given")
                 yield from db.sql(sql).to_arrow_table().to_batches()
-                db.unregister("rows")
 
     kind = rows.schema["conv_id"].dataType.simpleString()
     return rows.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part").mapInArrow(run, f"conv_id {kind}, {schema}")

@@ -41,13 +41,13 @@ _ALL = (1 << SPAN) - 1
 
 def _hashes(data: np.ndarray) -> np.ndarray:
     """The rolling (Rabin-Karp) hash of every GRAM bytes, stirred so that its order tells nothing of the text."""
-    value, size = data.astype(np.uint64) + np.uint64(1), 1
+    value, size = data.astype(np.uint32) + np.uint32(1), 1
     while size < GRAM:
-        value = value[: len(value) - size] * np.uint64(pow(_BASE, size, 1 << 64)) + value[size:]
+        value = value[: len(value) - size] * np.uint32(pow(_BASE, size, 1 << 32)) + value[size:]
         size *= 2
-    value ^= value >> np.uint64(32)
-    value *= np.uint64(0xD6E8FEB86659FD93)
-    value ^= value >> np.uint64(29)
+    value ^= value >> np.uint32(16)
+    value *= np.uint32(0x85EBCA6B)
+    value ^= value >> np.uint32(13)
     return value
 
 
@@ -61,63 +61,58 @@ def _least(values: np.ndarray, span: int) -> np.ndarray:
     return values
 
 
+def _stirred(value: np.ndarray, word: np.ndarray) -> np.ndarray:
+    value = (value ^ word) * np.uint64(_BASE)
+    return value ^ value >> np.uint64(31)
+
+
 class Phrases:
-    """The phrases of one block of texts: where they start, their strings' number, their trigger, and which text they lie in."""
+    """The phrases of one block of texts: where they start, their strings' number, their trigger, and which text they lie in.
+
+    Two 64-bit hashes, of trigger and whole, tell the phrases of a block apart.
+    """
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray) -> None:
-        self.data = data
-        ends = np.cumsum(lengths)
-        found = [self._of(int(a), int(b)) for a, b in self._slices(ends - lengths, ends)]
-        self.start, self.count, self.place, self.hash, self.mixed = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.int64, np.uint64, np.uint64)))
-        self.text = np.searchsorted(ends, self.start, "right")
-        self._texts = lengths
-
-    def _slices(self, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Runs of whole texts, or of a long text's strings, of about SLICE_BYTES."""
-        self._starts, self._ends = starts, ends
-        first = 0
-        for k in range(len(starts)):
-            if ends[k] - starts[first] >= SLICE_BYTES or k == len(starts) - 1:
-                for a in range(int(starts[first]), int(ends[k]), SLICE_BYTES):
-                    yield a, min(a + SLICE_BYTES, int(ends[k]))
-                first = k + 1
+        self.data, self._ends = data, np.cumsum(lengths)
+        self._starts = self._ends - lengths
+        found = [self._of(a, min(a + SLICE_BYTES, len(data))) for a in range(0, len(data) - LENGTH + 1, SLICE_BYTES)]
+        self.start, self.count, self.place, self.text = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+        self.hash, self.mixed = np.zeros(len(self.start), np.uint64), (self.place << 8 | self.count).astype(np.uint64)
+        if len(self.start):
+            words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
+            for k in range(0, GRAM, 8):
+                self.hash = _stirred(self.hash, words[self.start + self.place + k])
+            for k in range(0, LENGTH + SPAN, 8):
+                self.mixed = _stirred(self.mixed, words[self.start + np.minimum(k, self.count + LENGTH - 9)])
 
     def _of(self, a: int, b: int) -> tuple[np.ndarray, ...]:
-        """Phrases of the strings that start from a up to b."""
+        """Phrases of the strings that start from a up to b, whatever texts or part of one these are: where they are cut changes nothing."""
         data = self.data[a : b + LENGTH - 1]
         n = len(data) - LENGTH + 1
-        if n <= 0:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         hashes = _hashes(data)
-        least = _least(hashes, SPAN)[:n]
-        # The last LENGTH - 1 starts of a text have no whole string.
-        valid = np.zeros(n + 1, np.int32)
-        k, last = np.searchsorted(self._ends, a, "right"), np.searchsorted(self._starts, b, "left")
-        froms, untils = np.clip(self._starts[k:last] - a, 0, n), np.clip(self._ends[k:last] - LENGTH + 1 - a, 0, n)
-        some = untils > froms
-        np.add.at(valid, froms[some], 1)
-        np.add.at(valid, untils[some], -1)
-        valid = np.cumsum(valid[:n]) > 0
-        begins = valid.copy()
-        begins[1:] &= (least[1:] != least[:-1]) | (hashes[: n - 1] == least[:-1]) | ~valid[:-1]
+        least = _least(hashes, SPAN)
+        begins = np.ones(n, bool)
+        begins[1:] = (least[1:] != least[:-1]) | (hashes[: n - 1] == least[:-1])
+        texts = slice(np.searchsorted(self._starts, a), np.searchsorted(self._starts, a + n))
+        begins[self._starts[texts] - a] = True
+        # No string crosses a text's end.
+        texts = slice(np.searchsorted(self._ends, a, "right"), np.searchsorted(self._ends, a + n + LENGTH - 1))
+        crossing = (self._ends[texts] - a)[:, None] - np.arange(1, LENGTH)
+        begins[crossing[(crossing >= 0) & (crossing < n)]] = False
         start = np.flatnonzero(begins)
-        stops = np.flatnonzero(np.r_[~valid, True])
-        until = np.minimum(np.r_[start[1:], n], stops[np.searchsorted(stops, start)])
-        trigger = least[start]
-        place = (hashes[np.minimum(start[:, None] + np.arange(SPAN), len(hashes) - 1)] == trigger[:, None]).argmax(1)
-        count = until - start
-        size, mixed = count + LENGTH - 1, np.zeros(len(start), np.uint64)
-        for k in range((LENGTH + SPAN - 2) // GRAM + 1):
-            mixed = (mixed ^ hashes[start + np.minimum(k * GRAM, size - GRAM)]) * np.uint64(_BASE)
-            mixed ^= mixed >> np.uint64(31)
-        return start + a, count, place, trigger, mixed
+        text = np.searchsorted(self._ends, start + a, "right")
+        until = np.minimum(np.r_[start[1:], n], self._ends[text] - a - LENGTH + 1)
+        # Either a lesser hash has come in at the end, or the first of the least is to be looked for.
+        place = np.full(len(start), SPAN - 1)
+        sought = np.flatnonzero((start == 0) | (least[start] >= least[start - 1]))
+        within = hashes[start[sought, None] + np.arange(SPAN)]
+        place[sought] = (within == least[start[sought], None]).argmax(1)
+        return start + a, until - start, place, text
 
     def distinct(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One of each distinct phrase, ordered by trigger; of each its least id; and which of them every phrase is."""
-        order = np.lexsort((self.place, self.count, self.mixed, self.hash))
-        same = np.ones(max(len(order) - 1, 0), bool)
-        for of in (self.hash, self.mixed, self.count, self.place):
-            same &= of[order[1:]] == of[order[:-1]]
+        order = np.lexsort((self.mixed, self.hash))
+        same = (self.hash[order[1:]] == self.hash[order[:-1]]) & (self.mixed[order[1:]] == self.mixed[order[:-1]])
         group = np.r_[0, np.cumsum(~same)] if len(order) else order
         first = np.flatnonzero(np.r_[True, ~same]) if len(order) else order
         which = np.empty(len(order), np.int64)
@@ -145,8 +140,9 @@ def _padded(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: in
     return rows
 
 
-def _suffix_order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _suffix_order(group: np.ndarray | int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows by (group, bytes), and how many bytes each has in common with the one before it (-1: another group)."""
+    group = np.broadcast_to(group, len(rows))
     keys = rows.view(">u8").astype(np.uint64)
     order = np.lexsort((*(keys[:, k] for k in range(keys.shape[1] - 1, -1, -1)), group))
     differs = rows[order[1:]] != rows[order[:-1]]
@@ -155,7 +151,7 @@ def _suffix_order(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return order, np.r_[-1, common]
 
 
-def earlier(hashes: np.ndarray, places: np.ndarray, counts: np.ndarray, flat: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def earlier(places: np.ndarray, counts: np.ndarray, flat: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each phrase, as bits by distance from string to trigger, which of its strings a lesser id's phrase holds.
 
     Phrases come with bytes one after another; those of one trigger all have
@@ -164,10 +160,11 @@ def earlier(hashes: np.ndarray, places: np.ndarray, counts: np.ndarray, flat: np
     sizes = counts + LENGTH - 1
     starts = np.cumsum(sizes) - sizes
     trigger = starts + places
-    after, after_common = _suffix_order(hashes, _padded(flat, trigger, sizes - places, 56, 1))
-    before, before_common = _suffix_order(hashes, _padded(flat, trigger - 1, places, 40, -1))
-    found = np.zeros(len(hashes), np.int64)
-    right, left = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+    after, after_common = _suffix_order(0, _padded(flat, trigger, sizes - places, 56, 1))
+    found = np.zeros(len(places), np.int64)
+    right, left = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+    right[after] = np.cumsum(after_common < GRAM)  # equal triggers
+    before, before_common = _suffix_order(right.copy(), _padded(flat, trigger - 1, places, 40, -1))
     for distance in range(SPAN):
         held = np.flatnonzero((places >= distance) & (places - counts < distance))
         if len(held) < 2:
@@ -237,11 +234,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in pieces(batches, "data"):
-            held.append(batch)
-            size += pc.sum(pc.binary_length(batch["data"])).as_py() or 0
-            if size >= BLOCK_BYTES:
+            more = pc.sum(pc.binary_length(batch["data"])).as_py() or 0
+            if held and size + more > BLOCK_BYTES:
                 yield block(held)
                 held, size = [], 0
+            held.append(batch)
+            size += more
         if held:
             yield block(held)
 
@@ -270,8 +268,8 @@ def _by_part(rows: DataFrame, answer, schema: str) -> DataFrame:
 
 
 def _shared(asked: list[dict]) -> list[bytes | None]:
-    """For each row's triggers, which of them another row has."""
-    hashes = [np.frombuffer(row["hashes"], np.uint64) for row in asked]
+    """For each row's triggers, which of them another row has, by 32 bits within a part: now and then one is asked for in vain."""
+    hashes = [np.frombuffer(row["hashes"], np.uint32) for row in asked]
     every = np.concatenate(hashes)
     order = np.argsort(every, kind="stable")
     equal = every[order[1:]] == every[order[:-1]]
@@ -282,10 +280,11 @@ def _shared(asked: list[dict]) -> list[bytes | None]:
 
 def _judged(asked: list[dict]) -> list[bytes | None]:
     """For each row's phrases, their strings that a lesser id holds."""
-    columns = {c: [np.frombuffer(row[c], t) for row in asked] for c, t in (("hashes", np.uint64), ("places", np.uint8), ("counts", np.uint8), ("bytes", np.uint8), ("least", np.int64))}
+    columns = {c: [np.frombuffer(row[c], t) for row in asked] for c, t in (("places", np.uint8), ("counts", np.uint8), ("least", np.int64))}
     every = {c: np.concatenate(x) for c, x in columns.items()}
-    bits = earlier(every["hashes"], every["places"].astype(np.int64), every["counts"].astype(np.int64), every["bytes"], every["least"])
-    return [x.tobytes() if x.any() else None for x in np.split(bits, np.cumsum([len(h) for h in columns["hashes"]])[:-1])]
+    flat = np.frombuffer(b"".join(pa.decompress(row["bytes"], row["size"], "zstd", asbytes=True) for row in asked), np.uint8)
+    bits = earlier(every["places"].astype(np.int64), every["counts"].astype(np.int64), flat, every["least"])
+    return [x.tobytes() if x.any() else None for x in np.split(bits, np.cumsum([len(p) for p in columns["places"]])[:-1])]
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -306,7 +305,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         for number, (row,) in _rows(batches, "block"):
             block = Block(row, parts)
             some = np.flatnonzero(np.diff(block.cuts)).tolist()
-            blobs = [block.triggers[block.cuts[p] : block.cuts[p + 1]].tobytes() for p in some]
+            blobs = [block.triggers[block.cuts[p] : block.cuts[p + 1]].astype(np.uint32).tobytes() for p in some]
             yield pa.RecordBatch.from_arrays([pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "hashes"])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,11 +317,12 @@ def repeated(docs: DataFrame) -> DataFrame:
             some, first = np.unique(of, return_index=True)
             cuts = np.r_[first, len(of)].tolist()
             flat, ends = block.phrases.bytes_of(chosen), np.r_[0, np.cumsum(block.phrases.count[chosen] + LENGTH - 1)]
-            values = [block.hashes[asked], block.phrases.place[chosen].astype(np.uint8), block.phrases.count[chosen].astype(np.uint8), block.least[asked]]
+            values = [block.phrases.place[chosen].astype(np.uint8), block.phrases.count[chosen].astype(np.uint8), block.least[asked]]
             columns = [pa.array([number] * len(some), pa.int64()), pa.array(some, pa.int32())]
             columns += [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for x in values]
-            columns.append(pa.array([flat[ends[a] : ends[b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "hashes", "places", "counts", "least", "bytes"])
+            columns.append(pa.array([pa.compress(flat[ends[a] : ends[b]].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, cuts[1:])], pa.binary()))
+            columns.append(pa.array([int(ends[b] - ends[a]) for a, b in zip(cuts, cuts[1:])], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "part", "places", "counts", "least", "bytes", "size"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (row, *answers) in _rows(batches, "block"):
@@ -336,7 +336,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     asked = blocks.select("block", "data", "lengths", "ids").mapInArrow(triggers, "block long, part int, hashes binary")
     shared = durable(_by_part(asked, _shared, "block long, part int, answer binary"))
-    rows = _with(blocks.drop("nulls", "size"), shared).mapInArrow(phrases, "block long, part int, hashes binary, places binary, counts binary, least binary, bytes binary")
+    rows = _with(blocks.drop("nulls", "size"), shared).mapInArrow(phrases, "block long, part int, places binary, counts binary, least binary, bytes binary, size long")
     judged = durable(_by_part(rows, _judged, "block long, part int, answer binary"))
     answers = shared.withColumn("kind", F.lit(0)).unionByName(judged.withColumn("kind", F.lit(1)))
     return _with(blocks.drop("size").withColumn("kind", F.lit(-1)), answers).mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
@@ -344,33 +344,30 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 def _covered(block: Block, bits: np.ndarray, nulls: np.ndarray) -> pa.RecordBatch:
     """Each text's spans and what remains, from which strings of which distinct phrases a lesser id holds."""
-    own = block.phrases
-    ids = block.ids[own.text]
+    own, texts = block.phrases, len(block.ids)
     # A phrase that a lesser id of this block has too goes whole.
-    bits = np.where(block.least[block.which] < ids, _ALL, bits[block.which])
-    change = np.zeros(len(own.data) + 1, np.int32)
-    some = np.flatnonzero(bits)
-    for distance in range(SPAN):
-        hit = some[(bits[some] >> distance & 1 == 1) & (own.place[some] >= distance) & (own.place[some] - own.count[some] < distance)]
-        at = own.start[hit] + own.place[hit] - distance
-        change[at] += 1
-        change[at + LENGTH] -= 1  # starts differ, so no place is met twice
-    covered = np.cumsum(change[:-1]) > 0
-    ends = np.cumsum(block.lengths)
-    starts = ends - block.lengths
-    edge = np.diff(np.r_[False, covered, False].astype(np.int8))
-    inner = np.zeros(len(covered) + 1, bool)
-    inner[starts] = True
-    # A run ends where its text does.
-    split = inner[:-1] & covered & np.r_[False, covered[:-1]]
-    begin = np.flatnonzero((edge[:-1] == 1) | split)
-    until = np.sort(np.r_[np.flatnonzero(edge == -1), np.flatnonzero(split)])
-    of = np.searchsorted(ends, begin, "right")
-    spans = pa.StructArray.from_arrays([pa.array(begin - starts[of]), pa.array(until - starts[of])], ["start", "end"])
-    cuts = np.r_[0, np.cumsum(np.bincount(of, minlength=len(starts)))].astype(np.int32)
-    kept = own.data[~covered]
-    sizes = np.r_[0, np.cumsum(~covered)][np.r_[starts, len(covered)]]
-    offsets = pa.py_buffer(sizes.astype(np.int64).tobytes())
-    remains = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(kept.tobytes())]).cast(pa.binary())
+    bits = np.where(block.least[block.which] < block.ids[own.text], _ALL, bits[block.which])
+    every = (2 << own.place) - (1 << own.place - own.count + 1)
+    bits &= every
+    whole, some = np.flatnonzero(bits == every), np.flatnonzero((bits != 0) & (bits != every))
+    row, distance = np.nonzero(bits[some, None] >> np.arange(SPAN) & 1)
+    begin = np.r_[own.start[whole], (own.start + own.place)[some[row]] - distance]
+    until = np.r_[(own.start + own.count)[whole] + LENGTH - 1, begin[len(whole) :] + LENGTH]
+    text = np.r_[own.text[whole], own.text[some[row]]]
+    order = np.argsort(begin, kind="stable")
+    begin, until, text = begin[order], np.maximum.accumulate(until[order]), text[order]
+    new = np.flatnonzero(np.r_[True, (begin[1:] > until[:-1]) | (text[1:] != text[:-1])]) if len(begin) else order
+    begin, text = begin[new], text[new]
+    until = until[np.r_[new[1:] - 1, len(until) - 1]] if len(new) else until
+
+    starts = np.cumsum(block.lengths) - block.lengths
+    spans = pa.StructArray.from_arrays([pa.array(begin - starts[text]), pa.array(until - starts[text])], ["start", "end"])
+    cuts = np.r_[0, np.cumsum(np.bincount(text, minlength=texts))].astype(np.int32)
+    keep = np.ones(len(own.data), bool)
+    for a, b in zip(begin.tolist(), until.tolist(), strict=True):
+        keep[a:b] = False
+    sizes = block.lengths - np.bincount(text, until - begin, texts).astype(np.int64)
+    offsets = pa.py_buffer(np.r_[0, np.cumsum(sizes)].tobytes())
+    remains = pa.Array.from_buffers(pa.large_binary(), texts, [None, offsets, pa.py_buffer(own.data[keep])]).cast(pa.binary())
     columns = [pa.array(block.ids, mask=nulls), pa.array(block.lengths), pa.ListArray.from_arrays(pa.array(cuts), spans), remains]
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
