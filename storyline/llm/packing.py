@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.durable import durable
 from .gathered import LENGTH, Runs, ends_of
-from .text import pieces, text_bytes
+from .text import free_names, pieces, text_bytes
 
 MEMO_ENTRIES = 800_000
 #: Words whose ids are merged in one call.
@@ -260,27 +260,22 @@ def pack(rows: DataFrame, capacity: int = 4096, slice_rows: int = SLICE_ROWS) ->
     an empty table stays empty.
     """
     columns = list(rows.columns)
-    numbered = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+    row, part, base, nth, rank = free_names(columns, "_row", "_slice", "_base", "_n", "_rank")
+    numbered = durable(rows.withColumn(row, F.monotonically_increasing_id()))
     counts = np.zeros(capacity + 1, np.int64)
-    for row in numbered.groupBy("length").count().collect():
-        counts[row["length"]] = row["count"]
+    for found in numbered.groupBy("length").count().collect():
+        counts[found["length"]] = found["count"]
     places = rows.sparkSession.sparkContext.broadcast(_Places(packing_plan(counts, capacity)))
     slices = F.element_at(F.lit([int(n) for n in counts // slice_rows + 1]), F.col("length").cast("int") + 1)
-    sliced = numbered.withColumn("_slice", F.pmod(F.xxhash64("_row"), slices))
-    before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sliced.groupBy("length", "_slice").count().select(
-        "length", "_slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base")
-    )
-    within = Window.partitionBy("length", "_slice").orderBy("_row")
-    ranked = (
-        sliced.withColumn("_n", F.row_number().over(within) - 1)
-        .join(bases, ["length", "_slice"])
-        .select(*columns, (F.col("_base") + F.col("_n")).alias("_rank"))
-    )
+    sliced = numbered.withColumn(part, F.pmod(F.xxhash64(row), slices))
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sliced.groupBy("length", part).count().select("length", part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
+    within = Window.partitionBy("length", part).orderBy(row)
+    ranked = sliced.withColumn(nth, F.row_number().over(within) - 1).join(bases, ["length", part]).select(*columns, (F.col(base) + F.col(nth)).alias(rank))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = places.value(batch["length"].to_numpy(), batch["_rank"].to_numpy())
+            sequence, offset = places.value(batch["length"].to_numpy(), batch[rank].to_numpy())
             kept = [batch[c] for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import connected_components
 from ..operators.durable import durable
-from .text import pieces
+from .text import free_names, one_row, pieces
 
 #: Bits and generator polynomial of the perfect binary Golay code; the hash's seed.
 GOLAY_BITS, GOLAY_CHECK_BITS, GOLAY_POLYNOMIAL = 23, 11, 0b101011100011
@@ -288,19 +288,16 @@ def _components(prints: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns kept.
 
-    The row of the group's least doc_id stays (of repeated ones, the least by all columns; null ids
+    The row of the group's least doc_id stays (of repeated ones, the first as JSON; null ids
     lose to others, and a group without ids keeps one row of one fingerprint).
     """
-    mark = "fp"
-    while mark.lower() in map(str.lower, docs.columns):
-        mark = f"_{mark}"
+    mark, chosen_mark, chosen_id, own_id = free_names(docs.columns, "fp", "chosen", "chosen_id", "own_id")
     marked = durable(with_fingerprint(docs, mark, width))
     names = _components(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("fp")))
     own = names.where(F.col("least").eqNullSafe(F.col("component_id")))
     # Of a group without ids the least fingerprint stands for it.
     kept = own.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone")).agg(F.min("fp").alias("fp"), F.min("least").alias("least"))
-    chosen = kept.select(F.col("fp").alias("_chosen_fp"), F.col("least").alias("_chosen_id"))
-    same = (F.col(mark) == F.col("_chosen_fp")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_chosen_id"))
-    # Of rows that share id and mark the least by all columns stays.
-    least_row = F.min(F.struct(*(F.col(c) for c in docs.columns))).alias("_row")
-    return marked.join(chosen, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark")).agg(least_row).select("_row.*")
+    chosen = kept.select(F.col("fp").alias(chosen_mark), F.col("least").alias(chosen_id))
+    same = (F.col(mark) == F.col(chosen_mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(chosen_id))
+    kept = marked.join(chosen, same, "left_semi").withColumn(own_id, F.col("doc_id"))
+    return one_row(kept, docs.columns, [own_id, mark])

@@ -222,7 +222,8 @@ BINS = 1 << BIN_BITS
 #: Integer types blocks are packed in, by the largest component; wider ones stay doubles.
 NARROW = (("<i1", 127), ("<i2", 32767), ("<i4", 2147483647))
 #: Scores up to here are exact: differences of two fit 64 bits.
-MOST_SCORE = 1 << 61
+#: Scores beyond are this, with their sign.
+MOST_SCORE = (1 << 63) - 1
 CANDIDATE_BLOCK = 4096
 #: Bytes of queries that go to all candidates at a time, as doubles.
 WAVE_BYTES = 32 << 20
@@ -255,12 +256,23 @@ def _blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
 
 def _products(a: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
-    """Integer inner products, in the narrowest arithmetic that is exact for them."""
+    """Integer inner products, in the narrowest arithmetic that is exact for them; those that a long can't hold are MOST_SCORE, signed."""
     if bound < 2**24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if bound < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (np.array([[int(v) for v in r] for r in a], object) @ np.array([[int(v) for v in r] for r in b], object).T).astype(np.int64)
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    near, size = a @ b.T, np.abs(a) @ np.abs(b).T
+    # Longs wrap, but a sum that a long holds comes out right. What comes near the end, or has components past it, is summed in whole numbers.
+    fits = (np.abs(a).max(axis=1, initial=0) < 2.0**62)[:, None] & (np.abs(b).max(axis=1, initial=0) < 2.0**62)
+    error = size * (1e-15 * (len(a.T) + 2))
+    exact = np.clip(a, -(2.0**62), 2.0**62).astype(np.int64) @ np.clip(b, -(2.0**62), 2.0**62).astype(np.int64).T
+    past = np.abs(near) - error >= 2.0**63
+    exact[past] = np.where(near[past] > 0, MOST_SCORE, -MOST_SCORE)
+    for i, j in np.argwhere(~past & ~(fits & (np.abs(near) + error < 2.0**63))).tolist():
+        whole = sum(int(x) * int(y) for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True) if x and y)
+        exact[i, j] = max(-MOST_SCORE, min(MOST_SCORE, whole))
+    return exact
 
 
 def exact_top_k(vectors: DataFrame, k: int = TOP_K, every: int = 20, scale: int = SCALE, wave_bytes: int = WAVE_BYTES) -> DataFrame:
@@ -274,8 +286,8 @@ def exact_top_k(vectors: DataFrame, k: int = TOP_K, every: int = 20, scale: int
     bin is one score wide; a last pass takes what lies above and, of the ties,
     the first ids. Vectors that are null or hold null or non-finite components,
     and null ids, take no part; empty vectors neither, and vectors of unlike
-    lengths don't meet. Repeated rows count each. A table whose scores could
-    pass MOST_SCORE is refused.
+    lengths don't meet. Repeated rows count each. Scores are exact as far as a
+    long reaches; beyond they are MOST_SCORE or its negative.
     """
     usable = durable(
         vectors.where(_finite("embedding") & F.col("vec_id").isNotNull())
@@ -286,8 +298,6 @@ def exact_top_k(vectors: DataFrame, k: int = TOP_K, every: int = 20, scale: int
     widths = {r["width"]: r["norm"] for r in candidates.groupBy("width").agg(F.max("norm").alias("norm")).collect()}
     found = None
     for width, count in [tuple(r) for r in asked.groupBy(F.size("embedding")).count().orderBy(F.size("embedding")).collect()]:
-        if widths[width] > MOST_SCORE:
-            raise ValueError("scores could pass 2^61")
         own = asked.where(F.size("embedding") == width)
         waves = math.ceil(count * (8 * width + 64) / wave_bytes)
         for wave in range(waves):
@@ -307,13 +317,13 @@ def _wave(candidates: DataFrame, queries: pa.Table, k: int, scale: int, norm: fl
     x = np.floor(scale * _matrix(queries["embedding"].combine_chunks()))
     kind = next((t for t, most in NARROW if np.abs(x).max() <= most), "<f8")
     fixed = context.broadcast((x.astype(kind), queries["row"].to_numpy(), queries["vec_id"].to_numpy()))
-    most = int(norm)
+    most = min(int(min(norm, 1e300)), MOST_SCORE)
     rounds = max(1, -(-(2 * most + 3).bit_length() // BIN_BITS))
     low, need = np.full(len(x), -most - 1), np.full(len(x), k)
     for step in range(rounds):
         shift = BIN_BITS * (rounds - 1 - step)
         state = context.broadcast((low, need))
-        counts = candidates.mapInArrow(_histogram(fixed, state, shift, norm), "pos int, bin int, n long").groupBy("pos", "bin").agg(F.sum("n").alias("n"))
+        counts = candidates.mapInArrow(_histogram(fixed, state, shift), "pos int, bin int, n long").groupBy("pos", "bin").agg(F.sum("n").alias("n"))
         through = F.sum("n").over(Window.partitionBy("pos").orderBy(F.desc("bin")))
         asked = F.element_at(F.lit(need.tolist()), F.col("pos") + 1)
         # The bin that holds the kth score, and how many of it are needed; with fewer scores than k the lowest bin, all of it.
@@ -321,11 +331,11 @@ def _wave(candidates: DataFrame, queries: pa.Table, k: int, scale: int, norm: fl
         chosen = counts.withColumn("through", through).groupBy("pos").agg(F.coalesce(hit, F.min(F.struct("bin", F.col("n").alias("need")))).alias("c")).select("pos", "c.bin", "c.need").toArrow()
         at = chosen["pos"].to_numpy()
         low, need = low.copy(), need.copy()
-        low[at] += chosen["bin"].to_numpy().astype(np.int64) << shift
+        low[at] = (low[at].view(np.uint64) + (chosen["bin"].to_numpy().astype(np.uint64) << np.uint64(shift))).view(np.int64)
         need[at] = chosen["need"].to_numpy()
         state.unpersist()
     state = context.broadcast((low, need))
-    found = candidates.mapInArrow(_at_least(fixed, state, norm), "query_row long, query_id long, vec_id long, row long, score long")
+    found = candidates.mapInArrow(_at_least(fixed, state), "query_row long, query_id long, vec_id long, row long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return durable(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
@@ -334,9 +344,10 @@ def _wave(candidates: DataFrame, queries: pa.Table, k: int, scale: int, norm: fl
 QUERIES_AT_ONCE = 512
 
 
-def _scored(batches: Iterator[pa.RecordBatch], fixed, state, norm: float) -> Iterator[tuple]:
+def _scored(batches: Iterator[pa.RecordBatch], fixed, state) -> Iterator[tuple]:
     x, rows, ids = fixed.value
     low, need = state.value
+    norms = {at: float(np.square(x[at : at + QUERIES_AT_ONCE].astype(np.float64)).sum(axis=1).max()) for at in range(0, len(x), QUERIES_AT_ONCE)}
     for batch in batches:
         for row in batch.to_pylist():
             own = np.frombuffer(row["x"], row["kind"]).reshape(-1, row["width"])
@@ -344,16 +355,19 @@ def _scored(batches: Iterator[pa.RecordBatch], fixed, state, norm: float) -> Ite
             for at in range(0, len(x), QUERIES_AT_ONCE):
                 part = slice(at, at + QUERIES_AT_ONCE)
                 there = rows[part, None] != own_rows[None, :]
-                yield at, _products(x[part], own, norm), there, low[part, None], need[part], rows[part], ids[part], own_rows, own_ids
+                yield at, _products(x[part], own, math.sqrt(min(norms[at], 1e300)) * math.sqrt(min(row["norm"], 1e300))), there, low[part, None], need[part], rows[part], ids[part], own_rows, own_ids
 
 
-def _histogram(fixed, state, shift: int, norm: float):
+def _histogram(fixed, state, shift: int):
     """Per query the counts of scores in bins of 2**``shift`` from its low, from the top as far as its need could reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, scores, there, low, need, *_ in _scored(batches, fixed, state, norm):
-            bins = (scores - low) >> shift
-            there &= (bins >= 0) & (bins < BINS)
+        for at, scores, there, low, need, *_ in _scored(batches, fixed, state):
+            # As unsigned numbers differences never wrap where the score is not below.
+            there &= scores >= low
+            bins = (scores.view(np.uint64) - low.view(np.uint64)) >> np.uint64(shift)
+            there &= bins < BINS
+            bins = bins.astype(np.int64)
             query, place = np.nonzero(there)
             counts = np.bincount(query * BINS + bins[query, place], minlength=len(need) * BINS).reshape(-1, BINS)[:, ::-1]
             above = np.cumsum(counts, axis=1) - counts
@@ -364,11 +378,11 @@ def _histogram(fixed, state, shift: int, norm: float):
     return run
 
 
-def _at_least(fixed, state, norm: float):
+def _at_least(fixed, state):
     """All scores above each query's kth one, and as many first ids of those equal to it as it needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, scores, there, low, need, q_rows, q_ids, c_rows, c_ids in _scored(batches, fixed, state, norm):
+        for _, scores, there, low, need, q_rows, q_ids, c_rows, c_ids in _scored(batches, fixed, state):
             ties = there & (scores == low)
             ties &= np.cumsum(ties, axis=1) <= need[:, None]
             query, place = np.nonzero(there & (scores > low) | ties)
