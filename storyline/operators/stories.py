@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import scores, titles, urls
 from .components import connected_components
@@ -15,6 +16,8 @@ from .similarity import STORY_THRESHOLD, ratio, similar, similar_titles
 
 DAY = 86_400
 TOP_TOPICS = 5
+#: Words that say nothing of a title's matter; they don't count as shared tokens.
+STOP_WORDS = frozenset("a an and are as at be by for from has how in is it its new not of on or that the this to was what when who why will with you your".split())
 
 
 @dataclass(frozen=True)
@@ -23,7 +26,7 @@ class ClusterConfig:
     max_time_gap_days: int = 7
     min_title_words: int = 4
     canonical_delta: float = 0.1
-    #: Tokens that two titles must share, whether the most similar story is taken instead of the latest, and whether an outlet's name at the end of titles is left out.
+    #: Tokens besides stop words that two titles must share, whether the most similar story is taken instead of the latest, and whether an outlet's name at the end of titles is left out.
     token_overlap: int = 0
     best_match: bool = False
     strip_outlets: bool = False
@@ -34,69 +37,86 @@ class ClusterConfig:
 
 
 FOLD_SCHEMA = "story_id string, article_id string, is_new boolean, title string, story_type string, canonical_article_id string, first_seen long, last_updated long, step int"
+#: Rows of one session that a task replays (a power of two); the rest of a longer session follows in further waves.
+CHUNK = 1 << 14
+
+
+class Shelf:
+    """Open stories by their titles' numbers, each list by recency: the later updated, then the later made, stands last."""
+
+    def __init__(self, stories: list[dict], config: ClusterConfig) -> None:
+        self.config, self.made, self.known = config, 0, {}
+        self.lists: dict[tuple, list[tuple[int, int, dict]]] = {}
+        for story in stories:
+            self.put(story)
+
+    def put(self, story: dict) -> None:
+        self.made = max(self.made, story["n"] + 1)
+        insort(self.lists.setdefault(tuple(story["numbers"]), []), (story["last"], story["n"], story), key=lambda x: x[:2])
+
+    def take(self, story: dict) -> None:
+        own = self.lists[tuple(story["numbers"])]
+        del own[bisect_left(own, (story["last"], story["n"]), key=lambda x: x[:2])]
+
+    def alike(self, norm: str, other: str) -> bool:
+        if (norm, other) not in self.known:
+            shared = not self.config.token_overlap or len(meaning(norm) & meaning(other)) >= self.config.token_overlap
+            self.known[norm, other] = shared and similar(norm, other, self.config.threshold, False, True)
+        return self.known[norm, other]
+
+    def match(self, article: dict) -> dict | None:
+        """The first story by recency that all guards let through, or with ``best_match`` the most similar of them."""
+        own, at, found, best = self.lists.get(tuple(article["numbers"]), []), article["collected_at"], None, -1.0
+        topics, paper = set(article["topics"]), article["paper"]
+        for last, _, story in own[bisect_left(own, at - self.config.gap, key=lambda x: x[0]) :][::-1]:
+            if last - at > self.config.gap or topics and story["topics"] and not topics & story["topics"] or paper is not None and story["papers"] - {paper}:
+                continue
+            if self.alike(article["norm"], story["norm"]):
+                if not self.config.best_match:
+                    return story
+                if (value := ratio(article["norm"], story["norm"])) > best:
+                    found, best = story, value
+        return found
+
+    def open_at(self, time: int) -> list[dict]:
+        """Stories that an article of ``time`` or later may still join."""
+        return [story for own in self.lists.values() for last, _, story in own if last >= time - self.config.gap]
 
 
-def fold(rows: list[dict], config: ClusterConfig) -> Iterator[dict]:
-    """Replays one component in order: seeds (stored stories' members) first, then new articles.
+def fold(stories: Shelf, new: list[dict]) -> Iterator[dict]:
+    """Replays articles in order of (collected_at, seq) over open stories; yields the state of a story after each article it takes.
 
-    A row holds story_id (null for new articles), article_id, title, norm,
-    collected_at, seq, score_base, story_type, topics, paper, and for a seed
-    its story's story_title, last_updated, first_seen, canonical_article_id.
-    Yields the state of a story after each article it takes.
+    An article holds article_id, title, norm, numbers, collected_at, seq,
+    score_base, story_type, topics and paper.
     """
-    stories: dict[str, dict] = {}
-    by_article = {r["article_id"]: r for r in rows}
-    known: dict[tuple[str, str], bool] = {}
-    for r in rows:
-        if r["story_id"]:
-            own = stories.setdefault(r["story_id"], {
-                "id": r["story_id"], "title": r["story_title"], "norm": r["story_norm"], "type": r["story_story_type"], "last": r["last_updated"],
-                "first": r["first_seen"], "canonical": r["canonical_article_id"], "topics": set(), "papers": set(), "n": len(stories), "step": 0,
-            })
-            own["topics"] |= set(r["topics"])
-            own["papers"] |= {r["paper"]} - {None}
-    new = sorted((r for r in rows if not r["story_id"]), key=lambda r: (r["collected_at"], r["seq"]))
-    for r in new:
-        topics, paper = set(r["topics"]), r["paper"]
-        found, best = None, -1.0
-        for own in sorted(stories.values(), key=lambda s: (s["last"], s["n"]), reverse=True):
-            if abs(r["collected_at"] - own["last"]) > config.gap or list(r["numbers"]) != list(own.setdefault("numbers", r["numbers"] if own["norm"] == r["norm"] else _numbers(own["norm"]))):
-                continue
-            if topics and own["topics"] and not topics & own["topics"] or paper is not None and own["papers"] - {paper}:
-                continue
-            pair = (r["norm"], own["norm"])
-            if pair not in known:
-                shared = not config.token_overlap or len(set(pair[0].split()) & set(pair[1].split())) >= config.token_overlap
-                known[pair] = shared and similar(*pair, config.threshold, False, True)
-            if known[pair] and not config.best_match:
-                found = own
-                break
-            if known[pair] and (value := ratio(*pair)) > best:
-                found, best = own, value
-        if found is None:
-            found = {"id": r["article_id"], "title": r["title"], "norm": r["norm"], "numbers": r["numbers"], "type": r["story_type"], "last": r["collected_at"],
-                     "first": r["collected_at"], "canonical": r["article_id"], "topics": set(), "papers": set(), "n": len(stories), "step": 0, "new": True}
-            stories[found["id"]] = found
+    for article in sorted(new, key=lambda r: (r["collected_at"], r["seq"])):
+        own = {"id": article["article_id"], "score": article["score_base"], "title": article["title"], "norm": article["norm"], "numbers": list(article["numbers"]), "type": article["story_type"]}
+        story = stories.match(article)
+        if story is None:
+            story = own | {
+                "last": article["collected_at"], "first": article["collected_at"], "canonical": own["id"], "leader": own, "topics": set(), "papers": set(), "n": stories.made, "step": 0, "new": True,
+            }
         else:
-            leader = by_article.get(found["canonical"])
-            if found["canonical"] is None or leader is not None and r["score_base"] > leader["score_base"] + config.canonical_delta:
-                found["canonical"] = r["article_id"]
-            if (leader := by_article.get(found["canonical"])) is not None:
-                found |= {"title": leader["title"], "norm": leader["norm"], "numbers": leader["numbers"], "type": leader["story_type"]}
-            found["last"] = max(found["last"], r["collected_at"])
-        found["topics"] |= topics
-        found["papers"] |= {paper} - {None}
-        found["step"] += 1
+            stories.take(story)
+            leader = story["leader"]
+            if story["canonical"] is None or leader is not None and own["score"] > leader["score"] + stories.config.canonical_delta:
+                story["canonical"], story["leader"] = own["id"], own
+            if story["leader"] is not None:
+                story |= {c: story["leader"][c] for c in ("title", "norm", "numbers", "type")}
+            story["last"] = max(story["last"], article["collected_at"])
+        story["topics"] |= set(article["topics"])
+        story["papers"] |= {article["paper"]} - {None}
+        story["step"] += 1
+        stories.put(story)
         yield {
-            "story_id": found["id"], "article_id": r["article_id"], "is_new": found.get("new", False), "title": found["title"], "story_type": found["type"],
-            "canonical_article_id": found["canonical"], "first_seen": found["first"], "last_updated": found["last"], "step": found["step"],
+            "story_id": story["id"], "article_id": own["id"], "is_new": story["new"], "title": story["title"], "story_type": story["type"],
+            "canonical_article_id": story["canonical"], "first_seen": story["first"], "last_updated": story["last"], "step": story["step"],
         }
 
 
-def _numbers(norm: str) -> list[str]:
-    import re
-
-    return sorted(set(re.findall(r"\d+(?:\.\d+)*", norm)))
+def meaning(norm: str) -> set[str]:
+    """A title's tokens that are no stop words."""
+    return {w for w in norm.split() if w not in STOP_WORDS}
 
 
 def _nodes(articles: DataFrame, topics: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
@@ -129,52 +149,143 @@ def unclustered(articles: DataFrame, members: DataFrame, key: str = "id") -> Dat
     return articles.join(members.select(F.col("article_id").alias(key)), key, "left_anti")
 
 
+_LEADER = pa.struct([("id", pa.string()), ("score", pa.float64()), ("title", pa.string()), ("norm", pa.string()), ("numbers", pa.list_(pa.string())), ("type", pa.string())])
+_STORY = pa.struct([
+    ("id", pa.string()), ("title", pa.string()), ("norm", pa.string()), ("numbers", pa.list_(pa.string())), ("type", pa.string()), ("last", pa.int64()), ("first", pa.int64()),
+    ("canonical", pa.string()), ("leader", _LEADER), ("topics", pa.list_(pa.string())), ("papers", pa.list_(pa.string())), ("n", pa.int64()), ("step", pa.int32()), ("new", pa.bool_()),
+])
+_DONE = pa.struct([
+    ("story_id", pa.string()), ("article_id", pa.string()), ("is_new", pa.bool_()), ("title", pa.string()), ("story_type", pa.string()),
+    ("canonical_article_id", pa.string()), ("first_seen", pa.int64()), ("last_updated", pa.int64()), ("step", pa.int32()),
+])
+_REPLAYED = (
+    f"component string, session long, done struct<{FOLD_SCHEMA}>, story struct<id string, title string, norm string, numbers array<string>, type string, last long, first long, canonical string, "
+    "leader struct<id string, score double, title string, norm string, numbers array<string>, type string>, topics array<string>, papers array<string>, n long, step int, new boolean>"
+)
+
+
+def _seeds(nodes: DataFrame, stories: DataFrame, members: DataFrame, config: ClusterConfig) -> DataFrame:
+    """Active stories as ``story``: title, times, canonical article, and their members' topics and papers together."""
+    own = nodes.join(members, "article_id")
+    known = own.groupBy("story_id").agg(F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics"), F.collect_set("paper").alias("papers"))
+    leads = own.select(
+        "story_id", F.col("article_id").alias("canonical"),
+        F.struct(F.col("article_id").alias("id"), F.col("score_base").alias("score"), "title", "norm", "numbers", F.col("story_type").alias("type")).alias("leader"),
+    )
+    active = stories.where("status = 'active'").select(
+        F.col("id").alias("story_id"), "title", _norm(config).alias("norm"), F.col("story_type").alias("type"), F.col("last_updated").alias("last"),
+        F.col("first_seen").alias("first"), F.col("canonical_article_id").alias("canonical"),
+    )
+    return active.join(known, "story_id").join(leads, ["story_id", "canonical"], "left").select(F.struct(
+        F.col("story_id").alias("id"), "title", "norm", titles.number_tokens(F.col("norm")).alias("numbers"), "type", "last", "first", "canonical", "leader", "topics", "papers",
+        F.lit(None).cast("long").alias("n"), F.lit(0).alias("step"), F.lit(False).alias("new"),
+    ).alias("story"))
+
+
+def _replay(config: ClusterConfig):
+    """Replays a session's articles over its stories; its stories that are still open come after what was done."""
+
+    def replay(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        found = [r["story"] | {"topics": set(r["story"]["topics"]), "papers": set(r["story"]["papers"])} for r in rows if r["story"]]
+        for n, story in enumerate(sorted((s for s in found if s["n"] is None), key=lambda s: (s["first"], s["id"]))):
+            story["n"] = n
+        shelf, new = Shelf(found, config), [r["article"] for r in rows if r["article"]]
+        done = list(fold(shelf, new))
+        still = shelf.open_at(max(a["collected_at"] for a in new)) if new else []
+        open_ = [s | {"topics": sorted(s["topics"]), "papers": sorted(s["papers"])} for s in still]
+        count = len(done) + len(open_)
+        columns = [
+            pa.array([rows[0]["component"]] * count, pa.string()), pa.array([rows[0]["session"]] * count, pa.int64()),
+            pa.array([*done, *[None] * len(open_)], _DONE), pa.array([*[None] * len(done), *open_], _STORY),
+        ]
+        return pa.table(columns, names=["component", "session", "done", "story"])
+
+    return replay
+
+
+def _sessions(rows: DataFrame, gap: int) -> DataFrame:
+    """``(component, bucket, session, n)``: a component's times in sessions that lie more than ``gap`` apart, and each session's rows.
+
+    Rows are summed by buckets of ``gap`` first, so what is put in order is a
+    component's buckets, not its rows.
+    """
+    spans = rows.groupBy("component", "bucket").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("rows"))
+    order = Window.partitionBy("component").orderBy("bucket")
+    begins = F.coalesce(F.col("low") - F.lag("high").over(order) > gap, F.lit(False)).cast("long")
+    spans = spans.withColumn("begins", begins).withColumn("session", F.sum("begins").over(order))
+    return spans.select("component", "bucket", "session", F.sum("rows").over(Window.partitionBy("component", "session")).alias("n"))
+
+
+def _chunks(articles: DataFrame) -> DataFrame:
+    """``articles`` with ``chunk``: their session's place in steps of CHUNK rows at most, by (collected_at, seq)."""
+    order = ["component", "session", "article.collected_at", "article.seq"]
+    placed = articles.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("block", F.shiftright(F.monotonically_increasing_id(), CHUNK.bit_length() - 1))
+    placed = durable(placed)
+    steps = placed.select("component", "session", "block").distinct()
+    steps = steps.withColumn("chunk", F.row_number().over(Window.partitionBy("component", "session").orderBy("block")) - 1)
+    return placed.join(steps, ["component", "session", "block"]).drop("block")
+
+
 def cluster(articles: DataFrame, topics: DataFrame, stories: DataFrame | None = None, members: DataFrame | None = None, config: ClusterConfig | None = None) -> DataFrame:
     """FOLD_SCHEMA rows: each newly clustered article with its story's state after it.
 
     Every merge needs a similar pair of titles with equal numbers, and a
-    story's titles are its members' (or its own): so stories never reach over
-    connected components of similar titles, and components replay apart.
-    Titles without a similar one become stories without Python. Ties of
-    last_updated go to the story made later. Only active stories take part.
+    story's titles are its new articles', its leader's or its own: so stories
+    never reach over connected components of similar titles. Nor do they reach
+    over a pause longer than the gap, so a component replays in sessions, apart
+    from each other; a session of over CHUNK rows replays in waves, the stories
+    still open being all that one wave hands to the next. A session of one
+    article is a story without Python. Ties of last_updated go to the story
+    made later. Only active stories take part.
     """
     config = config or ClusterConfig()
-    nodes = _nodes(articles, topics, config)
-    if stories is None or members is None:
-        fresh = nodes.where(titles.word_count(F.col("norm")) >= config.min_title_words)
-        seeds = None
+    nodes = durable(_nodes(articles, topics, config))
+    fresh = nodes if members is None else unclustered(nodes, members, "article_id")
+    fresh = fresh.where(titles.word_count(F.col("norm")) >= config.min_title_words)
+    columns = ("article_id", "title", "norm", "numbers", "collected_at", "seq", "score_base", "story_type", "topics", "paper")
+    rows = fresh.select("norm", F.col("collected_at").alias("at"), F.struct(*columns).alias("article"))
+    norms = fresh.select(F.col("norm").alias("title"), F.array_join("numbers", " ").alias("numbers"))
+    ties = None
+    if stories is not None and members is not None:
+        seeds = durable(_seeds(nodes, stories, members, config))
+        rows = rows.unionByName(seeds.select(F.col("story.norm").alias("norm"), F.col("story.last").alias("at"), "story"), allowMissingColumns=True)
+        for side in ("story", "story.leader"):
+            norms = norms.unionByName(seeds.select(F.col(f"{side}.norm").alias("title"), F.array_join(f"{side}.numbers", " ").alias("numbers")).where("title is not null"))
+        ties = seeds.select(F.col("story.norm").alias("a"), F.col("story.leader.norm").alias("b")).where("a != b")
     else:
-        fresh = unclustered(nodes, members, "article_id").where(titles.word_count(F.col("norm")) >= config.min_title_words)
-        seeds = nodes.join(members, "article_id").join(
-            stories.where("status = 'active'").select(
-                F.col("id").alias("story_id"), F.col("title").alias("story_title"), _norm(config).alias("story_norm"),
-                F.col("story_type").alias("story_story_type"), "last_updated", "first_seen", "canonical_article_id",
-            ), "story_id",
-        )
-    empty = {"story_id": "string", "story_title": "string", "story_norm": "string", "story_story_type": "string", "last_updated": "long", "first_seen": "long", "canonical_article_id": "string"}
-    rows = fresh.withColumns({c: F.lit(None).cast(t) for c, t in empty.items()})
-    if seeds is not None:
-        rows = rows.unionByName(seeds)
-    rows = durable(rows)
-    norms = rows.select(F.col("norm").alias("title")).unionByName(rows.where("story_norm is not null").select(F.col("story_norm").alias("title"))).distinct()
-    keyed = norms.withColumn("numbers", F.array_join(titles.number_tokens(F.col("title")), " "))
-    similar_norms = similar_titles(keyed, config.threshold, key="numbers")
-    # A story's members and its own title stay together, whatever their titles.
-    ties = rows.where("story_id is not null").select(F.col("norm").alias("a"), F.col("story_norm").alias("b"))
-    parts = connected_components(similar_norms.unionByName(ties))
-    placed = durable(rows.join(parts.withColumnRenamed("node", "norm"), "norm", "left").withColumn("component", F.coalesce("component", "norm")))
-    crowd = Window.partitionBy("component")
-    counted = placed.withColumn("_n", F.count("*").over(crowd))
-    alone = counted.where("_n = 1 and story_id is null").select(
-        F.col("article_id").alias("story_id"), "article_id", F.lit(True).alias("is_new"), "title", "story_type", F.col("article_id").alias("canonical_article_id"),
-        F.col("collected_at").alias("first_seen"), F.col("collected_at").alias("last_updated"), F.lit(1).alias("step"),
+        rows = rows.withColumn("story", F.lit(None).cast(_replayed_type("story")))
+    pairs = similar_titles(norms.distinct(), config.threshold, key="numbers").select("a", "b")
+    parts = connected_components(pairs if ties is None else pairs.unionByName(ties))
+    placed = rows.join(parts.withColumnRenamed("node", "norm"), "norm", "left").withColumn("component", F.coalesce("component", "norm"))
+    placed = durable(placed.withColumn("bucket", F.floor(F.col("at") / max(config.gap, 1))).drop("norm"))
+    placed = durable(placed.join(_sessions(placed, config.gap), ["component", "bucket"]).drop("bucket", "at"))
+
+    alone = placed.where("n = 1 and article is not null").select(
+        F.col("article.article_id").alias("story_id"), "article.article_id", F.lit(True).alias("is_new"), "article.title", "article.story_type",
+        F.col("article.article_id").alias("canonical_article_id"), F.col("article.collected_at").alias("first_seen"), F.col("article.collected_at").alias("last_updated"), F.lit(1).alias("step"),
     )
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.astype(object).where(frame.notna(), None).to_dict("records")
-        return pd.DataFrame(list(fold(rows, config)), columns=[c.split()[0] for c in FOLD_SCHEMA.split(", ")])
-
-    return alone.unionByName(counted.where("_n > 1").drop("_n").groupBy("component").applyInPandas(replay, FOLD_SCHEMA))
+    key, replay = ("component", "session"), _replay(config)
+    short = placed.where(f"n > 1 and n <= {CHUNK}").select(*key, "article", "story").groupBy(*key).applyInArrow(replay, _REPLAYED)
+    found = alone.unionByName(short.where("done is not null").select("done.*"))
+    long = placed.where(f"n > {CHUNK}").drop("n")
+    waves = _waves(long) if not long.isEmpty() else None
+    if waves is not None:
+        state = long.where("story is not null").select(*key, "story")
+        for number in range(waves.agg(F.max("chunk")).first()[0] + 1):
+            now = waves.where(F.col("chunk") == number).select(*key, "article")
+            out = durable(now.unionByName(state, allowMissingColumns=True).select(*key, "article", "story").groupBy(*key).applyInArrow(replay, _REPLAYED))
+            found = found.unionByName(out.where("done is not null").select("done.*"))
+            state = out.where("story is not null").select(*key, "story")
+    return found
+
+
+def _waves(long: DataFrame) -> DataFrame:
+    return durable(_chunks(long.where("article is not null").select("component", "session", "article")))
+
+
+def _replayed_type(column: str):
+    return T.StructType.fromDDL(_REPLAYED)[column].dataType
 
 
 def effective_sources(members: DataFrame, order: list) -> DataFrame:

@@ -120,6 +120,33 @@ def test_cluster_equals_sequential(spark):
     assert stories.cluster(articles, topics, after, members).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1 << 14, 4])
+def test_cluster_over_years(spark, monkeypatch, chunk):
+    """Chains of titles over years, with pauses: sessions and waves of a few rows against the plain fold, and in two batches."""
+    monkeypatch.setattr(stories, "CHUNK", chunk)
+    dice = random.Random(chunk)
+    words = "alpha beta gamma delta launch model paper tiny big fast slow seven".split()
+    base = [" ".join(dice.choices(words, k=7)) for _ in range(3)]
+    rows, at = [], 0
+    for k in range(70):
+        at += dice.choice([0, 3600, 86_400, 3 * 86_400, 7 * 86_400, 7 * 86_400 + 1, 40 * 86_400])
+        title = dice.choice(base).split()
+        title[dice.randrange(7)] = dice.choice(words)
+        rows.append((f"id{k:02d}", f"https://x.com/{k}", " ".join(title), at, k, dice.random(), "news"))
+    schema = "id string, url_canonical string, title string, collected_at long, seq long, score_base double, story_type string"
+    articles, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], "article_id string, topic string")
+
+    def told(changes):
+        return {(r["story_id"], r["article_id"], r["canonical_article_id"], r["last_updated"], r["step"]) for r in changes.collect()}
+
+    expected = plain_clusters([r.asDict() for r in articles.collect()], [], stories.ClusterConfig())
+    assert told(stories.cluster(articles, none)) == expected
+    early, sourced = articles.where("seq < 40"), articles.withColumn("origin_source_id", F.lit("s"))
+    after, members = stories.apply_clusters(None, None, stories.cluster(early, none), sourced.where("seq < 40"), at)
+    later = told(stories.cluster(articles, none, after, members))
+    assert {x[:4] for x in later} == {x[:4] for x in expected if int(x[1][2:]) >= 40}
+
+
 def test_cluster_guards(spark):
     schema = "id string, url_canonical string, title string, collected_at long, seq long, score_base double, story_type string"
     none = spark.createDataFrame([], "article_id string, topic string")
@@ -144,17 +171,36 @@ def test_effective_sources(spark):
     assert {tuple(r) for r in found.collect()} == {("s", 1), ("r", 2)}
 
 
-def test_dedup_items(spark):
-    dice = random.Random(3)
+def plain_acceptance(rows):
+    """The older rules as they are stated, one item after another over all that was accepted."""
+    urls, kept, accepted = set(), [], []
+    for seq, url, title in sorted(rows):
+        low = title.lower()
+        if url in urls or any(low == t or SequenceMatcher(None, low, t, False).ratio() > 0.85 for t in kept):
+            continue
+        urls.add(url)
+        kept.append(low)
+        accepted.append(seq)
+    return accepted
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_dedup_items(spark, seed):
+    dice = random.Random(seed)
     base = ["".join(dice.choices("abcdefgh ", k=40)) for _ in range(8)]
     rows = []
-    for k in range(50):
+    for k in range(90):
         title = list(dice.choice(base))
         for _ in range(dice.randrange(8)):
-            title[dice.randrange(40)] = dice.choice("xyz")
-        rows.append((k, f"u{dice.randrange(30)}", "".join(title)))
+            title[dice.randrange(40)] = dice.choice("xyzX")
+        rows.append((k, f"u{dice.randrange(50)}", "".join(title)))
+    rows += [(k, f"v{k}", "".join(dice.choices("klmnopqrst", k=30))) for k in range(100, 110)]
+    # A chain in which each title rivals only the next.
+    rows += [(200 + k, f"w{k}", "0" * (4 * k) + "1" * (40 - 4 * k)) for k in range(10)]
+    dice.shuffle(rows)
     found = dedup.dedup_items(spark.createDataFrame(rows, "seq long, url string, title string"))
-    assert sorted(r["seq"] for r in found.collect()) == dedup.accept_in_order(rows)
+    assert sorted(r["seq"] for r in found.collect()) == plain_acceptance(rows)
+    assert dedup.dedup_items(spark.createDataFrame([], "seq long, url string, title string")).count() == 0
 
 
 def test_seen(spark):
