@@ -525,7 +525,7 @@ def title_candidates(spark, d):
 
 @query()
 def title_similarity(spark, d):
-    return similarity.similar_titles(_norms(spark, d), similarity.STORY_THRESHOLD, key="numbers")
+    return similarity.similar_titles(_norms(spark, d), similarity.STORY_THRESHOLD, key="numbers").select("a", "b")
 
 
 @query()

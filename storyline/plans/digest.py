@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..functions import markup, rules, scores
 from ..operators import dedup
@@ -106,11 +106,15 @@ def analyze(items: DataFrame, seen: DataFrame | None, config: dict, now, day: st
     weights = spark.createDataFrame([(k, f["name"], float(f.get("weight", 0.1))) for k, f in enumerate(config.get("feeds") or [])], "seq long, source string, weight double")
     if seen is None:
         seen = spark.createDataFrame([], "key string, seen_at timestamp")
-    rows = durable(items)
+    # Counts come with what is written; no job counts for itself.
+    counts = {name: Observation() for name in ("collected", "filtered", "kept")}
+    number = F.count(F.lit(1)).alias("n")
+    rows = durable(items.observe(counts["collected"], number))
     accepted = durable(dedup.dedup_items(rows, seen))
-    scored = durable(scored_items(accepted, weights, keywords, now, strict))
-    final = durable(hard_cap(scored, most).withColumns({c: F.lit(None).cast(t) for c, t in (("summary", "string"), ("is_new", "boolean")) if c not in scored.columns}))
-    stats = {"collected": rows.count(), "filtered": scored.count(), "kept": final.count(), "cost": 0.0}
+    scored = durable(scored_items(accepted, weights, keywords, now, strict).observe(counts["filtered"], number))
+    capped = hard_cap(scored, most).withColumns({c: F.lit(None).cast(t) for c, t in (("summary", "string"), ("is_new", "boolean")) if c not in scored.columns})
+    final = durable(capped.observe(counts["kept"], number))
+    stats = {name: own.get["n"] for name, own in counts.items()} | {"cost": 0.0}
     return Analysis(digest_markdown(final, day, stats), final, stats, dedup.seen_after(seen, accepted, now))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import ingest
+from ..plans.run import upsert_tables
 from ..sources.store import Store
 
 
@@ -22,21 +23,16 @@ def hot_sources(items: DataFrame, window: str = "24 hours", slide: str = "1 hour
 
 
 def upsert_stream(items: DataFrame, sources: DataFrame, store: Store, config: Mapping[str, object], now, checkpoint: str, **trigger):
-    """Starts a query that upserts each micro-batch's articles, mentions and topics into ``store``.
+    """Starts a query that upserts each micro-batch's articles, mentions and topics into ``store``, bucket by bucket.
 
     ``now`` gives the time of a batch. A batch that is run again finds its own
-    articles stored and changes nothing.
+    articles stored and changes nothing; one that meets another run's commit
+    starts over on what that one left.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        accepted = ingest.accepted_items(rows, sources).persist()
-        moment = now()
-        stored = {name: store.read(name) for name in ("articles", "mentions", "article_topics")}
-        store.commit({
-            "articles": ingest.upsert_articles(stored["articles"], accepted, moment),
-            "mentions": ingest.mentions(stored["mentions"], accepted, moment),
-            "article_topics": ingest.article_topics(stored["article_topics"], accepted, config),
-        })
+        accepted, moment = ingest.accepted_items(rows, sources).persist(), now()
+        store.transact(lambda tx: upsert_tables(tx, accepted, config, moment))
         accepted.unpersist()
 
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

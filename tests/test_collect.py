@@ -138,10 +138,17 @@ def test_optional_matching():
         {"story_id": None, "article_id": k, "title": t, "norm": t, "collected_at": n, "seq": n, "score_base": 0.0, "story_type": "news", "topics": [], "paper": None, "numbers": []}
         for n, (k, t) in enumerate([("a", "red green blue yellow"), ("b", "red green blue yellows x"), ("c", "red green blue yellow")])
     ]
-    latest = [r["story_id"] for r in stories.fold(rows, stories.ClusterConfig(threshold=0.99))]
+
+    def folded(config):
+        return list(stories.fold(stories.Shelf([], config), rows))
+
+    latest = [r["story_id"] for r in folded(stories.ClusterConfig(threshold=0.99))]
     assert latest == ["a", "b", "a"]
     loose = stories.ClusterConfig(threshold=0.6, token_overlap=5)
-    assert [r["story_id"] for r in stories.fold(rows, loose)] == ["a", "b", "c"]
+    assert [r["story_id"] for r in folded(loose)] == ["a", "b", "c"]
     rows[1]["topics"], rows[0]["topics"] = ["x"], ["y"]
-    assert [r["story_id"] for r in stories.fold(rows, stories.ClusterConfig(threshold=0.6))] == ["a", "b", "b"]
-    assert [r["story_id"] for r in stories.fold(rows, stories.ClusterConfig(threshold=0.6, best_match=True))] == ["a", "b", "a"]
+    assert [r["story_id"] for r in folded(stories.ClusterConfig(threshold=0.6))] == ["a", "b", "b"]
+    assert [r["story_id"] for r in folded(stories.ClusterConfig(threshold=0.6, best_match=True))] == ["a", "b", "a"]
+    # Stop words are no shared tokens.
+    told = [dict(r, title=t, norm=t, topics=[]) for r, t in zip(rows, ["this is the news of it all", "this is the news of it now", "this is the news of it all"], strict=True)]
+    assert [r["story_id"] for r in stories.fold(stories.Shelf([], stories.ClusterConfig(threshold=0.6, token_overlap=2)), told)] == ["a", "b", "a"]

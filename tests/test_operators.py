@@ -225,7 +225,11 @@ def test_store_and_run(spark, tmp_path, sources):
     assert store.read("stories").count() == 2 and store.read("pipeline_runs").count() == 1
     again = run_batch(store, batch, sources, {"ai": ["model"]}, now=1_000_100)
     assert "story_count: 2" in again and store.read("articles").count() == 3
-    assert store.prune() > 0 and store.read("articles").count() == 3
+    assert store.prune() == 0  # within the lease
+    assert store.prune(lease=-60) > 0 and store.read("articles").count() == 3 and store.prune(lease=-60) == 0
+    runs = {r["id"]: (r["articles_new"], r["articles_updated"], r["stories_created"], r["stories_updated"]) for r in store.read("pipeline_runs").collect()}
+    assert runs == {1: (3, 0, 2, 1), 2: (0, 3, 0, 0)}
+    assert "story_count" in run_batch(store, batch.limit(0), sources, {"ai": ["model"]}, now=1_000_200)
     assert brief.freshness(store.read("pipeline_runs"), 1_000_000).first()["freshness"] == "fresh"
 
 
