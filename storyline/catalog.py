@@ -495,6 +495,33 @@ def search_bm25(spark, d):
     return search.bm25(search.postings(headlines(spark, d)), ["the", "und", "de"]).select("id", F.round("rank", 6).alias("rank"))
 
 
+WORDS = f"{HEADS}, tk AS (SELECT id, regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}]+') AS w FROM hd), ws AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM tk)"
+
+
+def _match(spark, d, expression):
+    return search.Match(expression).keys(search.positional(headlines(spark, d)))
+
+
+@query(f"WITH {WORDS} SELECT id FROM ws WHERE list_contains(w, 'und') OR list_contains(w, 'que')")
+def match_or(spark, d):
+    return _match(spark, d, "und OR Que")
+
+
+@query(f"WITH {WORDS} SELECT id FROM ws WHERE (list_contains(w, 'the') OR list_contains(w, 'la')) AND NOT list_contains(w, 'of')")
+def match_not(spark, d):
+    return _match(spark, d, "(the OR la) NOT of")
+
+
+@query(f"WITH {WORDS} SELECT id FROM ws WHERE contains(t, ' of the ') OR contains(t, ' in der ')")
+def match_phrase(spark, d):
+    return _match(spark, d, '"of the" OR in + der')
+
+
+@query(f"WITH {WORDS} SELECT id FROM ws WHERE len(list_filter(w, lambda x: starts_with(x, 'ero'))) > 0 AND contains(t, ' the th')")
+def match_prefix(spark, d):
+    return _match(spark, d, 'éro* AND "the th" *')
+
+
 @query(f"WITH {MEMBERS} SELECT topic, count(DISTINCT article_id) AS articles FROM mb GROUP BY topic")
 def topic_counts(spark, d):
     return reads.topic_counts(member_topics(spark, d))
@@ -591,11 +618,14 @@ def _xml(text):
 
 
 def _payloads(spark, d):
-    """Pages as answers of their hosts: RSS, Atom and hits in turn, one a page, and answers that are none."""
+    """Pages as answers of their hosts, with what feeds in the wild hold: RSS, Atom and hits in turn, one a page, and answers that are none."""
     items = raw_items(spark, d)
     url, title = _xml(F.col("url")), _xml(F.col("title"))
-    rss = F.concat(F.lit("<rss><channel><title>c</title><item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item></channel></rss>"))
-    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html">'), title, F.lit('</title><link rel="alternate" href="'), F.replace(url, F.lit('"'), F.lit("&quot;")), F.lit('"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>'))
+    rss = F.concat(
+        F.lit('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel><title>c</title><item><title>'), title, F.lit("</title><media:title>other</media:title><link>"), url,
+        F.lit("</link><pubDate>Mon, 01 Jan 2024 00:00:00 +0000</pubDate></item><item><title>B & C&nbsp;<b></title></item></channel>"),
+    )
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml">'), title, F.lit('</div></title><link rel="alternate" href="'), F.replace(url, F.lit('"'), F.lit("&quot;")), F.lit('"/><updated>2024-01-02T00:00:00Z</updated></entry></feed>'))
     hit = F.to_json(F.struct(F.array(F.struct("title", "url", "points")).alias("hits")))
     found = F.to_json(F.struct(F.array(F.struct("title", "url")).alias("results")))
     turn = F.col("seq") % 5

@@ -84,3 +84,17 @@ def apply_overlay(config: dict, overlay: dict) -> dict:
     out["keywords"] = topics | (overlay.get("add_keywords") or {})
     out |= {k: overlay[k] for k in ("max_items", "schedule_time", "timezone") if k in overlay}
     return out
+
+
+def legacy_config(path: str | Path, presets: str | Path | None = None) -> dict:
+    """The older pipeline's configuration: the file itself, or its preset with the file's additions and removals."""
+    import yaml
+
+    raw = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    base = {}
+    if presets and (preset := raw.get("preset")) and preset != "blank":
+        file = (Path(presets) / f"{preset}.yaml").resolve()
+        if Path(presets).resolve() not in file.parents:
+            raise ValueError(f"preset outside the folder: {preset!r}")
+        base = yaml.safe_load(file.read_text(encoding="utf-8")) or {}
+    return apply_overlay(base, raw) if base or "add_feeds" in raw else raw

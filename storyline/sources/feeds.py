@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import codecs
 import json
+import re
 import time
 import urllib.request
 import warnings
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scores import parse_published
 from ..functions.urls import legacy_url
+from .markup_scan import entries
 from .store import replace_folder
 
 TIMEOUT, ATTEMPTS, MOST_BYTES = 10, 3, 10 << 20
@@ -22,10 +26,6 @@ ADAPTERS = ("rss", "hn", "tavily")
 HN_SEARCH = "https://hn.algolia.com/api/v1/search?tags=front_page&hitsPerPage={}"
 PERMALINK = "https://news.ycombinator.com/item?id="
 WEB_SEARCH = "https://api.tavily.com/search"
-_TEXT = "struct<_VALUE: string>"
-ENTRY = f"struct<title: {_TEXT}, link: array<struct<_VALUE: string, _href: string, _rel: string>>, id: {_TEXT}, guid: {_TEXT}, published: string, updated: string, created: string, pubDate: string, date: string>"
-FEED = f"channel struct<item: array<{ENTRY}>>, item array<{ENTRY}>, entry array<{ENTRY}>"
-FEED_OPTIONS = {"ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE"}
 ENTRY_COLUMNS = ("place", "link", "id", "title", "published", "updated", "created", "pubDate")
 ITEM = "url string, title string, source_id string, published_at long, points int, extra string"
 HITS = "struct<hits: array<struct<objectID: string, title: string, url: string, points: int, created_at: string>>>"
@@ -36,19 +36,31 @@ LEGACY_ITEM = "url string, title string, source string, published string, extra
 def feed_entries(payloads: DataFrame) -> DataFrame:
     """Entries of RSS (0.9x to 2.0, RDF) and Atom payloads (source_id, body): ``(source_id, place, link, id, title, published, updated, created, pubDate)``.
 
-    What is no XML, breaks off or failed to come has no entries. Of several
-    links the first that is no relation other than "alternate" counts.
+    Payloads are read as they come, well-formed or not (see markup_scan). What
+    is no feed or failed to come has no entries, what breaks off those before.
+    Of several links the first that is no relation other than "alternate" counts.
     """
-    parsed = payloads.select("source_id", F.from_xml("body", FEED, FEED_OPTIONS).alias("x"))
-    none = F.array().cast(f"array<{ENTRY}>")
-    entries = F.concat(F.coalesce("x.channel.item", none), F.coalesce("x.item", none), F.coalesce("x.entry", none))
-    rows = parsed.select("source_id", F.posexplode(entries).alias("place", "e"))
-    own = F.filter("e.link", lambda v: F.coalesce(v["_rel"], F.lit("alternate")) == "alternate")
-    link = F.coalesce(F.try_element_at(own, F.lit(1)), F.try_element_at("e.link", F.lit(1)))
-    return rows.select(
-        "source_id", "place", F.trim(F.coalesce(link["_VALUE"], link["_href"])).alias("link"), F.trim(F.coalesce("e.id._VALUE", "e.guid._VALUE")).alias("id"),
-        F.col("e.title._VALUE").alias("title"), F.coalesce("e.published", "e.pubDate", "e.date").alias("published"), "e.updated", "e.created", "e.pubDate",
-    )
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, body in enumerate(batch["body"].to_pylist()):
+                if found := entries(body):
+                    of = batch["source_id"].take(pa.array([row] * len(found)))
+                    columns = [pa.array([_entry_value(e, c) for e in found], pa.string()) for c in ENTRY_COLUMNS[1:]]
+                    yield pa.RecordBatch.from_arrays([of, pa.array(range(len(found)), pa.int32()), *columns], names=["source_id", *ENTRY_COLUMNS])
+
+    own = payloads.select("source_id", "body")
+    fields = [T.StructField("place", T.IntegerType()), *(T.StructField(c, T.StringType()) for c in ENTRY_COLUMNS[1:])]
+    return own.mapInArrow(scan, T.StructType([own.schema["source_id"], *fields]))
+
+
+def _entry_value(entry: dict, column: str) -> str | None:
+    if column == "link":
+        links = [address for kind, address in entry["links"] if kind == "alternate"] or [address for _, address in entry["links"]]
+        return links[0].strip() if links and links[0] else None
+    names = {"id": ("id", "guid"), "published": ("published", "pubDate", "date")}.get(column, (column,))
+    found = next((entry[n] for n in names if n in entry), None)
+    return found.strip() if found is not None and column != "title" else found
 
 
 def _feed_rows(entries: DataFrame) -> DataFrame:
@@ -155,6 +167,22 @@ def legacy_collected(payloads: DataFrame) -> DataFrame:
     return out.where("coalesce(url, '') <> ''")
 
 
+def legacy_requests(config: dict, search_key: str | None = None) -> list[dict]:
+    """What the older pipeline asks for ``config`` (feeds with name, url, is_release; tavily_queries), in order; with name and is_release."""
+    out = [{"id": f["name"], "url": f.get("url"), "kind": "rss", "name": f["name"], "is_release": bool(f.get("is_release"))} for f in config.get("feeds") or [] if f.get("url")]
+    out.append({"id": "hn", "url": HN_SEARCH.format(MOST_HITS), "kind": "hn", "name": "Hacker News", "is_release": False})
+    for query in (config.get("tavily_queries") or []) if search_key else []:
+        body = json.dumps({"query": query, "max_results": MOST_RESULTS, "search_depth": "basic"})
+        out.append({"id": query, "url": WEB_SEARCH, "kind": "tavily", "body": body, "headers": {"Authorization": f"Bearer {search_key}", "Content-Type": "application/json"}, "name": query, "is_release": False})
+    return [r | {"asked": k} for k, r in enumerate(out)]
+
+
+def legacy_fetch(spark: SparkSession, requests: list[dict], attempts: int = ATTEMPTS, timeout: int = TIMEOUT) -> DataFrame:
+    """Payloads of :func:`legacy_requests` as :func:`legacy_collected` reads them."""
+    known = spark.createDataFrame([(r["asked"], r["name"], r["is_release"]) for r in requests], "asked int, name string, is_release boolean")
+    return fetch(spark, requests, attempts, timeout).join(F.broadcast(known), "asked")
+
+
 def in_order(parts: list[DataFrame]) -> DataFrame:
     """All parts' items with ``seq`` in order of parts, and within a part of its rows."""
     numbered = [p.withColumn("seq", F.monotonically_increasing_id() + F.lit(k << 52)) for k, p in enumerate(parts)]
@@ -188,6 +216,22 @@ def repair_counts(spark: SparkSession, path: str) -> DataFrame:
     return lines.agg(F.count("*").alias("total"), F.count_if(F.try_parse_json("value").isNotNull()).alias("recovered"))
 
 
+_DECLARED = re.compile(rb"""^\s*<\?xml[^>]*\sencoding\s*=\s*["']([\w.:\-]+)["']""")
+
+
+def decoded(body: bytes, charset: str | None = None) -> str:
+    """Text by the answer's charset, else its byte order mark, else what its XML declares, else UTF-8; bytes that are none are replaced."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16")):
+        if body.startswith(mark):
+            charset = charset if charset and charset.lower() not in ("utf-8", "utf-16") else name
+    if not charset and (found := _DECLARED.match(body[:200])):
+        charset = found[1].decode()
+    try:
+        return body.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 class FeedSource(DataSource):
     """``spark.read.format("feed").option("feeds", json)``: one partition a feed, fetched with retries.
 
@@ -223,11 +267,11 @@ class FeedReader(DataSourceReader):
             try:
                 data = feed["body"].encode() if feed.get("body") else None
                 with urllib.request.urlopen(urllib.request.Request(feed["url"], data, feed.get("headers") or {}), timeout=self.timeout) as answer:
-                    body = answer.read(MOST_BYTES + 1)
+                    body, charset = answer.read(MOST_BYTES + 1), answer.headers.get_content_charset()
                 if len(body) > MOST_BYTES:
                     error = "too large"
                     break
-                yield *named, body.decode("utf-8", "replace"), None
+                yield *named, decoded(body, charset), None
                 return
             except Exception as problem:  # noqa: BLE001  one feed's failure is its row
                 error = str(problem)
