@@ -16,7 +16,7 @@ MODULUS, HELD_OUT = 7, 2
 #: Pseudo-counts that a history of one and of two words gives to the shorter history's distribution.
 WEIGHTS = (500.0, 20.0)
 #: Bytes of text in a block, n-gram tokens aimed at in a part, and the least number of parts.
-BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 10 << 20, 2_000_000, 64
+BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 6 << 20, 2_000_000, 64
 #: Bits of an n-gram's hash that choose its part, and bits that tell it from others there.
 PART_BITS, KEY_BITS = 23, 40
 SEED = 42
@@ -129,25 +129,76 @@ class Block:
         return by_word[self.codes], pairs, triples
 
 
-def traverse(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: np.ndarray, total: float, weights: tuple[float, float] = WEIGHTS) -> np.ndarray:
-    """log10 of each token's probability along the automaton's path over texts that begin at ``starts``.
+class Automaton:
+    """The backoff automaton as far as a block's texts can reach it: states, their arcs and failure arcs as arrays.
 
-    States are the histories of up to two words that training texts hold; the
-    state carried over a token is the longest of them that ends there. A state
-    h has an arc for every n-gram hw of the corpus, of weight (c(hw) + m P(w |
-    shorter h)) / (c(h) + m), and a failure arc to the shorter history of weight
-    m / (c(h) + m), m being WEIGHTS' number: each state's probabilities sum to
-    one. The root has all words by (c + 1) / total, of which unseen ones are
-    one. All positions take their step at once, shorter histories first, as
-    counts alone say which state is carried and which arcs it lacks.
+    States are histories of up to two words that training texts hold: the root
+    (0), one for each word, one for each pair. A state h has an arc for every
+    n-gram hw of the corpus, of weight (c(hw) + m P(w | shorter h)) / (c(h) + m)
+    with m of WEIGHTS, to the longest history that ends in w; and a failure arc
+    to the shorter history of weight m / (c(h) + m), so each state's
+    probabilities sum to one. The root has all words by (c + 1) / total, of
+    which unseen ones are one. Weights are kept as log10.
     """
-    probability = (words + 1) / total
-    for counts, of, weight in ((pairs, words, weights[0]), (triples, pairs, weights[1])):
-        history = np.r_[0.0, of[:-1]]
-        history[starts] = 0  # the root is carried into a text
-        # Without the arc what remains is the failure arc's weight times the shorter history's probability.
-        probability = (counts + weight * probability) / (history + weight)
-    return np.log10(probability)
+
+    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: float, weights: tuple[float, float] = WEIGHTS) -> None:
+        codes, n = block.codes, len(block.hashes)
+        count = np.zeros(n)
+        count[codes] = words
+        # Distinct pairs and triples that the corpus holds, by where they end; a pair is known by two codes, a triple by its pair and a code.
+        ends = np.flatnonzero(block.second & (pairs > 0))
+        keys, first, pair_of = np.unique(codes[ends - 1] * n + codes[ends], return_index=True, return_inverse=True)
+        own = ends[first]
+        state = np.full(len(codes), -1)
+        state[ends] = pair_of
+        long = np.flatnonzero(block.third & (triples > 0))
+        triple_keys, triple_first = np.unique(state[long - 1] * n + codes[long], return_index=True)
+        last = long[triple_first]
+
+        seen = np.flatnonzero(count > 0)
+        single = np.zeros(n, np.int64)  # of a word: its state; the root where the corpus has none of it
+        single[seen] = np.arange(1, len(seen) + 1)
+        base = len(seen) + 1
+        root = (count + 1) / total
+        second = (pairs[own] + weights[0] * root[codes[own]]) / (count[codes[own - 1]] + weights[0])
+        by_pair = np.zeros(len(codes))
+        by_pair[ends] = second[pair_of]
+        third = (triples[last] + weights[1] * by_pair[last]) / (pairs[last - 1] + weights[1])
+        self.root, self.single, self.n = np.log10(root), single, n
+        #: Arcs of longer histories, by state and word.
+        arcs = np.r_[single[codes[own - 1]] * n + codes[own], (base + state[last - 1]) * n + codes[last]]
+        target, weight = np.r_[base + np.arange(len(own)), base + state[last]], np.log10(np.r_[second, third])
+        order = np.argsort(arcs)
+        self.arcs, self.target, self.weight = arcs[order], target[order], weight[order]
+        #: Failure arcs by state.
+        self.shorter = np.r_[0, np.zeros(len(seen), np.int64), single[codes[own]]]
+        self.failure = np.log10(np.r_[1.0, weights[0] / (count[seen] + weights[0]), weights[1] / (pairs[own] + weights[1])])
+
+    def walk(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 of each text's probability: one traversal from left to right, all texts side by side, each with its own state."""
+        state, total = np.zeros(len(starts), np.int64), np.zeros(len(starts))
+        order = np.argsort(-lengths, kind="stable")
+        ongoing = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), "left")
+        for step, left in enumerate(ongoing.tolist()):
+            at = order[:left]  # texts with a token at this step
+            word, now, sums = codes[starts[at] + step], state[at], total[at]
+            open_ = np.arange(left)
+            while len(open_):
+                # At the root every word has an arc; elsewhere without one the failure arc is taken.
+                here, asked = now[open_], word[open_]
+                place = np.minimum(np.searchsorted(self.arcs, here * self.n + asked), max(len(self.arcs) - 1, 0))
+                hit = (self.arcs[place] == here * self.n + asked) if len(self.arcs) else np.zeros(len(open_), bool)
+                by_root = ~hit & (here == 0)
+                fails = ~hit & ~by_root
+                sums[open_[hit]] += self.weight[place[hit]]
+                now[open_[hit]] = self.target[place[hit]]
+                sums[open_[by_root]] += self.root[asked[by_root]]
+                now[open_[by_root]] = self.single[asked[by_root]]
+                open_ = open_[fails]
+                sums[open_] += self.failure[now[open_]]
+                now[open_] = self.shorter[now[open_]]
+            state[at], total[at] = now, sums
+        return total
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -253,10 +304,12 @@ def score(docs: DataFrame) -> DataFrame:
     All words, pairs and triples of all training texts count; none is dropped.
     Blocks of texts ask parts, which n-grams are dealt to by hash, for the
     corpus counts of the n-grams they hold, each once, so that a frequent one
-    burdens no part. Words are told apart by 64 bits of their hash, n-grams by
-    40 bits within a part (an unseen one is taken for another's once in some
-    100,000 times). What is shuffled grows with the corpus; two numbers reach
-    the driver. Null texts are the end alone; null ids count as the id "" for
+    burdens no part; a row between a block and a part holds an n-gram at least,
+    so rows grow with the corpus and no faster. The block then builds the
+    automaton of what its texts can reach and walks it. Words are told apart by
+    64 bits of their hash, n-grams by 40 bits within a part (an unseen one is
+    taken for another's once in some 100,000 times). What is shuffled grows with
+    the corpus; two numbers reach the driver. Null texts are the end alone; null ids count as the id "" for
     the split; repeated rows and extra columns are passed by; an empty table
     gives an empty one.
     """
@@ -271,10 +324,10 @@ def score(docs: DataFrame) -> DataFrame:
         counts = [_got(x) for x in right.sort_by("part")["counts"].to_pylist()]
         n_words = right.sort_by("part")["n_words"].to_pylist()
         words, pairs, triples = block.answered(np.concatenate([c[:n] for c, n in zip(counts, n_words, strict=True)]), np.concatenate([c[n:] for c, n in zip(counts, n_words, strict=True)]))
-        path = traverse(words, pairs, triples, block.starts, total)
+        path = Automaton(block, words, pairs, triples, total).walk(block.codes, block.starts, block.lengths)
         ids = left["ids"].combine_chunks().flatten()
-        sums = [np.add.reduceat(x, block.starts) for x in ((words > 0).astype(np.int64), np.log10((words + 1) / total), path)]
-        columns = [ids, pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(ids), tokens)), pa.array(sums[1]), pa.array(sums[2])]
+        sums = [np.add.reduceat(x, block.starts) for x in ((words > 0).astype(np.int64), np.log10((words + 1) / total))]
+        columns = [ids, pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(ids), tokens)), pa.array(sums[1]), pa.array(path)]
         return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
