@@ -17,6 +17,8 @@ MODULUS, HELD_OUT = 7, 2
 WEIGHTS = (500.0, 20.0)
 #: Bytes of text in a block, n-gram tokens aimed at in a part, and the least number of parts.
 BLOCK_BYTES, PART_TOKENS, LEAST_PARTS = 6 << 20, 2_000_000, 64
+#: Tokens of texts that one automaton is made for; a longer text has one of its own.
+AUTOMATON_TOKENS = 1 << 18
 #: Bits of an n-gram's hash that choose its part, and bits that tell it from others there.
 PART_BITS, KEY_BITS = 23, 40
 SEED = 42
@@ -130,7 +132,7 @@ class Block:
 
 
 class Automaton:
-    """The backoff automaton as far as a block's texts can reach it: states, their arcs and failure arcs as arrays.
+    """The backoff automaton as far as some texts of a block can reach it: states, their arcs and failure arcs as arrays.
 
     States are histories of up to two words that training texts hold: the root
     (0), one for each word, one for each pair. A state h has an arc for every
@@ -141,17 +143,17 @@ class Automaton:
     which unseen ones are one. Weights are kept as log10.
     """
 
-    def __init__(self, block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: float, weights: tuple[float, float] = WEIGHTS) -> None:
-        codes, n = block.codes, len(block.hashes)
+    def __init__(self, codes: np.ndarray, second: np.ndarray, third: np.ndarray, n: int, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: float, weights: tuple[float, float] = WEIGHTS) -> None:
+        """``codes`` are words below ``n``; ``second`` and ``third`` say where a pair and a triple of a text end; the rest are corpus counts of what ends there."""
         count = np.zeros(n)
         count[codes] = words
         # Distinct pairs and triples that the corpus holds, by where they end; a pair is known by two codes, a triple by its pair and a code.
-        ends = np.flatnonzero(block.second & (pairs > 0))
+        ends = np.flatnonzero(second & (pairs > 0))
         keys, first, pair_of = np.unique(codes[ends - 1] * n + codes[ends], return_index=True, return_inverse=True)
         own = ends[first]
         state = np.full(len(codes), -1)
         state[ends] = pair_of
-        long = np.flatnonzero(block.third & (triples > 0))
+        long = np.flatnonzero(third & (triples > 0))
         triple_keys, triple_first = np.unique(state[long - 1] * n + codes[long], return_index=True)
         last = long[triple_first]
 
@@ -160,14 +162,14 @@ class Automaton:
         single[seen] = np.arange(1, len(seen) + 1)
         base = len(seen) + 1
         root = (count + 1) / total
-        second = (pairs[own] + weights[0] * root[codes[own]]) / (count[codes[own - 1]] + weights[0])
+        by_own = (pairs[own] + weights[0] * root[codes[own]]) / (count[codes[own - 1]] + weights[0])
         by_pair = np.zeros(len(codes))
-        by_pair[ends] = second[pair_of]
-        third = (triples[last] + weights[1] * by_pair[last]) / (pairs[last - 1] + weights[1])
+        by_pair[ends] = by_own[pair_of]
+        by_last = (triples[last] + weights[1] * by_pair[last]) / (pairs[last - 1] + weights[1])
         self.root, self.single, self.n = np.log10(root), single, n
         #: Arcs of longer histories, by state and word.
         arcs = np.r_[single[codes[own - 1]] * n + codes[own], (base + state[last - 1]) * n + codes[last]]
-        target, weight = np.r_[base + np.arange(len(own)), base + state[last]], np.log10(np.r_[second, third])
+        target, weight = np.r_[base + np.arange(len(own)), base + state[last]], np.log10(np.r_[by_own, by_last])
         order = np.argsort(arcs)
         self.arcs, self.target, self.weight = arcs[order], target[order], weight[order]
         #: Failure arcs by state.
@@ -201,6 +203,19 @@ class Automaton:
         return total
 
 
+def _path(block: Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, total: float) -> np.ndarray:
+    """log10 of each text's probability, by automata of some texts at a time."""
+    out, first = np.zeros(len(block.lengths)), 0
+    ends = np.cumsum(block.lengths)
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, block.starts[first] + AUTOMATON_TOKENS, "right")))
+        part = slice(int(block.starts[first]), int(ends[last - 1]))
+        made = Automaton(block.codes[part], block.second[part], block.third[part], len(block.hashes), words[part], pairs[part], triples[part], total)
+        out[first:last] = made.walk(block.codes[part], block.starts[first:last] - part.start, block.lengths[first:last])
+        first = last
+    return out
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Texts in blocks of about BLOCK_BYTES: words as codes and what they are hashed to. Columns: BLOCK_SCHEMA."""
 
@@ -324,7 +339,7 @@ def score(docs: DataFrame) -> DataFrame:
         counts = [_got(x) for x in right.sort_by("part")["counts"].to_pylist()]
         n_words = right.sort_by("part")["n_words"].to_pylist()
         words, pairs, triples = block.answered(np.concatenate([c[:n] for c, n in zip(counts, n_words, strict=True)]), np.concatenate([c[n:] for c, n in zip(counts, n_words, strict=True)]))
-        path = Automaton(block, words, pairs, triples, total).walk(block.codes, block.starts, block.lengths)
+        path = _path(block, words, pairs, triples, total)
         ids = left["ids"].combine_chunks().flatten()
         sums = [np.add.reduceat(x, block.starts) for x in ((words > 0).astype(np.int64), np.log10((words + 1) / total))]
         columns = [ids, pa.array(block.lengths), pa.array(sums[0]), pa.array(np.full(len(ids), tokens)), pa.array(sums[1]), pa.array(path)]

@@ -358,8 +358,9 @@ def test_language_model(spark, docs, empty, rows, monkeypatch):
         (len(own), sum(counts[(w,)] > 0 for w in own), round(sum(math.log10((counts[(w,)] + 1) / model.total) for w in own), 6), round(model.score(own), 6))
         for _, own in tokens
     )
-    for size in (lm.BLOCK_BYTES, 2000):
+    for size, tokens_at_once in ((lm.BLOCK_BYTES, lm.AUTOMATON_TOKENS), (2000, 100)):
         monkeypatch.setattr(lm, "BLOCK_BYTES", size)
+        monkeypatch.setattr(lm, "AUTOMATON_TOKENS", tokens_at_once)
         found = lm.score(docs).collect()
         assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in found) == expected
         assert {r["train_tokens"] for r in found} == {n}
