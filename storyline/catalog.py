@@ -495,29 +495,29 @@ def search_bm25(spark, d):
     return search.bm25(search.postings(headlines(spark, d)), ["the", "und", "de"]).select("id", F.round("rank", 6).alias("rank"))
 
 
-WORDS = f"{HEADS}, tk AS (SELECT id, regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}]+') AS w FROM hd), ws AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM tk)"
+SPLIT = f"{HEADS}, tk AS (SELECT id, regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}]+') AS w FROM hd), ws AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM tk)"
 
 
 def _match(spark, d, expression):
     return search.Match(expression).keys(search.positional(headlines(spark, d)))
 
 
-@query(f"WITH {WORDS} SELECT id FROM ws WHERE list_contains(w, 'und') OR list_contains(w, 'que')")
+@query(f"WITH {SPLIT} SELECT id FROM ws WHERE list_contains(w, 'und') OR list_contains(w, 'que')")
 def match_or(spark, d):
     return _match(spark, d, "und OR Que")
 
 
-@query(f"WITH {WORDS} SELECT id FROM ws WHERE (list_contains(w, 'the') OR list_contains(w, 'la')) AND NOT list_contains(w, 'of')")
+@query(f"WITH {SPLIT} SELECT id FROM ws WHERE (list_contains(w, 'the') OR list_contains(w, 'la')) AND NOT list_contains(w, 'of')")
 def match_not(spark, d):
     return _match(spark, d, "(the OR la) NOT of")
 
 
-@query(f"WITH {WORDS} SELECT id FROM ws WHERE contains(t, ' of the ') OR contains(t, ' in der ')")
+@query(f"WITH {SPLIT} SELECT id FROM ws WHERE contains(t, ' of the ') OR contains(t, ' in der ')")
 def match_phrase(spark, d):
     return _match(spark, d, '"of the" OR in + der')
 
 
-@query(f"WITH {WORDS} SELECT id FROM ws WHERE len(list_filter(w, lambda x: starts_with(x, 'ero'))) > 0 AND contains(t, ' the th')")
+@query(f"WITH {SPLIT} SELECT id FROM ws WHERE len(list_filter(w, lambda x: starts_with(x, 'ero'))) > 0 AND contains(t, ' the th')")
 def match_prefix(spark, d):
     return _match(spark, d, 'éro* AND "the th" *')
 
