@@ -30,6 +30,8 @@ class ClusterConfig:
     token_overlap: int = 0
     best_match: bool = False
     strip_outlets: bool = False
+    #: Whether similar titles are sought by the approximate index instead of among all, for very many open stories.
+    approximate: bool = False
 
     @property
     def gap(self) -> int:
@@ -255,7 +257,7 @@ def cluster(articles: DataFrame, topics: DataFrame, stories: DataFrame | None =
         ties = seeds.select(F.col("story.norm").alias("a"), F.col("story.leader.norm").alias("b")).where("a != b")
     else:
         rows = rows.withColumn("story", F.lit(None).cast(_replayed_type("story")))
-    pairs = similar_titles(norms.distinct(), config.threshold, key="numbers").select("a", "b")
+    pairs = similar_titles(norms.distinct(), config.threshold, key="numbers", approximate=config.approximate).select("a", "b")
     parts = connected_components(pairs if ties is None else pairs.unionByName(ties))
     placed = rows.join(parts.withColumnRenamed("node", "norm"), "norm", "left").withColumn("component", F.coalesce("component", "norm"))
     placed = durable(placed.withColumn("bucket", F.floor(F.col("at") / max(config.gap, 1))).drop("norm"))
