@@ -492,7 +492,8 @@ def search_and(spark, d):
 @query(f"""WITH {TERMS}, sz AS (SELECT count(*) AS docs, avg(len) AS mean FROM (SELECT id, any_value(len) AS len FROM ps GROUP BY id)), df AS (SELECT term, count(*) AS df FROM ps GROUP BY term)
 SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean)))), 6) AS rank FROM ps JOIN df USING (term), sz WHERE term IN ('the', 'und', 'de') GROUP BY id""")
 def search_bm25(spark, d):
-    return search.bm25(search.postings(headlines(spark, d)), ["the", "und", "de"]).select("id", F.round("rank", 6).alias("rank"))
+    rows = headlines(spark, d)
+    return search.bm25(search.postings(rows), ["the", "und", "de"], size=search.sizes(rows)).select("id", F.round("rank", 6).alias("rank"))
 
 
 SPLIT = f"{HEADS}, tk AS (SELECT id, regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}]+') AS w FROM hd), ws AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM tk)"

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.store import Store, Transaction
 from .durable import durable
@@ -21,9 +21,19 @@ DOCS = "id string, hash long, length int, alive boolean, segment long"
 
 def postings(rows: DataFrame, key: str = "id", text: str = "title") -> DataFrame:
     """``(key, term, tf, length)``: lower-case runs of letters and digits."""
-    terms = rows.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))).alias("term"))
-    lengths = F.sum("tf").over(Window.partitionBy(key))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf")).withColumn("length", lengths)
+    listed = rows.select(key, _terms(text).alias("terms"))
+    terms = listed.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    # A filter on terms reaches below this aggregate.
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").cast("long").alias("length"))
+
+
+def sizes(rows: DataFrame, text: str = "title") -> DataFrame:
+    """One row: ``docs`` with any term, and the ``mean`` of their terms."""
+    return rows.select(F.size(_terms(text)).alias("length")).where("length > 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+
+
+def _terms(text: str) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(1))
 
 
 def matches_all(index: DataFrame, terms: list[str], key: str = "id") -> DataFrame:

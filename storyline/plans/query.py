@@ -54,7 +54,7 @@ def highlighted(text: Column, terms: list[str], before: str = "<b>", after: str
 def search_answer(rows: DataFrame, terms: list[str], most: int = MOST, key: str = "id", text: str = "title") -> DataFrame:
     """The ``most`` best texts that hold every term: ``(key, rank, highlight)``, ties by key."""
     index = search.postings(rows, key, text)
-    found = search.bm25(index, terms, key).join(search.matches_all(index, terms, key), key, "left_semi")
+    found = search.bm25(index, terms, key, search.sizes(rows, text)).join(search.matches_all(index, terms, key), key, "left_semi")
     return found.orderBy(F.desc("rank"), key).limit(most).join(rows, key).select(key, "rank", highlighted(F.col(text), terms).alias("highlight"))
 
 
