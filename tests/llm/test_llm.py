@@ -609,6 +609,6 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
 
 
 def test_queries_are_registered():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert isinstance(T.StructType(), T.DataType)
