@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingle similarity of 0.8 or more, that of the least doc_id."""
+    """One document of each group linked by five-word shingle similarity of 0.8 or more, that of the least doc_id; SimHash and MinHash find the pairs."""
     return shingles.keep_one(docs)
 
 

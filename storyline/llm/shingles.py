@@ -1,4 +1,8 @@
-"""Near-duplicates by five-word shingle similarity: MinHash bands find candidates, whole shingle sets decide."""
+"""Near-duplicates by five-word shingle similarity: SimHash with Golay keys finds candidates, whole shingle sets decide.
+
+SimHash reaches pairs within 3 bits; for those at a similarity of 0.8 or more
+that lie farther apart, MinHash bands find further candidates.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.components import connected_components
 from ..operators.durable import durable
-from .simhash import _Forest
+from .simhash import _Forest, fingerprint_of, linked_fingerprints
 from .text import free_names, one_row, pieces
 
 #: Words of a shingle, least similarity (a ratio of whole numbers), the hash's seed.
@@ -23,8 +27,8 @@ BLOCK = 1 << 14
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles. Fewer than WIDTH words are one shingle; no words have none."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Hashes of the text's shingles, in order. Fewer than WIDTH words are one shingle; no words have none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
@@ -32,7 +36,12 @@ def shingle_set(text: str | None) -> np.ndarray:
         shingles = [b" ".join(words)] if words else []
     else:
         shingles = map(b" ".join, zip(*(words[k:] for k in range(WIDTH)), strict=False))
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+    return np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's shingles."""
+    return np.unique(shingle_hashes(text))
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
@@ -50,19 +59,21 @@ def band_keys(own: np.ndarray) -> np.ndarray:
 
 
 def _with_set(docs: DataFrame, name: str) -> DataFrame:
-    """``docs``, their shingle set's hash as ``name`` and the set's band keys as ``name``_keys."""
+    """``docs``, their shingle set's hash as ``name``, the set's band keys as ``name``_keys and the SimHash of all shingles as ``name``_fp."""
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in pieces(batches, "text"):
-            sets = [shingle_set(x) for x in batch["text"].to_pylist()]
+            hashes = [shingle_hashes(x) for x in batch["text"].to_pylist()]
+            prints = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in hashes]
             marks = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(marks), keys], names=[*columns, name, f"{name}_keys"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(marks), keys, pa.array(prints)], names=[*columns, name, f"{name}_keys", f"{name}_fp"])
 
-    added = [T.StructField(name, T.LongType()), T.StructField(f"{name}_keys", T.ArrayType(T.LongType()))]
+    added = [T.StructField(name, T.LongType()), T.StructField(f"{name}_keys", T.ArrayType(T.LongType())), T.StructField(f"{name}_fp", T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
@@ -97,6 +108,41 @@ def bucket_links(marks: list[int], sets: list[np.ndarray], forest: _Forest) -> I
                 yield marks[row], marks[other]
 
 
+def alike(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sets of distinct hashes reach SIMILAR, in whole numbers."""
+    return sum(SIMILAR) * len(np.intersect1d(one, other, True)) >= SIMILAR[0] * (len(one) + len(other))
+
+
+def _sets(marked: DataFrame, name: str, marks: DataFrame) -> DataFrame:
+    """``(mark, set)`` of the ``marks`` asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [shingle_set(x).tobytes() for x in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["mark"], pa.array(sets, pa.binary())], names=["mark", "set"])
+
+    texts = marked.select(F.col(name).alias("mark"), "text").join(marks.distinct(), "mark", "left_semi")
+    return texts.mapInArrow(run, "mark long, set binary").dropDuplicates(["mark"])
+
+
+def _near_prints(marked: DataFrame, name: str) -> DataFrame:
+    """``(a, b)`` links between marks of similar sets that SimHash finds: of one fingerprint, or of two that Golay keys link."""
+    prints = durable(marked.where(F.size(f"{name}_keys") > 0).groupBy(F.col(f"{name}_fp").alias("fp"), F.col(name).alias("mark")).agg(F.count("*").alias("n")).drop("n"))
+    first = durable(prints.groupBy("fp").agg(F.min("mark").alias("first")))
+    equal = prints.join(first, "fp").where("mark != first").select(F.col("first").alias("a"), F.col("mark").alias("b"))
+    apart = linked_fingerprints(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    met = durable(equal.unionByName(apart.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    sets = durable(_sets(marked, name, met.select(F.col("a").alias("mark")).unionByName(met.select(F.col("b").alias("mark")))))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "one"):
+            near = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["one"].to_pylist(), batch["other"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = met.join(sets.select(F.col("mark").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("mark").alias("b"), F.col("set").alias("other")), "b")
+    return both.select("a", "b", "one", "other").mapInArrow(check, "a long, b long")
+
+
 def _links(marked: DataFrame, name: str) -> DataFrame:
     """``(a, b)`` links between marks of different sets that join all similar ones sharing a band key."""
     keyed = durable(marked.select(F.explode(f"{name}_keys").alias("key"), F.col(name).alias("mark")).distinct().repartition("key"))
@@ -105,11 +151,6 @@ def _links(marked: DataFrame, name: str) -> DataFrame:
     buckets = met.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key")
     rows = durable(keyed.join(buckets, "key"))
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            sets = [shingle_set(x).tobytes() for x in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["mark"], pa.array(sets, pa.binary())], names=["mark", "set"])
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, key, marks, sets = _Forest(), None, [], []
 
@@ -126,9 +167,7 @@ def _links(marked: DataFrame, name: str) -> DataFrame:
                 sets.append(np.frombuffer(data, np.uint64))
         yield links()
 
-    texts = marked.select(F.col(name).alias("mark"), "text").join(rows.select("mark").distinct(), "mark", "left_semi")
-    sets = texts.mapInArrow(sets_of, "mark long, set binary").dropDuplicates(["mark"])
-    return rows.join(sets, "mark").select("key", "mark", "set").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    return rows.join(_sets(marked, name, rows.select("mark")), "mark").select("key", "mark", "set").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -139,12 +178,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are one group. An empty table gives an empty one.
     """
     mark = "_set"
-    while {mark, f"{mark}_keys"} & set(map(str.lower, docs.columns)):
+    while {mark, f"{mark}_keys", f"{mark}_fp"} & set(map(str.lower, docs.columns)):
         mark = f"_{mark}"
-    chosen_mark, chosen_id, own_id = free_names([*docs.columns, mark, f"{mark}_keys"], "chosen", "chosen_id", "own_id")
+    chosen_mark, chosen_id, own_id = free_names([*docs.columns, mark, f"{mark}_keys", f"{mark}_fp"], "chosen", "chosen_id", "own_id")
     marked = durable(_with_set(docs, mark))
     distinct = durable(marked.groupBy(F.col(mark).alias("mark")).agg(F.min(F.col("doc_id").cast("long")).alias("least")))
-    joined = connected_components(_links(marked, mark)).withColumnRenamed("node", "mark")
+    joined = connected_components(_near_prints(marked, mark).unionByName(_links(marked, mark))).withColumnRenamed("node", "mark")
     labelled = distinct.join(joined, "mark", "left").select("mark", "least", F.coalesce("component", "mark").alias("component"))
     # Structs order nulls first, so whether the id is missing comes before it.
     best = F.min(F.struct(F.col("least").isNull(), "least", "mark")).alias("best")

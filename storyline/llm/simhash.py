@@ -53,17 +53,26 @@ def _fingerprint(words: list[bytes], width: int) -> int:
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
-    votes = np.zeros(64, np.int64)
+    blocks = []
     for at in range(0, n, BLOCK):
         if n == 1:
             shingles = [b" ".join(words)]
         else:
             part = words[at : at + BLOCK + width - 1]
             shingles = map(b" ".join, zip(*(part[k:] for k in range(width)), strict=False))
-        hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        blocks.append(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
+    return fingerprint_of(np.concatenate(blocks))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles by their hashes, repeats included; none have 0."""
+    if not len(hashes):
+        return 0
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
 class Golay:

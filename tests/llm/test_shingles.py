@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from storyline.llm import shingles as module, simhash
 from tests.llm.test_llm import SCHEMA, brute_components
 
 
@@ -46,3 +47,29 @@ def test_near_copies_from_four_fifths_on(spark):
     assert sorted(k for k in found if k is not None) == sorted({c for c in labels if c is not None})
     assert found.count(None) == 1
     assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_finds_links_that_sets_confirm(spark):
+    """SimHash with Golay keys alone: all links within 3 bits join, and no pair below four fifths does."""
+    dice = random.Random(9)
+    rows = []
+    for group in range(30):
+        words = dice.choices([f"w{k}" for k in range(2000)], k=900)
+        for copy in range(3):
+            changed = list(words)
+            for at in dice.sample(range(900), copy):
+                changed[at] = "other"
+            rows.append((10 * group + copy, " ".join(changed)))
+    # Few distinct shingles, unlike numbers of repeats: one majority, sets far apart.
+    rows += [(1000, "a b c d e " * 50), (1001, "a b c d e " * 50 + " ".join(f"x{k}" for k in range(9)))]
+    docs = spark.createDataFrame([(k, t, "en", "s", None, "clash") for k, t in rows], SCHEMA).repartition(3)
+    marked = module._with_set(docs, "_set").localCheckpoint()
+    of = {r["doc_id"]: (r["_set"], r["_set_fp"] % (1 << 64)) for r in marked.collect()}
+    assert all(fp == simhash._fingerprint(t.encode().split(), module.WIDTH) for (k, t), fp in ((r, of[r[0]][1]) for r in rows))
+    found = {frozenset((r["a"], r["b"])) for r in module._near_prints(marked, "_set").collect()}
+    sets = {of[k][0]: shingles(t) for k, t in rows}
+    assert found and all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in map(tuple, found))
+    near = [(k, j) for k, _ in rows for j, _ in rows if k < j and (of[k][1] ^ of[j][1]).bit_count() <= 3 and of[k][0] != of[j][0]]
+    near = [(k, j) for k, j in near if 5 * len(sets[of[k][0]] & sets[of[j][0]]) >= 4 * len(sets[of[k][0]] | sets[of[j][0]])]
+    labels = brute_components(sorted(of), lambda x, y: frozenset((of[sorted(of)[x]][0], of[sorted(of)[y]][0])) in found)
+    assert near and all(labels[sorted(of).index(k)] == labels[sorted(of).index(j)] for k, j in near)
