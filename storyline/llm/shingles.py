@@ -10,10 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..operators.components import connected_components
-from ..operators.durable import durable
+from ..operators.durable import durable, release
 from .simhash import _Forest, fingerprint_of, linked_fingerprints
 from .text import free_names, one_row, pieces
 
@@ -23,6 +23,10 @@ WIDTH, SIMILAR, SEED = 5, (4, 5), 42
 BANDS, ROWS = 24, 4
 #: Shingles whose MinHashes are taken at a time.
 BLOCK = 1 << 14
+#: Bits of the bitmap of marks, 4 MB.
+BITS = 1 << 25
+#: Ends of the names of the columns added to a mark.
+ADDED = ("keys", "fp")
 
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -71,7 +75,7 @@ def _with_set(docs: DataFrame, name: str) -> DataFrame:
             sets = [np.unique(h) for h in hashes]
             marks = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([band_keys(s) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(marks), keys, pa.array(prints)], names=[*columns, name, f"{name}_keys", f"{name}_fp"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(marks), keys, pa.array(prints)], names=[*columns, name, *(f"{name}_{x}" for x in ADDED)])
 
     added = [T.StructField(name, T.LongType()), T.StructField(f"{name}_keys", T.ArrayType(T.LongType())), T.StructField(f"{name}_fp", T.LongType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
@@ -113,6 +117,27 @@ def alike(one: np.ndarray, other: np.ndarray) -> bool:
     return sum(SIMILAR) * len(np.intersect1d(one, other, True)) >= SIMILAR[0] * (len(one) + len(other))
 
 
+def _flagged(rows: DataFrame, name: str, marks: DataFrame, flag: str) -> DataFrame:
+    """``rows`` and whether their mark may be among ``marks``: false is certain, so that such rows need no shuffle to be told apart.
+
+    A bitmap of fixed size, broadcast; the more marks there are, the oftener others share their bits.
+    """
+    bucket, bits = free_names(rows.columns, "bucket", "bits")
+    places = marks.select(F.expr(f"pmod(mark, {BITS})").alias("place"))
+    maps = places.groupBy(F.expr("bitmap_bucket_number(place)").alias(bucket)).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias(bits))
+    at = f"bitmap_bit_position(pmod(`{name}`, {BITS}))"
+    byte = f"cast(conv(hex(substring({bits}, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    bit = F.expr(f"coalesce(getbit({byte}, cast({at} % 8 as int)) = 1, false)")
+    found = rows.join(F.broadcast(maps), F.expr(f"bitmap_bucket_number(pmod(`{name}`, {BITS}))") == F.col(bucket), "left")
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), bit.alias(flag))
+
+
+def _texts(marked: DataFrame, name: str, marks: DataFrame) -> DataFrame:
+    """``(mark, text)``, one text of each of the ``marks`` asked for and of few others, dealt by mark."""
+    texts = _flagged(marked.select(F.col(name).alias("mark"), "text"), "mark", marks, "asked").where("asked")
+    return texts.groupBy("mark").agg(F.min("text").alias("text"))
+
+
 def _sets(marked: DataFrame, name: str, marks: DataFrame) -> DataFrame:
     """``(mark, set)`` of the ``marks`` asked for."""
 
@@ -121,8 +146,7 @@ def _sets(marked: DataFrame, name: str, marks: DataFrame) -> DataFrame:
             sets = [shingle_set(x).tobytes() for x in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["mark"], pa.array(sets, pa.binary())], names=["mark", "set"])
 
-    texts = marked.select(F.col(name).alias("mark"), "text").join(marks.distinct(), "mark", "left_semi")
-    return texts.mapInArrow(run, "mark long, set binary").dropDuplicates(["mark"])
+    return _texts(marked, name, marks).join(marks.distinct(), "mark", "left_semi").select("mark", "text").mapInArrow(run, "mark long, set binary")
 
 
 def _near_prints(marked: DataFrame, name: str) -> DataFrame:
@@ -143,13 +167,30 @@ def _near_prints(marked: DataFrame, name: str) -> DataFrame:
     return both.select("a", "b", "one", "other").mapInArrow(check, "a long, b long")
 
 
+def _bands(marked: DataFrame, name: str) -> DataFrame:
+    """``(mark, keys)``: each mark's band keys (BANDS at most) that bring it together with others; of keys that bring the same ones, one."""
+    sets = marked.groupBy(F.col(name).alias("mark")).agg(F.min(f"{name}_keys").alias("keys"))
+    own = Window.partitionBy("key")
+    keyed = sets.select(F.explode("keys").alias("key"), "mark")
+    met = durable(keyed.withColumns({"n": F.count("*").over(own), "least": F.min("mark").over(own), "all": F.expr("bit_xor(xxhash64(mark))").over(own)}).where("n > 1"))
+    buckets = met.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key")
+    bands = durable(met.join(buckets, "key").groupBy("mark").agg(F.collect_list("key").alias("keys")))
+    release(met)
+    return bands
+
+
 def _links(marked: DataFrame, name: str) -> DataFrame:
     """``(a, b)`` links between marks of different sets that join all similar ones sharing a band key."""
-    keyed = durable(marked.select(F.explode(f"{name}_keys").alias("key"), F.col(name).alias("mark")).distinct().repartition("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("least"), F.expr("bit_xor(xxhash64(mark))").alias("all")).where("n > 1")
-    # Bands that bring the same sets together are compared once.
-    buckets = met.groupBy("n", "least", "all").agg(F.min("key").alias("key")).select("key")
-    rows = durable(keyed.join(buckets, "key"))
+    bands = _bands(marked, name)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = pa.array([shingle_set(x).tobytes() for x in batch["text"].to_pylist()], pa.binary())
+            keys = batch["keys"].to_pylist()
+            for k in range(max(map(len, keys))):
+                rows = [row for row, own in enumerate(keys) if len(own) > k]
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([keys[row][k] for row in rows], pa.int64()), batch["mark"].take(at), sets.take(at)], names=["key", "mark", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, key, marks, sets = _Forest(), None, [], []
@@ -167,7 +208,9 @@ def _links(marked: DataFrame, name: str) -> DataFrame:
                 sets.append(np.frombuffer(data, np.uint64))
         yield links()
 
-    return rows.join(_sets(marked, name, rows.select("mark")), "mark").select("key", "mark", "set").repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+    # A mark's set is made once and goes to each of its keys (BANDS at most); no table of sets is kept.
+    rows = _texts(marked, name, bands).join(bands, "mark").select("mark", "keys", "text").mapInArrow(spread, "key long, mark long, set binary")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -178,16 +221,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are one group. An empty table gives an empty one.
     """
     mark = "_set"
-    while {mark, f"{mark}_keys", f"{mark}_fp"} & set(map(str.lower, docs.columns)):
+    while {mark, *(f"{mark}_{x}" for x in ADDED)} & set(map(str.lower, docs.columns)):
         mark = f"_{mark}"
-    chosen_mark, chosen_id, own_id = free_names([*docs.columns, mark, f"{mark}_keys", f"{mark}_fp"], "chosen", "chosen_id", "own_id")
-    marked = durable(_with_set(docs, mark))
-    distinct = durable(marked.groupBy(F.col(mark).alias("mark")).agg(F.min(F.col("doc_id").cast("long")).alias("least")))
+    chosen_mark, chosen_id, own_id, flag = free_names([*docs.columns, mark, *(f"{mark}_{x}" for x in ADDED)], "chosen", "chosen_id", "own_id", "flag")
+    marked = durable(_with_set(docs, mark), compression="zstd")
+    distinct = durable(marked.groupBy(F.col(mark).alias("mark")).agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.count("*").alias("n")))
     joined = connected_components(_near_prints(marked, mark).unionByName(_links(marked, mark))).withColumnRenamed("node", "mark")
-    labelled = distinct.join(joined, "mark", "left").select("mark", "least", F.coalesce("component", "mark").alias("component"))
+    labelled = distinct.join(joined, "mark", "left").select("mark", "least", "n", F.coalesce("component", "mark").alias("component"))
     # Structs order nulls first, so whether the id is missing comes before it.
-    best = F.min(F.struct(F.col("least").isNull(), "least", "mark")).alias("best")
-    chosen = labelled.groupBy("component").agg(best).select(F.col("best.mark").alias(chosen_mark), F.col("best.least").alias(chosen_id))
+    best = F.min(F.struct(F.col("least").isNull(), "least", "mark", "n")).alias("best")
+    groups = durable(labelled.groupBy("component").agg(best, F.sum("n").alias("n")))
+    chosen = groups.select(F.col("best.mark").alias(chosen_mark), F.col("best.least").alias(chosen_id), F.col("best.n").alias("n"))
+    # Rows that are a group of their own stay where they are; the others are looked up.
+    shared = labelled.join(groups.where("n > 1").select("component"), "component", "left_semi").select("mark")
+    told = _flagged(marked, mark, shared, flag)
     same = (F.col(mark) == F.col(chosen_mark)) & F.col("doc_id").cast("long").eqNullSafe(F.col(chosen_id))
-    kept = marked.join(chosen, same, "left_semi").withColumn(own_id, F.col("doc_id"))
-    return one_row(kept, docs.columns, [own_id, mark])
+    alone = told.where(~F.col(flag))
+    single = told.where(flag).join(chosen.where("n = 1"), same, "left_semi")
+    several = told.where(flag).join(chosen.where("n > 1"), same, "left_semi").withColumn(own_id, F.col("doc_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return alone.select(columns).unionByName(single.select(columns)).unionByName(one_row(several, docs.columns, [own_id, mark]))

@@ -73,3 +73,27 @@ def test_simhash_finds_links_that_sets_confirm(spark):
     near = [(k, j) for k, j in near if 5 * len(sets[of[k][0]] & sets[of[j][0]]) >= 4 * len(sets[of[k][0]] | sets[of[j][0]])]
     labels = brute_components(sorted(of), lambda x, y: frozenset((of[sorted(of)[x]][0], of[sorted(of)[y]][0])) in found)
     assert near and all(labels[sorted(of).index(k)] == labels[sorted(of).index(j)] for k, j in near)
+
+
+def test_texts_are_not_dealt_out_whole(spark):
+    """Only texts that others are like leave their place: shuffles stay below the texts' own bytes."""
+    dice = random.Random(11)
+    rows = [(k, " ".join(f"{dice.getrandbits(40):x}" for _ in range(1500)), "x", k) for k in range(200)]
+    rows += [(1000, f"{rows[0][1]} more", "x", 1), (1, rows[1][1], "w", 2), (None, "alone", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bits string, bucket long").repartition(4).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        executors = store.executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        found = module.keep_one(docs).collect()
+        after = written()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(map(tuple, found), key=str) == sorted((r for r in rows if r[0] != 1000 and r != rows[1]), key=str)
+    assert after - before < sum(len(r[1]) for r in rows) // 2
